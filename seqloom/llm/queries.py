@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm import chat, mixing, sharding, sketches
+from seqloom.llm import chat, mixing, near_copies, ogg, packing, quality, secret_scan, sharding, sketches
 
 SHARD_BYTES = 1 << 20
 
@@ -129,10 +129,55 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as Ogg and read back."""
+    stored = ogg.write_media(_table(spark, sf_dir, "documents"))
+    return ogg.read_media(stored).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"
+    )
+
+
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy class, copies and links of all documents."""
+    return near_copies.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token pieces in sequences of 4096."""
+    return packing.pack_pieces(packing.token_pieces(_table(spark, sf_dir, "documents")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of all documents, by a model fitted on rated ones."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_on(docs, _table(spark, sf_dir, "labels"), F.expr(quality.LABEL_GRADE))
+    scored = docs.select("doc_id", quality.scorer(model, spark)(F.col("text")).alias("score"))
+    return scored.select("doc_id", "score.expected_grade", "score.tail_prob", (F.col("score.tail_prob") >= quality.LEAST_TAIL).alias("selected"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents."""
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_chat_format": op2_chat_format,
+    "op4_ogg": op4_ogg,
+    "op5_near_copies": op5_near_copies,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
+    "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL = {"op1_sharding": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_mixing": OP7_SQL}
