@@ -131,3 +131,22 @@ def curriculum(
 def training_order(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The copies of a ``curriculum``, range-sorted by position: (id, epoch, position)."""
     return plan.select(id_col, F.posexplode("positions").alias("epoch", "position")).orderBy("position", id_col, "epoch")
+
+
+def repeat_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of ``df``, each as often as its ``curriculum`` takes it, with all their columns.
+
+    Rows of one id are told apart by source and size; rows that agree in all three are dealt the
+    copies of their group as evenly as whole rows allow.
+    """
+    plan = curriculum(df, id_col, text_col, source_col, **settings)
+    key = ["__id", "__source", "__size"]
+    of_plan = (
+        plan.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"))
+        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+        .filter("__copies > 0")
+    )
+    rows = df.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": n_words(F.col(text_col))})
+    same = [rows[k].eqNullSafe(of_plan[k]) for k in key]
+    joined = rows.join(of_plan, same[0] & same[1] & same[2])
+    return joined.withColumn("__copy", F.explode(F.expr("sequence(1, cast(ceil(__copies / __rows) as int))"))).select(*[rows[c] for c in df.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm import chat, mixing, near_copies, ogg, packing, quality, secret_scan, sharding, sketches
+from seqloom.llm import chat, licenses, mixing, near_copies, ogg, packing, quality, secret_scan, sharding, sketches
 
 SHARD_BYTES = 1 << 20
 
@@ -129,6 +129,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license stated in any document, with its wording differences."""
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as Ogg and read back."""
     stored = ogg.write_media(_table(spark, sf_dir, "documents"))
@@ -172,6 +177,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_chat_format": op2_chat_format,
+    "op3_licenses": op3_licenses,
     "op4_ogg": op4_ogg,
     "op5_near_copies": op5_near_copies,
     "op6_packing": op6_packing,
