@@ -1,4 +1,7 @@
 """All registered queries over the driver tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from seqloom.plans import cluster_queries, sampling_queries, sequence_queries
+
+_PARTS = (sequence_queries, cluster_queries, sampling_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
