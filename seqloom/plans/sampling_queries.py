@@ -136,10 +136,10 @@ def weighted_draws(spark: SparkSession, d: str) -> DataFrame:
 
 
 WEIGHTED_DRAWS_SQL = f"""WITH {_RECORDS_SQL},
-cdf AS (SELECT seed, member, coalesce(sum(probability) OVER (PARTITION BY seed ORDER BY member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM rec),
+cdf AS (SELECT seed, member, coalesce(sum(probability) OVER (PARTITION BY seed ORDER BY member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM rec),
 tot AS (SELECT seed, sum(probability) AS total FROM rec GROUP BY 1),
 dr AS (SELECT seed, draw, {_u(chr(39) + '7' + chr(39), "(seed || '/' || draw)")} * total AS u FROM tot, generate_series(0, 99) AS g(draw))
-SELECT dr.seed, dr.draw, arg_max(member, at) AS member FROM dr JOIN cdf ON cdf.seed = dr.seed AND at <= u GROUP BY ALL"""
+SELECT dr.seed, dr.draw, arg_max(member, lo) AS member FROM dr JOIN cdf ON cdf.seed = dr.seed AND lo <= u GROUP BY ALL"""
 
 
 def sample_homologs(spark: SparkSession, d: str) -> DataFrame:
