@@ -22,8 +22,10 @@ def read_fasta(spark: SparkSession, path: str | list[str], upper: bool = True, c
         spark.read.option("lineSep", "\n>").text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     )
-    first = F.min(F.struct("block", "place")).over(Window.partitionBy("file"))
-    return _records(raw.withColumn("is_first", F.struct("block", "place") == first), upper, comment)
+    # the first row of each file, which may be a preamble; the join is on single rows, so no file is gathered
+    heads = raw.filter("block = 0").groupBy("file").agg(F.min("place").alias("place")).withColumn("head", F.lit(True))
+    marked = raw.join(heads, ["file", "place"], "left").withColumn("is_first", F.coalesce("head", F.lit(False)))
+    return _records(marked, upper, comment)
 
 
 def parse_fasta(df: DataFrame, text: str, keys: list[str], upper: bool = True, comment: str = "#") -> DataFrame:

@@ -97,7 +97,7 @@ def read_mmcif_tables(spark: SparkSession, path: str | list[str]) -> tuple[DataF
     label, auth, res_num, ins_code, res_name, atom, x, y, z, b_iso, hetero, model, ord).
     """
     ship_package(spark)
-    files = spark.read.option("wholetext", "true").text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)[^/]*$", 1).alias("structure_id"), "value"
     )
 
