@@ -25,10 +25,11 @@ from seqloom.plans.shipping import ship_package
 DIMENSIONS, SAMPLE_ROWS = 1 << 16, 8000
 #: The first ten of the last features stand for repetition; hashes stay below them.
 REPETITION = DIMENSIONS - 10
-#: Rounds, step and ridge of the fit, and the share of the sample in which a feature must occur.
-ROUNDS, STEP, RIDGE, LEAST_SHARE = 200, 0.05, 3e-4, 1 / 200
+#: Rounds and step of the fit, weight of the ridge in rows, and the share of the sample in which a
+#: feature must occur.
+ROUNDS, STEP, RIDGE, LEAST_SHARE = 200, 0.05, 8.0, 1 / 200
 #: Grades are wanted from this one up, with at least this tail probability.
-WANTED, LEAST_TAIL = 2, 0.5
+WANTED, LEAST_TAIL = 2, 0.45
 
 _SHAPES = bytes.maketrans(
     b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"a" * 26 + b"A" * 26 + b"0" * 10
@@ -101,13 +102,19 @@ class OrdinalModel:
 
 
 def fit(texts: list[str], grades: np.ndarray, rounds: int = ROUNDS) -> OrdinalModel:
+    """Fit on texts and their grades 0, 1, ...; see ``fit_features``."""
+    row, col, value = features(pa.array(texts, pa.string()), {}) if len(texts) else (np.zeros(0, np.int64),) * 3
+    return fit_features(row, col, value, np.asarray(grades, dtype=np.int64), rounds)
+
+
+def fit_features(row: np.ndarray, col: np.ndarray, value: np.ndarray, grades: np.ndarray, rounds: int = ROUNDS) -> OrdinalModel:
     """Fit by full-batch Adam on the likelihood of the grades with a ridge.
 
-    Thresholds stay ordered since only the first and the logarithms of the gaps are free.
+    Features that occur in too few rows are left out. Thresholds stay ordered since only the first
+    and the logarithms of the gaps are free. Without rows every text gets the same score.
     """
-    n, levels = len(texts), int(grades.max()) + 1 if len(grades) else 2
+    n, levels = len(grades), int(grades.max()) + 1 if len(grades) else 2
     levels = max(levels, 2)
-    row, col, value = features(pa.array(texts, pa.string()), {}) if n else (np.zeros(0, np.int64),) * 3
     common = np.bincount(col, minlength=DIMENSIONS) >= max(3, n * LEAST_SHARE)
     row, col, value = (x[common[col]] for x in (row, col, value))
     used, at = np.unique(col, return_inverse=True)
@@ -129,7 +136,7 @@ def fit(texts: list[str], grades: np.ndarray, rounds: int = ROUNDS) -> OrdinalMo
         np.add.at(d_cut, np.minimum(grades, levels - 2), np.where(grades < levels - 1, -importance * slope[every, grades + 1] / mass, 0))
         d_first = np.array([d_cut.sum()])
         d_gaps = np.array([d_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(levels - 2)])
-        d_weights = np.bincount(at, weights=d_score[row] * value, minlength=len(used)) + RIDGE * weights
+        d_weights = np.bincount(at, weights=d_score[row] * value, minlength=len(used)) + RIDGE / n * weights
         for k, grad in enumerate((d_weights, d_first, d_gaps)):
             m, v = moments[k]
             m[:] = 0.9 * m + 0.1 * grad
@@ -146,25 +153,48 @@ def fit(texts: list[str], grades: np.ndarray, rounds: int = ROUNDS) -> OrdinalMo
     return OrdinalModel(full, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int = SAMPLE_ROWS, seed: int = 0) -> pd.DataFrame:
-    """At most ``rows`` rated documents (text, grade) in the order of a seeded hash of their id.
+def rated_sample(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
+    """About ``rows`` rated documents (mark, doc_id, text, grade), those of the least seeded hash.
 
-    The hash is cut at the share that is expected to give ``rows``, so what is joined and brought
-    to the driver stays bounded whatever the number of ratings. Rows without grade are left out.
+    The hash is cut at the share that is expected to give ``rows``, so what is joined stays
+    bounded whatever the number of ratings. Rows without grade are left out, an id counts once with
+    its least grade and text.
     """
     mark = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000))
-    graded = ratings.select("doc_id", grade.cast("int").alias("grade")).filter("grade IS NOT NULL").withColumn("mark", mark)
+    graded = ratings.select("doc_id", grade.cast("int").alias("grade")).filter("grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     total = graded.count()
     share = min(1_000_000, int(1_000_000 * rows / max(total, 1)))
-    picked = graded.filter(F.col("mark") < share)
-    texts = docs.select("doc_id", "text").withColumn("own", mark).filter(F.col("own") < share).drop("own")
-    return texts.join(picked, "doc_id").orderBy("mark", "doc_id", "grade", "text").limit(rows).select("text", "grade").toPandas()
+    picked = graded.withColumn("mark", mark).filter(F.col("mark") < share)
+    texts = docs.select("doc_id", "text").filter(mark < share).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(picked, "doc_id").select("mark", "doc_id", "text", "grade")
+
+
+def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, doc_id, grade, features, values) of sampled rows, the last two packed."""
+    for batch in batches:
+        row, col, value = features(batch.column(2), {})
+        order = np.argsort(row, kind="stable")
+        ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))[:-1]
+        packed = [pa.array([x.tobytes() for x in np.split(v[order], ends)], pa.binary()) for v in (col.astype("<i4"), value.astype("<f4"))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *packed], ["mark", "doc_id", "grade", "features", "values"])
 
 
 def fit_on(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fit on a bounded sample of rated documents; without any, every text gets the middle grade."""
+    """Fit on a bounded sample of rated documents; without any, every text gets the same score.
+
+    Executors make the features; the driver gets those of ``rows`` documents at most, not texts.
+    """
+    ship_package(docs.sparkSession)
     sample = rated_sample(docs, ratings, grade, rows)
-    return fit([t or "" for t in sample["text"]], sample["grade"].to_numpy(dtype=np.int64))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = sample.mapInArrow(_sample_features, f"mark long, doc_id {kind}, grade int, features binary, values binary")
+    found = sorted(packed.collect(), key=lambda r: (r["mark"], r["doc_id"]))[:rows]
+    if not found:
+        return fit([], np.zeros(0))
+    col = [np.frombuffer(r["features"], dtype="<i4") for r in found]
+    row = np.repeat(np.arange(len(found)), [len(c) for c in col])
+    value = np.concatenate([np.frombuffer(r["values"], dtype="<f4") for r in found])
+    return fit_features(row, np.concatenate(col), value, np.array([r["grade"] for r in found], dtype=np.int64))
 
 
 #: Ratings of the labels table as one grade: 0 low quality, 1 readable but toxic, 2 good.
