@@ -89,8 +89,14 @@ def extendible_shards(
         start = first if word == "h1" else 0
         steps += [(word, at, min(NEXT_BITS, WORD_BITS - at)) for at in range(start, WORD_BITS, NEXT_BITS)]
 
-    pending, done = slim.withColumn("path", F.lit("")), []
+    pending, done, alike = slim.withColumn("path", F.lit("")), [], set()
     for word, offset, bits in steps:
+        if done and word not in alike:  # where each path's rows agree in all bits of a word, it cannot split them
+            range_of = pending.groupBy("path").agg(F.min(word).alias("low"), F.max(word).alias("high"))
+            if range_of.filter("low < high").isEmpty():
+                alike.add(word)
+        if word in alike:
+            continue
         directory, full = _slots(pending, word, offset, bits, max_bytes)
         cell = F.shiftright(F.col(word), WORD_BITS - offset - bits).bitwiseAND(F.lit((1 << bits) - 1))
         placed = (
