@@ -62,7 +62,8 @@ def merge_sketches(df: DataFrame, by: list[str], sketch: str) -> DataFrame:
 
     The result is long, (group, hash), so a group may hold any share of all documents.
     """
-    return df.select(*by, F.explode(sketch).alias("hash")).distinct()
+    # the outer form, since the other one infers a filter that would compute unstored sketches again
+    return df.select(*by, F.explode_outer(sketch).alias("hash")).filter("hash IS NOT NULL").distinct()
 
 
 def fingerprint(sketch: Column, digits: int = DIGITS) -> Column:
