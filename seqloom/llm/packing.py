@@ -33,8 +33,8 @@ CAPACITY, END_ID = 4096, 1
 CELL, ISLANDS, POPULATION = 4096, 2, 4
 #: Epochs (with a migration between them) and crossovers of an island in each.
 EPOCHS, CROSSOVERS = 2, 4
-#: Distinct words that a Python worker remembers.
-CACHE = 1_000_000
+#: Distinct words that a Python worker remembers: twice this many at most, the latest used ones.
+CACHE = 200_000
 
 
 def tokenizer_path() -> str:
@@ -58,6 +58,7 @@ class _WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
@@ -82,8 +83,9 @@ class _WordIds:
     def __call__(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        known.update((w, older[w]) for w in words if w in older and w not in known)
         fresh = [w for w in words if w not in known]
         if fresh:
             plain: dict[str, None] = {}
@@ -165,7 +167,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for k, n in enumerate(sizes):

@@ -28,6 +28,8 @@ REPETITION = DIMENSIONS - 10
 #: Rounds and step of the fit, weight of the ridge in rows, and the share of the sample in which a
 #: feature must occur.
 ROUNDS, STEP, RIDGE, LEAST_SHARE = 200, 0.05, 8.0, 1 / 200
+#: Distinct words that a Python worker remembers.
+CACHE = 100_000
 #: Grades are wanted from this one up, with at least this tail probability.
 WANTED, LEAST_TAIL = 2, 0.45
 
@@ -58,7 +60,7 @@ def features(texts: pa.Array, known: dict[str, tuple[int, int]]) -> tuple[np.nda
     blank = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
     parts = pc.split_pattern(blank, " ")
     coded = parts.flatten().dictionary_encode()
-    if len(known) > 1_000_000:
+    if len(known) > CACHE:
         known.clear()
     pairs = []
     for word in coded.dictionary.to_pylist():
