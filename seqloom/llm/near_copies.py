@@ -125,16 +125,18 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) edges: (id, root), root the least id of the component.
 
     Large-star and small-star steps by turns until nothing changes. Every step groups with partial
-    minima and joins on ids, so a vertex with very many edges is no bottleneck, and the number of
-    steps grows with the logarithm of a component's size.
+    minima and joins on ids. The minima are stored before they are joined, so that both sides of a
+    join are dealt anew and Spark can split a vertex with very many edges. The number of steps
+    grows with the logarithm of a component's size.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
