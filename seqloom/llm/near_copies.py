@@ -203,53 +203,77 @@ def verify_block(ids: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: l
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Near-copy classes of all documents: (id, class_id, n_copies, n_links).
+    """Near-copy classes of all documents: (id, class_id, n_copies, n_links, class_hash).
 
     Two documents are linked when the Jaccard similarity of their shingle sets is at least
-    ``threshold``; ``class_id`` is the least id of the connected component, ``n_copies`` the number
-    of documents with the very same text, ``n_links`` the number of other documents linked to it,
-    copies counted. One row per row of ``df``. Equal texts always share a class. Documents without
-    words (null, empty, blank) are linked to nothing: class_id is their own id. Rows of one id are
-    one document. Empty table: no rows. Further columns are ignored.
+    ``threshold``. The first document of a connected component is the one of least (id, text hash),
+    null ids last: ``class_id`` is its id, ``class_hash`` the MD5 of its text, and both together tell
+    classes apart where ids repeat. ``n_copies`` is the number of documents with the very same
+    text, ``n_links`` the number of other documents linked to it, copies counted. One row per row of
+    ``df``, and each row is a document, whether its id is null, repeated or neither. Equal texts
+    always share a class. Documents without words (null, empty, blank) are linked to nothing:
+    class_id is their own id. Empty table: no rows. Further columns are ignored.
 
     No pair is missed but for the forest's recall at the threshold, which rises fast above it; no
     bucket is capped. Copies are folded into one text before, with partial minima.
     """
-    ship_package(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    signed, texts = _text_classes(_documents(df, id_col, text_col), threshold, recall)
+    return signed.select("id", "text_hash").join(texts.drop("rep"), "text_hash", "left").select(
+        F.col("id").alias(id_col),
+        F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("class_hash", "text_hash").alias("class_hash"),
+    )
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, text) of each row."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+
+def _text_classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and for each distinct text with words: (text_hash, rep, copies, links,
+    class_id, class_hash), rep the least id of the text.
+
+    Texts are the vertices. A text's key is a number made when texts are stored, so that the graph
+    is joined on longs; nothing returned depends on it.
+    """
+    ship_package(docs.sparkSession)
     signed = cut(_signed(docs, matched_depth(threshold, recall=recall)))
+    worded = signed.filter("shingles > 0")
     texts = cut(
-        signed.filter("shingles > 0").groupBy("text_hash").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"))
+        worded.groupBy("text_hash").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("shingles").alias("shingles")).withColumn("key", F.monotonically_increasing_id())
     )
-    meet = signed.filter("shingles > 0").join(texts.select("text_hash", "rep"), "text_hash").filter("id = rep").select("id", F.explode("nodes").alias("node"))
-    heads = meet.groupBy("node").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("last > head").select("node", "head")
-    stars = meet.join(heads, "node").filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    one = texts.select(F.col("text_hash").alias("of"), "rep", "key")
+    meet = worded.join(one, (F.col("text_hash") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", F.explode("nodes").alias("node"))
+    heads = meet.groupBy("node").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("last > head").select("node", "head")
+    stars = meet.join(heads, "node").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     groups = components(stars)
-    members = groups.join(texts.select(F.col("rep").alias("id"), "copies", "shingles"), "id")
+    members = groups.join(texts.withColumnRenamed("key", "id"), "id")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
-    member = members.join(blocks, "root").select("id", "root", "copies", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
+    member = members.join(blocks, "root").select("id", "text_hash", "rep", "root", "copies", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
     verified = cut(_verified(docs, cut(member), threshold))
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    local = verified.filter("blocks = 1").select("id", F.col("reach").alias("class_id"))
-    joined = components(verified.filter("blocks > 1").select(F.col("id").alias("a"), F.col("reach").alias("b"))).select("id", F.col("root").alias("class_id"))
+    local = verified.filter("blocks = 1").select("id", F.col("reach").alias("root"))
+    joined = components(verified.filter("blocks > 1").select(F.col("id").alias("a"), F.col("reach").alias("b")))
     classes = local.unionByName(joined)
-    final = (
-        texts.join(links, texts["rep"] == links["id"], "left").drop("id")
-        .join(classes, F.col("rep") == classes["id"], "left")
-        .select("text_hash", F.coalesce("class_id", "rep").alias("class_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    placed = cut(
+        texts.join(links, texts["key"] == links["id"], "left").drop("id")
+        .join(classes, F.col("key") == classes["id"], "left")
+        .select("text_hash", "rep", F.coalesce("root", "key").alias("root"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
-    return signed.select("id", "text_hash").join(final, "text_hash", "left").select(
-        F.col("id").alias(id_col),
-        F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    firsts = placed.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_hash")).alias("first"))
+    final = placed.join(firsts, "root").select("text_hash", "rep", "copies", "links", F.col("first.rep").alias("class_id"), F.col("first.text_hash").alias("class_hash"))
+    return signed, final
 
 
 def _verified(docs: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
     """(id, blocks, links, reach) of each member for each block pair it stands in."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cast = docs.select("id", "text").join(member, "id").dropDuplicates(["id"]).select("id", "root", "copies", "blocks", "own", "text")
+    member = member.withColumnRenamed("id", "key").withColumnRenamed("text_hash", "of")
+    met = docs.join(member, (F.col("text_hash") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep")))
+    cast = met.dropDuplicates(["key"]).select(F.col("key").alias("id"), "root", "copies", "blocks", "own", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,10 +300,26 @@ def _verified(docs: DataFrame, member: DataFrame, threshold: float) -> DataFrame
     return spread.groupBy("root", "low", "high").applyInPandas(block, "id long, blocks int, links long, reach long")
 
 
+#: True for texts in which ``shingle_sets`` finds words.
+_HAS_WORDS = r"[^ \t\n\x0B\f\r]"
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each near-copy class, the one of least id, with all its columns.
+    """One document of each near-copy class, its first by (id, text hash), null ids last, with all columns.
 
-    Documents without words stay, one of each id.
+    Every row is a document: those with a null or repeated id go only if their class has an earlier
+    one. Of rows alike in id and text the one whose other columns are least as JSON stays. Documents
+    without words all stay.
     """
-    classes = jaccard_classes(docs, id_col, text_col).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col)).distinct()
-    return docs.join(classes, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    _, texts = _text_classes(_documents(docs, id_col, text_col), THRESHOLD, RECALL)
+    first = texts.filter("text_hash = class_hash").select(F.col("text_hash").alias("__hash"), F.col("rep").alias("__rep"))
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    alike = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    kept = (
+        docs.join(first, (F.md5(text_col) == F.col("__hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("__rep")))
+        .groupBy("__hash")
+        .agg(F.min_by(F.struct(*docs.columns), alike).alias("row"))
+        .select("row.*")
+    )
+    wordless = docs.filter(~F.coalesce(F.col(text_col), F.lit("")).rlike(_HAS_WORDS))
+    return kept.unionByName(wordless)

@@ -1,10 +1,12 @@
 """The near-copy join against all pairs by brute force."""
 
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import near_copies as N
 
@@ -105,3 +107,31 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(20)] + [(100, 101), (101, 102), (100, 102), (5, 5)]
     found = {r["id"]: r["root"] for r in N.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(21)}, 100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("block_texts", [4, 2048])
+def test_null_and_repeated_ids_are_rows_of_their_own(spark, monkeypatch, block_texts):
+    """Each row a vertex, against brute force over rows; whatever ids say."""
+    monkeypatch.setattr(N, "BLOCK_TEXTS", block_texts)
+    texts = [t for _, t in corpus()]
+    rng = random.Random(4)
+    ids = [rng.choice([None, 5, 5, 6, 100 + k]) for k in range(len(texts))]
+    wanted, first = brute(list(enumerate(texts))), {}
+    mark = lambda k: None if texts[k] is None else hashlib.md5(texts[k].encode()).hexdigest()
+    order = lambda k: (ids[k] is None, ids[k] or 0, mark(k) or "")
+    for k, (root, _) in wanted.items():
+        first[root] = min(first.get(root, k), k, key=order)
+    # brute force has texts alike without words apart, and they are no class
+    frame = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, row string")
+    found = [(r["doc_id"], r["class_id"], r["class_hash"], r["n_links"]) for r in N.jaccard_classes(frame).collect()]
+    assert sorted(map(repr, found)) == sorted(repr((ids[k], ids[first[root]], mark(first[root]), n)) for k, (root, n) in wanted.items())
+    kept = [(r["doc_id"], r["text"]) for r in N.keep_one(frame).collect()]
+    assert sorted(map(repr, kept)) == sorted(repr((ids[k], texts[k])) for k in first.values())
+    again = N.keep_one(frame.orderBy(F.desc("row")).repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, N.keep_one(frame).collect()))
+
+
+def test_clean_documents_without_id_stay(spark):
+    table = [(None, "a clean text of its own here"), (None, "and another one quite unlike it"), (3, "the first text of number three"), (3, "something else of number three altogether")]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    assert sorted(r["text"] for r in N.keep_one(frame).collect()) == sorted(t for _, t in table)
