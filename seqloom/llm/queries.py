@@ -115,17 +115,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = sketches.next_documents(_table(spark, sf_dir, "documents"))
     pairs = pairs.withColumn("edited", sketches.edited_text(F.col("text"), F.col("next_text")))
     for text, out in (("text", "own_sketch"), ("edited", "edited_sketch"), ("next_text", "next_sketch")):
-        pairs = sketches.with_sketch(pairs, text, out)
-    own = F.col("own_sketch")
+        pairs = sketches.with_sketch(pairs, text, out, whole=f"{out}_whole")
+    own, own_whole = F.col("own_sketch"), F.col("own_sketch_whole")
+    edited, following = ((F.col(c), own_whole, F.col(f"{c}_whole")) for c in ("edited_sketch", "next_sketch"))
     return pairs.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         sketches.fingerprint(own).alias("fingerprint"),
         sketches.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketches.likeness(own, F.col("edited_sketch")).alias("near_edited"),
-        sketches.likeness(own, F.col("next_sketch")).alias("near_next"),
-        sketches.containment(own, F.col("edited_sketch")).alias("held_by_edited"),
+        sketches.likeness(own, *edited).alias("near_edited"),
+        sketches.likeness(own, *following).alias("near_next"),
+        sketches.containment(own, *edited).alias("held_by_edited"),
     )
 
 

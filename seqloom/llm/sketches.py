@@ -24,46 +24,75 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
+def _limit(fraction: float) -> Column:
+    """The hash at which the fraction of the hash range ends."""
+    return F.lit(min(-(1 << 63) + int(fraction * (1 << 64)), (1 << 63) - 1)).cast("long")
+
+
+def with_sketch(df: DataFrame, text: str, out: str, size: int = SHINGLE, fraction: float = FRACTION, whole: str | None = None) -> DataFrame:
     """Add the sketch of a text column: ascending distinct hashes below the fraction.
 
     Where a text has shingles but none below the fraction, its smallest hash stands in, so that no
-    text with words has an empty sketch. Null and blank texts have empty sketches.
+    text with words has an empty fingerprint; it is no sample, and comparisons and merged sketches
+    leave it out. Null and blank texts have empty sketches. ``whole`` names a second column for all
+    shingle hashes, in text order, by which texts without a sample are compared exactly.
     """
     marks, hashes, kept = f"__{out}_marks", f"__{out}_hashes", f"__{out}_kept"
     mark = F.col(marks)
     runs = F.transform(F.sequence(F.lit(0), F.size(mark) - size), lambda i: F.xxhash64(*[F.get(mark, i + k) for k in range(size)]))
-    whole = F.array(F.aggregate(mark, F.lit(0).cast("long"), lambda a, w: F.xxhash64(a, w)))
+    single = F.array(F.aggregate(mark, F.lit(0).cast("long"), lambda a, w: F.xxhash64(a, w)))
     none = F.array().cast("array<bigint>")
-    limit = F.lit(-(1 << 63) + int(fraction * (1 << 64))).cast("long")
-    return (
+    limit = _limit(fraction)
+    found = (
         df.withColumn(marks, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
-        .withColumn(hashes, F.when(F.size(mark) >= size, runs).when(F.size(mark) > 0, whole).otherwise(none))
+        .withColumn(hashes, F.when(F.size(mark) >= size, runs).when(F.size(mark) > 0, single).otherwise(none))
         .withColumn(kept, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < limit))))
         .withColumn(out, F.when((F.size(kept) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.col(kept)))
-        .drop(marks, hashes, kept)
     )
+    return (found.withColumn(whole, F.col(hashes)) if whole else found).drop(marks, hashes, kept)
+
 
+def _unsampled(sketch: Column, fraction: float) -> Column:
+    """Whether a sketch has a stand-in only."""
+    return F.coalesce(F.get(sketch, F.lit(0)) >= _limit(fraction), F.lit(False))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the shingle sets behind two sketches; two empty ones: 1."""
+
+def _likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
         F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
     )
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the shingles of ``a`` that ``b`` has too; an empty ``a``: 1."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+def _containment(a: Column, b: Column) -> Column:
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_distinct(a)), F.lit(1)))
+
+
+def likeness(a: Column, b: Column, whole_a: Column | None = None, whole_b: Column | None = None, fraction: float = FRACTION) -> Column:
+    """Estimated Jaccard similarity of the shingle sets behind two sketches; two empty ones: 1.
+
+    Where one of the texts has shingles but no sample of them, it is counted exactly on the whole
+    sets, and without these it is null, since the sketches can't tell.
+    """
+    exact = F.lit(None).cast("double") if whole_a is None or whole_b is None else _likeness(whole_a, whole_b)
+    return F.when(_unsampled(a, fraction) | _unsampled(b, fraction), exact).otherwise(_likeness(a, b))
+
+
+def containment(a: Column, b: Column, whole_a: Column | None = None, whole_b: Column | None = None, fraction: float = FRACTION) -> Column:
+    """Estimated share of the shingles of ``a`` that ``b`` has too; an empty ``a``: 1.
+
+    Exact on the whole sets, or null without these, where one of the texts has no sample.
+    """
+    exact = F.lit(None).cast("double") if whole_a is None or whole_b is None else _containment(whole_a, whole_b)
+    return F.when(_unsampled(a, fraction) | _unsampled(b, fraction), exact).otherwise(_containment(a, b))
 
 
-def merge_sketches(df: DataFrame, by: list[str], sketch: str) -> DataFrame:
-    """Sketches of groups of documents: the distinct hashes of their members, counted by group.
+def merge_sketches(df: DataFrame, by: list[str], sketch: str, fraction: float = FRACTION) -> DataFrame:
+    """Sketches of groups of documents: the distinct sampled hashes of their members, counted by group.
 
     The result is long, (group, hash), so a group may hold any share of all documents.
     """
     # the outer form, since the other one infers a filter that would compute unstored sketches again
-    return df.select(*by, F.explode_outer(sketch).alias("hash")).filter("hash IS NOT NULL").distinct()
+    return df.select(*by, F.explode_outer(sketch).alias("hash")).filter(F.col("hash") < _limit(fraction)).distinct()
 
 
 def fingerprint(sketch: Column, digits: int = DIGITS) -> Column:

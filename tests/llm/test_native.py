@@ -235,3 +235,19 @@ def test_edited_text(spark):
 def test_no_documents_have_no_next(spark):
     assert sketches.next_documents(docs(spark, [])).count() == 0
     assert [tuple(r) for r in sketches.next_documents(docs(spark, [(5, "a b", None)])).collect()] == [(5, "a b", "a b")]
+
+
+def test_short_texts_inside_long_ones_are_held(spark):
+    """Texts too short for a sample of their shingles are compared exactly, and are in no merged sketch."""
+    rng = random.Random(11)
+    long = [str(rng.random()) for _ in range(400)]
+    shorts = [" ".join(long[i : i + 6]) for i in range(0, 200, 5)]
+    rows = sketches.with_sketch(docs(spark, [(i, t, " ".join(long)) for i, t in enumerate(shorts)]), "text", "a", whole="wa")
+    rows = sketches.with_sketch(rows, "source", "b", whole="wb")
+    a, b, wa, wb = map(F.col, ("a", "b", "wa", "wb"))
+    found = rows.select(sketches.containment(a, b, wa, wb).alias("c"), sketches.likeness(a, b, wa, wb).alias("l"), sketches.containment(a, b).alias("unknown"), "a").collect()
+    limit = -(1 << 63) + (1 << 61)
+    alone = [r for r in found if r["a"][0] >= limit]
+    assert len(alone) > 20 and {r["c"] for r in found} == {1.0}
+    assert {r["l"] for r in alone} == {2 / 396} and {r["unknown"] for r in alone} == {None}
+    assert all(r["hash"] < limit for r in sketches.merge_sketches(rows.groupBy("a").count(), [], "a").collect())
