@@ -4,7 +4,9 @@ Documents are tokenized and cut into pieces of at most a sequence's length. Piec
 cells; each cell is packed by several islands, populations of packings whose genes are whole bins.
 Crossover injects well-filled bins of one parent into the other, drops the bins that hold pieces
 twice, and best-fits the displaced pieces. Between epochs each island's elite moves on to the next
-island of its cell through a shuffle. Only lengths are shuffled, never texts or tokens.
+island of its cell through a shuffle. Packings of equally many bins compete by how much of the
+empty space they gather in few bins; the emptiest bins of all cells are then dealt into new cells
+and evolve once more, from the packing they have. Only lengths are shuffled, never texts or tokens.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import bisect
 import math
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,8 +36,12 @@ CAPACITY, END_ID = 4096, 1
 CELL, ISLANDS, POPULATION = 4096, 2, 4
 #: Epochs (with a migration between them) and crossovers of an island in each.
 EPOCHS, CROSSOVERS = 2, 4
+#: Share of a cell's bins, the emptiest ones and one at least, that are packed again with other cells'.
+LEFT = 0.02
 #: Distinct words that a Python worker remembers: twice this many at most, the latest used ones.
 CACHE = 200_000
+#: Bytes of text that are tokenized at once.
+SLICE = 4 << 20
 
 
 def tokenizer_path() -> str:
@@ -47,16 +54,24 @@ class _WordIds:
     """Token ids of blank-separated words, remembered within a worker.
 
     This tokenizer drops white space and never joins what white space parts, so a text's ids are
-    those of its words one after another, and each distinct word is tokenized once.
+    those of its words one after another, and each distinct word is tokenized once. A word of Latin
+    letters is one unit for it, in lower case: such words go in many to a call, without the
+    normalizing and splitting that would leave them as they are.
     """
 
     _shared: dict[str, _WordIds] = {}
+    _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.of_ascii, self.of_latin = (Tokenizer.from_file(path) for _ in range(3))
+        for units in (self.of_ascii, self.of_latin):
+            units.normalizer = None
+        blanks, raw = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.of_ascii.pre_tokenizer = blanks  # ASCII letters stand for their own bytes
+        self.of_latin.pre_tokenizer = pre_tokenizers.Sequence([blanks, raw])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
@@ -68,16 +83,17 @@ class _WordIds:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def _learn_letters(self, words: list[str]) -> None:
-        """Words of ASCII letters only: each is one unit, so many go in one call."""
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+    def _learn_letters(self, units, words: list[str]) -> None:
+        """Words of lower-case letters only."""
+        lines = [" ".join(words[at : at + 512]) for at in range(0, len(words), 512)]
+        for at, found in enumerate(units.encode_batch_fast(lines, add_special_tokens=False)):
+            some = words[512 * at : 512 * at + 512]
+            ids = np.array(found.ids, dtype="<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             assert len(stops) == len(some), "a word of letters is one unit"
-            raw, start = ids.astype("<u4").tobytes(), 0
-            for word, stop in zip(some, stops.tolist(), strict=True):
-                self.known[word] = raw[4 * start : 4 * stop]
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(some, stops, strict=True):
+                self.known[word] = raw[start:stop]
                 start = stop
 
     def __call__(self, words: list[str]) -> list[bytes]:
@@ -85,40 +101,56 @@ class _WordIds:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        known.update((w, older[w]) for w in words if w in older and w not in known)
-        fresh = [w for w in words if w not in known]
-        if fresh:
-            plain: dict[str, None] = {}
-            split: list[tuple[str, str, str]] = []
-            rest: list[str] = []
-            for word in fresh:
-                core = word.rstrip(".,;:!?#$%&*|")
-                low = core.lower()
-                if core and core.isascii() and core.isalpha():
-                    plain[low] = None
-                    split.append((word, low, word[len(core) :]))
+        fresh = []
+        for word in words:
+            if word not in known:
+                if word in older:
+                    known[word] = older[word]
                 else:
-                    rest.append(word)
-            tails = dict.fromkeys(t for _, _, t in split if t)
-            self._learn_letters([w for w in plain if w not in known])
-            rest += [t for t in tails if t not in known]
-            for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-            for word, low, tail in split:
-                known[word] = known[low] + (known[tail] if tail else b"")
+                    fresh.append(word)
+        plain, rest, letters = {}, [], self._LETTERS.fullmatch
+        for word in fresh:
+            if letters(word):
+                plain[word] = word.lower()
+            else:
+                rest.append(word)
+        units = [w for w in dict.fromkeys(plain.values()) if w not in known]
+        self._learn_letters(self.of_ascii, [w for w in units if w.isascii()])
+        self._learn_letters(self.of_latin, [w for w in units if not w.isascii()])
+        for word, low in plain.items():
+            known[word] = known[low]
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[word] = np.array(found.ids, dtype="<u4").tobytes()
         return [known[w] for w in words]
 
 
+#: The tokenizer's own control strings, which it finds before it lowers or splits a text.
+_SPECIAL = re.compile(r"<\|(startoftext|endoftext)\|>")
+#: A letter before a mark that the tokenizer always parts from it. A bar is none, since control strings have it.
+_MARKED = r"([a-zà-öø-ÿ])([.,;:!?#$%&*\"()\[\]{}/+=_-])"
+
+
+def _blank_separated(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids, in which fewer distinct words stand between blanks.
+
+    ASCII letters are lowered and a blank parts each letter from a mark after it, as the tokenizer
+    does itself; texts whose lowered form has one of its control strings stay as they are.
+    """
+    flat = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+    low = pc.ascii_lower(flat)
+    keep = pc.match_substring_regex(low, _SPECIAL.pattern)
+    return pc.if_else(keep, flat, pc.replace_substring_regex(low, _MARKED, r"\1 \2"))
+
+
 def _ids_of(texts: pa.Array, words: _WordIds) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, ends): the ids of each text followed by END_ID, texts one after another."""
-    blank = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
-    parts = pc.split_pattern(blank, " ")
+    parts = pc.split_pattern(_blank_separated(texts), " ")
     coded = parts.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     raw = words(coded.dictionary.to_pylist())
     flat = np.frombuffer(b"".join(raw), dtype="<u4")
-    sizes = np.fromiter((len(r) >> 2 for r in raw), dtype=np.int64, count=len(raw))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(raw) else np.zeros(0, np.int64)
+    sizes = np.fromiter((len(r) >> 2 for r in raw), dtype=np.int32, count=len(raw))
+    starts = np.cumsum(sizes) - sizes
     n = sizes[codes]
     upto = np.concatenate(([0], np.cumsum(n)))
     first = upto[parts.offsets.to_numpy()]  # ids before each text
@@ -126,7 +158,7 @@ def _ids_of(texts: pa.Array, words: _WordIds) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(lengths + 1)
     out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
     if len(ends):
-        place = np.arange(upto[-1], dtype=np.int64) - np.repeat(upto[:-1], n) + np.repeat(starts[codes], n)
+        place = np.arange(upto[-1], dtype=np.int32) + np.repeat((starts[codes] - upto[:-1]).astype(np.int32), n)
         mask = np.ones(len(out), dtype=bool)
         mask[ends - 1] = False
         out[mask] = flat[place]
@@ -167,7 +199,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for k, n in enumerate(sizes):
@@ -197,8 +229,8 @@ def best_fit(items: list[int], lengths: list[int], bins: list[list[int]], capaci
 
 
 def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones (the sum of squared fills)."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
+    """Fewer bins first, then fuller ones (the sum of squared fills), so that empty space gathers."""
+    return -len(bins), sum((sum([lengths[i] for i in b]) / capacity) ** 2 for b in bins)
 
 
 def crossover(mother: list[list[int]], father: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
@@ -222,92 +254,121 @@ def crossover(mother: list[list[int]], father: list[list[int]], lengths: list[in
 def evolve(lengths: list[int], seeds: list[list[list[int]]], rng: random.Random, capacity: int = CAPACITY, population: int = POPULATION, crossovers: int = CROSSOVERS) -> list[list[int]]:
     """The best packing of one island after an epoch.
 
-    Starts from best-fit of shuffled near-descending orders and the immigrants ``seeds``; ends early
-    at the bound that no packing can beat.
+    Starts from ``seeds`` (packings that came in), best-fit of the descending order, and best-fit of
+    shuffled near-descending orders. Never worse than any seed.
     """
-    bound = -(-sum(lengths) // capacity)
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     people = [s for s in seeds if s]
-    if not people:
-        people.append(best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, [], capacity))
-    while len(people) < population and len(people[0]) > bound:
+    if len(people) < population:
+        people.append(best_fit(order, lengths, [], capacity))
+    while len(people) < population:
         jitter = [n * rng.uniform(0.9, 1.0) for n in lengths]
-        people.append(best_fit(sorted(range(len(lengths)), key=lambda i: -jitter[i]), lengths, [], capacity))
-    people = sorted(people, key=lambda p: fitness(p, lengths, capacity), reverse=True)
+        people.append(best_fit(sorted(order, key=lambda i: -jitter[i]), lengths, [], capacity))
+    ranked = sorted(((fitness(p, lengths, capacity), p) for p in people), key=lambda x: x[0], reverse=True)
     for _ in range(crossovers):
-        if len(people[0]) <= bound or len(people) < 2:
-            break
-        mother, father = people[0], people[rng.randrange(1, len(people))]
+        mother, father = ranked[0][1], ranked[rng.randrange(1, len(ranked))][1]
         if rng.random() < 0.5:
             mother, father = father, mother
-        people.append(crossover(mother, father, lengths, capacity, rng))
-        people = sorted(people, key=lambda p: fitness(p, lengths, capacity), reverse=True)[:population]
-    return people[0]
+        child = crossover(mother, father, lengths, capacity, rng)
+        ranked = sorted([*ranked, (fitness(child, lengths, capacity), child)], key=lambda x: x[0], reverse=True)[:population]
+    return ranked[0][1]
 
 
-def _pack(pieces: list[int], bins: list[list[int]]) -> np.ndarray:
-    out = np.empty(len(pieces), dtype=np.int64)
-    for k, b in enumerate(bins):
+def _packing(bins: list[list[int]], lengths: list[int]) -> np.ndarray:
+    """The bin of each piece, bins numbered from the emptiest one."""
+    out = np.empty(len(lengths), dtype=np.int32)
+    for k, b in enumerate(sorted(bins, key=lambda b: (sum([lengths[i] for i in b]), min(b)))):
         out[b] = k
     return out
 
 
-def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """Place each piece in a sequence: adds ``sequence_id`` and ``offset``.
+def _bins(packing: np.ndarray) -> list[list[int]]:
+    """The pieces of each bin; bins may be numbered by any integers."""
+    bins: dict[int, list[int]] = {}
+    for i, k in enumerate(packing.tolist()):
+        bins.setdefault(k, []).append(i)
+    return list(bins.values())
+
+
+def _one_epoch(level: int, epoch: int, capacity: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best, rank = [], []
+            for c, k, lens, elites in zip(batch["cell"], batch["island"], batch["lengths"], batch["elites"], strict=True):
+                sizes = [int(n) for n in lens]
+                found = evolve(sizes, [_bins(e) for e in elites], random.Random(f"{level}:{c}:{k}:{epoch}"), capacity)
+                best.append(_packing(found, sizes))
+                rank.append(-fitness(found, sizes, capacity)[1])
+            yield pd.DataFrame({"cell": batch["cell"], "island": batch["island"], "lengths": batch["lengths"], "packing": best, "rank": rank})
+
+    return run
 
-    Full pieces are sequences of their own. The others are dealt by a hash into cells of about
-    ``cell`` pieces (a document's pieces and repeated rows spread too), so work per task is bounded
-    at any size; the hash is of a row's place in the stored pieces. ``islands`` copies of a cell's lengths evolve apart; after each epoch an island's
-    elite goes to the next one. Places inside a sequence go by id, then piece. Runs over the
-    same files and settings agree. An empty table gives no rows.
-    """
-    ship_package(pieces.sparkSession)
-    rows = cut(pieces.withColumn("tie", F.monotonically_increasing_id()))
-    loose = rows.filter(F.col("length") < capacity)
-    cells = max(1, math.ceil(loose.count() / cell))
-    loose = loose.withColumn("cell", F.pmod(F.xxhash64("tie"), F.lit(cells)))
-    by_place = Window.partitionBy("cell").orderBy(F.col("length").desc(), F.col(id_col).asc_nulls_first(), "piece", "tie")
-    loose = cut(loose.withColumn("item", F.row_number().over(by_place) - 1))
-    lengths = loose.groupBy("cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("item", F.col("length").cast("int").alias("n")))), lambda x: x["n"]).alias("lengths"))
-    state = lengths.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.array().cast("array<array<int>>").alias("elites"))
-
-    def one_epoch(epoch: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                best = []
-                for c, k, lens, elites in zip(batch["cell"], batch["island"], batch["lengths"], batch["elites"], strict=True):
-                    sizes = [int(n) for n in lens]
-                    rng = random.Random(f"{c}:{k}:{epoch}")
-                    best.append(_pack(sizes, evolve(sizes, [_bins(e) for e in elites], rng, capacity)))
-                yield pd.DataFrame({"cell": batch["cell"], "island": batch["island"], "lengths": batch["lengths"], "packing": best})
-
-        return run
 
+def _tasks(spark: SparkSession, islands: int) -> int:
+    """Tasks for so many islands: bytes say little of their work, so Spark's own merging would leave too few."""
+    return max(1, min(islands, int(spark.conf.get("spark.sql.shuffle.partitions"))), math.ceil(islands / 256))
+
+
+def _evolved(loose: DataFrame, level: int, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """Pack the pieces (tie, n, cell, label) of each cell: (cell, tie, n, bin, bins).
+
+    ``label`` is the bin that a piece comes in, null if it comes in none; the packing by labels is
+    one of those that each island starts from. ``bins`` is the number of bins of the cell.
+    """
+    items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "tie", "label")))
+    cells = cut(loose.groupBy("cell").agg(items.alias("items")))
+    tasks = _tasks(loose.sparkSession, cells.count() * islands)
+    labels = F.transform("items", lambda x: x["label"])
+    lengths = F.transform("items", lambda x: -x["less"])
+    state = cells.select(
+        "cell",
+        F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
+        lengths.alias("lengths"),
+        F.when(F.exists(labels, lambda x: x.isNull()), F.array().cast("array<array<int>>")).otherwise(F.array(labels)).alias("elites"),
+    )
     for epoch in range(epochs):
-        spread = state.repartition("cell", "island")
-        packed = cut(spread.mapInPandas(one_epoch(epoch), "cell long, island int, lengths array<int>, packing array<int>"))
+        spread = state.repartition(tasks, "cell", "island")
+        packed = cut(spread.mapInPandas(_one_epoch(level, epoch, capacity), "cell long, island int, lengths array<int>, packing array<int>, rank double"))
         moved = packed.select("cell", ((F.col("island") + 1) % islands).alias("island"), F.array("packing").alias("elites"))
         own = packed.select("cell", "island", "lengths", F.array("packing").alias("kept"))
         state = own.join(moved, ["cell", "island"]).select("cell", "island", "lengths", F.concat("kept", "elites").alias("elites"))
-    filled = F.size(F.array_distinct("packing"))
-    best = packed.groupBy("cell").agg(F.min_by("packing", F.struct(filled, "island")).alias("packing"))
-    places = best.select("cell", F.posexplode("packing").alias("item", "bin"))
-    inside = Window.partitionBy("cell", "bin").orderBy(F.col(id_col).asc_nulls_first(), "piece", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    placed = loose.join(places, ["cell", "item"]).select(
-        *names,
-        (F.col("cell") * CELL * 16 + F.col("bin")).alias("sequence_id"),
-        F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"),
-    )
-    full = rows.filter(F.col("length") == capacity).select(
-        *names,
-        (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"),
-    )
-    return placed.unionByName(full)
+    bins = F.array_max("packing") + 1
+    best = packed.groupBy("cell").agg(F.min_by(F.struct("packing", bins.alias("bins")), F.struct(bins, "rank", "island")).alias("best"))
+    each = cells.join(best, "cell").select("cell", "best.bins", F.explode(F.arrays_zip("items", "best.packing")).alias("x"))
+    return each.select("cell", F.col("x.items.tie").alias("tie"), (-F.col("x.items.less")).alias("n"), F.col("x.packing").alias("bin"), "bins")
 
 
-def _bins(packing: np.ndarray) -> list[list[int]]:
-    bins: list[list[int]] = [[] for _ in range(int(max(packing)) + 1)] if len(packing) else []
-    for i, k in enumerate(packing):
-        bins[int(k)].append(i)
-    return bins
+def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """Place each piece in a sequence: adds ``sequence_id`` and ``offset``.
+
+    Full pieces are sequences of their own. The others are dealt by a hash into cells of about
+    ``cell`` pieces (a document's pieces and repeated rows spread too), so work per task is bounded
+    at any size; the hash is of a row's place in the stored pieces. ``islands`` copies of a cell's
+    lengths evolve apart; after each epoch an island's elite goes to the next one. The emptiest bins
+    of each cell are dealt whole into new cells and evolve in the same way, never into more bins.
+    Places inside a sequence go by id, then piece. Runs over the same files and settings agree.
+    An empty table gives no rows. Further columns stay, but for the two that are added.
+    """
+    ship_package(pieces.sparkSession)
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = cut(pieces.select(*names).withColumn("__tie", F.monotonically_increasing_id()))
+    loose = rows.filter(F.col("length") < capacity).select(F.col("__tie").alias("tie"), F.col("length").cast("int").alias("n"))
+    cells = max(1, math.ceil(loose.count() / cell))
+    dealt = loose.withColumns({"cell": F.pmod(F.xxhash64("tie"), F.lit(cells)), "label": F.lit(None).cast("int")})
+    first = cut(_evolved(dealt, 0, capacity, islands, epochs))
+    place = lambda start: F.shiftleft(F.col("cell") + start, 31) + F.col("bin")
+    if cells == 1:
+        placed = first.select("tie", place(0).alias("sequence_id"))
+    else:
+        again = F.col("bin") < F.greatest(F.lit(1), F.floor(F.col("bins") * LEFT))
+        emptiest = first.filter(again)
+        others = max(1, math.ceil(emptiest.count() / cell))
+        label = F.xxhash64("cell", "bin")
+        regrouped = emptiest.select("tie", "n", F.pmod(label, F.lit(others)).alias("cell"), F.dense_rank().over(Window.partitionBy(F.pmod(label, F.lit(others))).orderBy("cell", "bin")).cast("int").alias("label"))
+        second = _evolved(regrouped, 1, capacity, islands, epochs)
+        placed = first.filter(~again).select("tie", place(0).alias("sequence_id")).unionByName(second.select("tie", place(cells).alias("sequence_id")))
+    inside = Window.partitionBy("sequence_id").orderBy(F.col(id_col).asc_nulls_first(), "piece", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(placed.withColumnRenamed("tie", "__tie"), "__tie")
+    packed = joined.select(*names, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    full = rows.filter(F.col("length") == capacity).select(*names, (-1 - F.col("__tie")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full)

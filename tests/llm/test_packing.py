@@ -6,13 +6,15 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from seqloom.llm import packing as P
 
 
 def test_ids_are_those_of_whole_texts():
     words = P._WordIds.of(P.tokenizer_path())
-    texts = [None, "", "  a  b\n\n", "<|endoftext|> x<|startoftext|>", "it's I'll 123 a1b2 ΣΑΣ İx é é x|y", "A B c\x1cd e\tf", "Hello, WORLD!!! (abc) ### $%$", "don't stop... e.g., 'tis 1,000.50"]
+    latin = ["Éa È.Ê, ÿß", "x=y{z}[w] a$$$ b*** c|d|e", "<|ENDOFTEXT|> Ab", "e\u0301a. =\u0338 a=\u0338"]
+    texts = [*latin, None, "", "  a  b\n\n", "<|endoftext|> x<|startoftext|>", "it's I'll 123 a1b2 ΣΑΣ İx é é x|y", "A B c\x1cd e\tf", "Hello, WORLD!!! (abc) ### $%$", "don't stop... e.g., 'tis 1,000.50"]
     ids, ends = P._ids_of(pa.array(texts), words)
     before = 0
     for text, end in zip(texts, ends, strict=True):
@@ -24,8 +26,10 @@ def test_packed_pieces_are_whole(spark):
     rng = random.Random(3)
     table = [(k, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([0, 5, 300, 1200, 5000])))) for k in range(60)] + [(7, "same"), (7, "same"), (None, None)]
     frame = spark.createDataFrame(table, "doc_id long, text string")
-    pieces = P.token_pieces(frame.withColumns({"cell": frame["doc_id"], "item": frame["text"]}))
+    names = ("tie", "cell", "item", "bin", "n", "label", "bins")
+    pieces = P.token_pieces(frame).withColumns({name: F.concat(F.lit(name), F.col("ids_crc32")) for name in names})
     rows = P.pack_pieces(pieces, cell=40).collect()
+    assert all(r[name] == f"{name}{r['ids_crc32']}" for r in rows for name in names)
     tokenizer = P._WordIds.of(P.tokenizer_path()).tokenizer
     wanted = []
     for key, text in table:
@@ -73,3 +77,34 @@ def test_evolution_never_loses_to_best_fit():
         assert len(found) <= len(plain)
         better += len(found) < len(plain)
     assert better >= 1
+
+
+def test_islands_beat_best_fit_through_the_query_path(spark):
+    """Best-fit of each cell misses what evolution, migration and the second deal reach."""
+    rng = random.Random(5)
+    lengths = [rng.randint(900, 2300) for _ in range(900)]
+    frame = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+    def used(**settings):
+        rows = P.pack_pieces(frame, cell=300, **settings).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(900))
+        return len({r["sequence_id"] for r in rows})
+
+    plain = len(P.best_fit(sorted(range(900), key=lambda i: -lengths[i]), lengths, [], 4096))
+    found = used(islands=3, epochs=4)
+    assert -(-sum(lengths) // 4096) <= found < plain
+    assert found <= used(islands=1, epochs=1)
+
+
+def test_second_deal_gathers_the_cells_rest(spark):
+    frame = spark.createDataFrame([(k, 0, 0, 100, k) for k in range(1000)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = P.pack_pieces(frame, cell=50).collect()
+    assert len({r["sequence_id"] for r in rows}) <= 30  # 40 without it
+
+
+def test_a_packing_that_comes_in_is_never_lost():
+    lengths = [3000, 1096, 2000, 2096, 1000]
+    perfect = [[0, 1], [2, 3], [4]]
+    found = P.evolve(lengths, [perfect], random.Random(0), crossovers=8)
+    assert len(found) == 3
+    assert P._bins(P._packing(found, lengths)) and P._packing(perfect, lengths).tolist() == [1, 1, 2, 2, 0]
