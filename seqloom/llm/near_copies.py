@@ -1,15 +1,18 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 Each text becomes the set of its word shingles and a MinHash signature. Every tree of the forest
-is a prefix trie over its own stretch of the signature: two texts meet at the node of their longest
-common prefix. The prefixes that must match are shortened from full depth until the expected
-recall at the threshold reaches the target. Texts that meet are verified on their whole shingle
-sets, in blocks of bounded size, so a large group of near copies is counted in matrix products and
-never written out as pairs.
+is a prefix trie over its own stretch of the signature, kept as the keys of its nodes, which Spark
+sorts; two texts meet in the node of a prefix that they share. Each text starts from full depth, and
+its prefix is shortened until the pairs that it can be part of, given how many shingles it has, meet
+with the target recall. Texts that meet are verified on their whole shingle sets, in blocks of
+bounded size, so a large group of near copies is counted in matrix products and never written out as
+pairs.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.999
 #: Shingles and texts that one side of a verification block has on average, at most.
 BLOCK, BLOCK_TEXTS = 1 << 18, 2048
+#: A smaller group is parted too, into blocks of so many texts, as long as there are no more blocks than that.
+PART_TEXTS, PARTS = 64, 64
 
 _MULTIPLY = np.random.RandomState(7).randint(0, 1 << 31, TREES * DEPTH, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = np.random.RandomState(8).randint(0, 1 << 32, TREES * DEPTH, dtype=np.int64).astype(np.uint32)
@@ -44,6 +49,37 @@ def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
     return depth
 
 
+@functools.lru_cache(maxsize=None)
+def least_similarity(size: int, threshold: float = THRESHOLD) -> float:
+    """The least similarity of at least ``threshold`` that a set of ``size`` can have with any other.
+
+    With k shared elements and e of the other set alone it is k / (size + e), so few values are
+    possible for a small set: one of three can only be equal to be similar at 0.8.
+    """
+    least = 1.0
+    for shared in range(max(1, math.ceil(threshold * size - 1e-9)), size + 1):
+        extra = math.floor(shared / threshold - size + 1e-9)
+        least = min(least, shared / (size + max(extra, 0)))
+    return least
+
+
+@functools.lru_cache(maxsize=None)
+def levels(size: int, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> tuple[int, ...]:
+    """The depths at which a text of ``size`` shingles stands in the forest, shortest prefix first.
+
+    The first is its own: full depth, shortened until the pairs that it can be part of meet with the
+    recall wanted. The others are those of texts that could be similar to it and stop before.
+    Two similar texts meet at the longer of their own depths, where both stand.
+    """
+    shortest = matched_depth(threshold, trees, depth, recall)
+    if matched_depth(min(1.0, threshold + 1 / (threshold * size)), trees, depth, recall) == shortest:
+        return (shortest,)  # so large that it and all that are near its size can come as close to the threshold
+    own = lambda n: matched_depth(least_similarity(n, threshold), trees, depth, recall)
+    mine = own(size)
+    near = range(max(1, math.ceil(threshold * size - 1e-9)), math.floor(size / threshold + 1e-9) + 1)
+    return tuple(sorted({mine} | {d for d in map(own, near) if d > mine}))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, so that sums of word hashes spread over all bits."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -104,15 +140,23 @@ def node_keys(values: np.ndarray, depth: int) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _signed(df: DataFrame, depth: int) -> DataFrame:
-    """(id, text_hash, shingles, nodes) of each row with words; nodes: its place in each tree."""
+def _nodes(hashes: np.ndarray, threshold: float, recall: float) -> np.ndarray:
+    """All nodes of the forest in which a shingle set stands."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    values = signature(hashes)
+    return np.concatenate([node_keys(values, depth) for depth in levels(len(hashes), threshold, recall=recall)])
+
+
+def _signed(df: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(id, text_hash, shingles, nodes) of each row; nodes: its places in all trees, none without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 sets = shingle_sets(part.column(2))
-                nodes = [node_keys(signature(s), depth) if len(s) else np.zeros(0, np.int64) for s in sets]
+                nodes = [_nodes(s, threshold, recall) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.list_(pa.int64()))],
                     ["id", "text_hash", "shingles", "nodes"],
@@ -240,7 +284,7 @@ def _text_classes(docs: DataFrame, threshold: float, recall: float) -> tuple[Dat
     is joined on longs; nothing returned depends on it.
     """
     ship_package(docs.sparkSession)
-    signed = cut(_signed(docs, matched_depth(threshold, recall=recall)))
+    signed = cut(_signed(docs, threshold, recall))
     worded = signed.filter("shingles > 0")
     texts = cut(
         worded.groupBy("text_hash").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("shingles").alias("shingles")).withColumn("key", F.monotonically_increasing_id())
@@ -251,7 +295,8 @@ def _text_classes(docs: DataFrame, threshold: float, recall: float) -> tuple[Dat
     stars = meet.join(heads, "node").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     groups = components(stars)
     members = groups.join(texts.withColumnRenamed("key", "id"), "id")
-    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    spread = F.least(F.ceil(F.count("*") / PART_TEXTS), F.lit(PARTS))
+    blocks = members.groupBy("root").agg(F.greatest(spread, F.ceil(F.sum("shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
     member = members.join(blocks, "root").select("id", "text_hash", "rep", "root", "copies", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
     verified = cut(_verified(docs, cut(member), threshold))
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))

@@ -135,3 +135,53 @@ def test_clean_documents_without_id_stay(spark):
     table = [(None, "a clean text of its own here"), (None, "and another one quite unlike it"), (3, "the first text of number three"), (3, "something else of number three altogether")]
     frame = spark.createDataFrame(table, "doc_id long, text string")
     assert sorted(r["text"] for r in N.keep_one(frame).collect()) == sorted(t for _, t in table)
+
+
+def test_least_similarity_equals_all_overlaps():
+    for size in range(1, 60):
+        every = [k / (size + extra) for k in range(1, size + 1) for extra in range(size) if k / (size + extra) >= 0.8 - 1e-12]
+        assert N.least_similarity(size) == pytest.approx(min(every)), size
+
+
+def test_texts_meet_with_the_recall_wanted_at_every_size():
+    """Whatever two sizes can be similar, both stand at a depth that gives pairs of theirs the recall."""
+    assert N.levels(3) == (8,) and N.levels(1000) == (7,) and {N.levels(n) for n in range(1, 200)} >= {(7,), (8,), (7, 8)}
+    for a in range(1, 130):
+        for b in range(a, int(a / 0.8) + 1):
+            own_a, own_b = N.levels(a), N.levels(b)
+            met = max(own_a[0], own_b[0])
+            assert met in own_a and met in own_b
+            for shared in range(1, a + 1):
+                likeness = shared / (a + b - shared)
+                if likeness >= 0.8:
+                    assert 1 - (1 - likeness**met) ** N.TREES >= N.RECALL, (a, b, shared)
+
+
+def test_many_small_near_copies_are_all_linked(spark):
+    """Short texts, whose prefixes are shortened unlike, against brute force."""
+    rng = random.Random(11)
+    table = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(4, 20))]
+        for _ in range(4):
+            cut_off = rng.randrange(0, 3)
+            table.append((len(table), " ".join(words[: len(words) - cut_off])))
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.jaccard_classes(frame).collect()}
+    assert found == brute(table)
+
+
+def test_parted_groups_are_whole(spark, monkeypatch):
+    """A group in many blocks has the links of one block."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    table = []
+    for k in range(150):
+        own = list(words)
+        for _ in range(rng.randrange(0, 12)):
+            own[rng.randrange(300)] = f"x{rng.randrange(50)}"
+        table.append((k, " ".join(own)))
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    monkeypatch.setattr(N, "PART_TEXTS", 9)
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.jaccard_classes(frame).collect()}
+    assert found == brute(table)
