@@ -2,8 +2,10 @@
 
 Every grade shares one weight for each hashed feature of a text; ordered thresholds split that one
 scale into grades: P(grade > k) = sigmoid(score - threshold_k). The expected grade and the tail
-probability of the grades wanted come out of the same scale. The model is fitted on a bounded,
-seeded sample of rated texts and is a vector of fixed length; scoring is a column function.
+probability of the grades wanted come out of the same scale. Which features get a weight is decided
+by a score test: those that say nothing of the grade are left out, so that long texts don't gather
+noise. The model is fitted on a bounded, seeded sample of rated texts and is a vector of fixed
+length; scoring is a column function.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from seqloom.plans.shipping import ship_package
 DIMENSIONS, SAMPLE_ROWS = 1 << 16, 8000
 #: The first ten of the last features stand for repetition; hashes stay below them.
 REPETITION = DIMENSIONS - 10
-#: Rounds and step of the fit, weight of the ridge in rows, and the share of the sample in which a
-#: feature must occur.
-ROUNDS, STEP, RIDGE, LEAST_SHARE = 200, 0.05, 8.0, 1 / 200
+#: Rounds and step of the fit, and weight of the ridge in rows.
+ROUNDS, STEP, RIDGE = 300, 0.05, 0.1
+#: Rated rows in which a feature must occur, and deviations by which its score must differ from nothing.
+LEAST_ROWS, LEAST_SCORE = 3, 4.0
 #: Distinct words that a Python worker remembers.
 CACHE = 100_000
-#: Grades are wanted from this one up, with at least this tail probability.
-WANTED, LEAST_TAIL = 2, 0.45
+#: Grades are wanted from this one up, with at least this tail probability: to lose a clean document
+#: counts half as much again as to keep another one.
+WANTED, LEAST_TAIL = 2, 0.4
 
 _SHAPES = bytes.maketrans(
     b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"a" * 26 + b"A" * 26 + b"0" * 10
@@ -47,7 +51,7 @@ def _features_of(word: str) -> tuple[int, int]:
         if not shape or shape[-1] != c:
             shape.append(c)
     letters = "".join(c for c in word if c.isalnum()).lower()
-    return zlib.crc32(b"w" + letters.encode()) % REPETITION, zlib.crc32(b"s" + bytes(shape[:12])) % REPETITION
+    return zlib.crc32(b"w" + letters.encode()) % REPETITION, zlib.crc32(b"s" + bytes(shape)) % REPETITION
 
 
 def features(texts: pa.Array, known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,50 +113,69 @@ def fit(texts: list[str], grades: np.ndarray, rounds: int = ROUNDS) -> OrdinalMo
     return fit_features(row, col, value, np.asarray(grades, dtype=np.int64), rounds)
 
 
+def telling(row: np.ndarray, col: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int) -> np.ndarray:
+    """Whether each feature's weight differs from nothing by a score test, thresholds fitted alone.
+
+    The score of a feature is the sum, over the rows that have it, of its value times the slope of a
+    row's log-likelihood; under no effect its variance is that of a random deal of the slopes.
+    """
+    n = len(grades)
+    tail = np.bincount(grades, minlength=levels)[::-1].cumsum()[::-1] / n  # P(grade >= k)
+    tail = np.append(tail, 0.0)
+    slope = tail * (1 - tail)
+    push = (slope[:-1] - slope[1:]) / np.maximum(tail[:-1] - tail[1:], 1e-9)
+    away = push[grades] - push[grades].mean()
+    score = np.bincount(col, weights=value * away[row], minlength=DIMENSIONS)
+    first, second = (np.bincount(col, weights=v, minlength=DIMENSIONS) for v in (value.astype(np.float64), value.astype(np.float64) ** 2))
+    spread = np.sqrt(np.maximum(second - first * first / n, 0) * away.var())
+    return (np.bincount(col, minlength=DIMENSIONS) >= LEAST_ROWS) & (np.abs(score) >= LEAST_SCORE * spread) & (spread > 0)
+
+
+def loss_and_slopes(weights: np.ndarray, first: float, gaps: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """Mean negative log-likelihood of the grades with a ridge, and its slopes.
+
+    Thresholds are ``first`` and what the exponentials of ``gaps`` add one after another.
+    """
+    n, levels = len(grades), len(gaps) + 2
+    cuts = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
+    score = np.bincount(row, weights=weights[at] * value, minlength=n)
+    over = _sigmoid(score[:, None] - cuts[None, :])
+    upper, lower = np.column_stack([np.ones(n), over]), np.column_stack([over, np.zeros(n)])
+    every = np.arange(n)
+    mass = np.maximum(upper[every, grades] - lower[every, grades], 1e-9)
+    slope = np.column_stack([np.zeros(n), over * (1 - over), np.zeros(n)])
+    d_score = -(slope[every, grades] - slope[every, grades + 1]) / mass / n
+    d_cut = np.zeros(levels - 1)
+    np.add.at(d_cut, np.maximum(grades - 1, 0), np.where(grades > 0, slope[every, grades] / mass, 0) / n)
+    np.add.at(d_cut, np.minimum(grades, levels - 2), np.where(grades < levels - 1, -slope[every, grades + 1] / mass, 0) / n)
+    d_gaps = np.array([d_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(levels - 2)])
+    d_weights = np.bincount(at, weights=d_score[row] * value, minlength=len(weights)) + RIDGE / n * weights
+    return float(-np.log(mass).mean() + RIDGE / n / 2 * (weights @ weights)), d_weights, float(d_cut.sum()), d_gaps
+
+
 def fit_features(row: np.ndarray, col: np.ndarray, value: np.ndarray, grades: np.ndarray, rounds: int = ROUNDS) -> OrdinalModel:
     """Fit by full-batch Adam on the likelihood of the grades with a ridge.
 
-    Features that occur in too few rows are left out. Thresholds stay ordered since only the first
-    and the logarithms of the gaps are free. Without rows every text gets the same score.
+    Features in too few rows and those that fail the score test have no weight. Thresholds stay
+    ordered since only the first and the logarithms of the gaps are free. Without rows every text gets
+    the same score.
     """
-    n, levels = len(grades), int(grades.max()) + 1 if len(grades) else 2
-    levels = max(levels, 2)
-    common = np.bincount(col, minlength=DIMENSIONS) >= max(3, n * LEAST_SHARE)
-    row, col, value = (x[common[col]] for x in (row, col, value))
+    n, levels = len(grades), max(int(grades.max()) + 1 if len(grades) else 2, 2)
+    if n:
+        kept = telling(row, col, value, grades, levels)[col]
+        row, col, value = row[kept], col[kept], value[kept]
     used, at = np.unique(col, return_inverse=True)
-    weights, first, gaps = np.zeros(len(used)), 0.0, np.zeros(levels - 2)
-    importance = np.full(n, 1 / max(n, 1))
-    moments = [(np.zeros_like(weights), np.zeros_like(weights)), (np.zeros(1), np.zeros(1)), (np.zeros_like(gaps), np.zeros_like(gaps))]
+    free = [np.zeros(len(used)), np.zeros(1), np.zeros(levels - 2)]
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in free]
     for step in range(1, rounds + 1 if n else 1):
-        cuts = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        score = np.bincount(row, weights=weights[at] * value, minlength=n)
-        over = _sigmoid(score[:, None] - cuts[None, :])
-        upper = np.column_stack([np.ones(n), over])
-        lower = np.column_stack([over, np.zeros(n)])
-        every = np.arange(n)
-        mass = np.maximum(upper[every, grades] - lower[every, grades], 1e-9)
-        slope = np.column_stack([np.zeros(n), over * (1 - over), np.zeros(n)])
-        d_score = -importance * (slope[every, grades] - slope[every, grades + 1]) / mass
-        d_cut = np.zeros(levels - 1)
-        np.add.at(d_cut, np.maximum(grades - 1, 0), np.where(grades > 0, importance * slope[every, grades] / mass, 0))
-        np.add.at(d_cut, np.minimum(grades, levels - 2), np.where(grades < levels - 1, -importance * slope[every, grades + 1] / mass, 0))
-        d_first = np.array([d_cut.sum()])
-        d_gaps = np.array([d_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(levels - 2)])
-        d_weights = np.bincount(at, weights=d_score[row] * value, minlength=len(used)) + RIDGE / n * weights
-        for k, grad in enumerate((d_weights, d_first, d_gaps)):
-            m, v = moments[k]
-            m[:] = 0.9 * m + 0.1 * grad
-            v[:] = 0.999 * v + 0.001 * grad * grad
-            move = STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            if k == 0:
-                weights -= move
-            elif k == 1:
-                first -= float(move[0])
-            else:
-                gaps -= move
+        _, *slopes = loss_and_slopes(free[0], float(free[1][0]), free[2], row, at, value, grades)
+        for x, (m, v), slope in zip(free, moments, slopes, strict=True):
+            m[:] = 0.9 * m + 0.1 * slope
+            v[:] = 0.999 * v + 0.001 * np.square(slope)
+            x -= STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     full = np.zeros(DIMENSIONS, dtype=np.float32)
-    full[used] = weights
-    return OrdinalModel(full, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+    full[used] = free[0]
+    return OrdinalModel(full, free[1][0] + np.concatenate(([0.0], np.cumsum(np.exp(free[2])))))
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
@@ -184,6 +207,8 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def fit_on(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fit on a bounded sample of rated documents; without any, every text gets the same score.
 
+    Needs ``doc_id`` and ``text`` in ``docs`` and ``doc_id`` in ``ratings``; further columns are ignored.
+    Null ids match no rating. Of repeated rows with one id the least text and the least grade count.
     Executors make the features; the driver gets those of ``rows`` documents at most, not texts.
     """
     ship_package(docs.sparkSession)
@@ -199,15 +224,17 @@ def fit_on(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int = SAMPL
     return fit_features(row, np.concatenate(col), value, np.array([r["grade"] for r in found], dtype=np.int64))
 
 
-#: Ratings of the labels table as one grade: 0 low quality, 1 readable but toxic, 2 good.
-LABEL_GRADE = "CASE WHEN quality IS NULL OR toxic IS NULL THEN NULL WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END"
+#: Ratings of the labels table as one grade, how many of them a document passes: 0 none (low quality and
+#: toxic), 1 one of them, 2 both. A rating that is missing leaves the document out.
+LABEL_GRADE = "CASE WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE (quality = 1)::int + (toxic = 0)::int END"
 
 
 def scorer(model: OrdinalModel, spark, wanted: int = WANTED) -> Callable[[Column], Column]:
     """A column function: text to struct<expected_grade, tail_prob>.
 
     ``tail_prob`` is P(grade >= wanted). Null and empty texts are scored as texts without words.
-    Equal texts get equal scores.
+    Whole texts are scored, however long. Equal texts get equal scores. Each row has its score,
+    whatever further columns there are.
     """
     ship_package(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.thresholds))
@@ -223,6 +250,9 @@ def scorer(model: OrdinalModel, spark, wanted: int = WANTED) -> Callable[[Column
 
 
 def select_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL, wanted: int = WANTED) -> DataFrame:
-    """The documents whose tail probability is high enough, with all their columns."""
+    """The documents whose tail probability is high enough, with all their columns.
+
+    Rows are judged one by one: repeated ones stay or go together, an empty table stays empty.
+    """
     score = scorer(model, docs.sparkSession, wanted)
     return docs.filter(score(F.col("text"))["tail_prob"] >= least_tail)
