@@ -20,6 +20,9 @@ from seqloom.plans.lineage import cut
 WORD_BITS = 60
 #: Bits of the first directory at most, and of each directory below an oversized slot.
 FIRST_BITS, NEXT_BITS = 24, 12
+#: Bits of the first directory beyond those by which an even spread would fit: few, since it is as large
+#: as they make it, and a bucket that is still too large gets a directory of its own.
+SPARE_BITS = 3
 #: Identical rows that one task numbers at most (see ``_overflow``).
 SALT_ROWS = 100_000
 
@@ -69,7 +72,8 @@ def extendible_shards(
     as a string of 0 and 1). A row that is over the limit alone is a shard of its own. Rows that
     agree in key and content share all bits; where they are over the limit together, ``shard``
     gets a suffix ``+salt.number``. Null keys hash like empty strings; an empty table gives no
-    rows; further columns of ``df`` are ignored, whatever their names.
+    rows; further columns of ``df`` are ignored, whatever their names. A key column that is named like
+    one of the three columns added comes back as ``key_<name>``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
@@ -83,7 +87,7 @@ def extendible_shards(
         )
     )
     total = slim.agg(F.sum("n_bytes")).first()[0] or 0
-    first = min(FIRST_BITS, 6 + max(0, math.ceil(math.log2(max(1, total / max_bytes)))))
+    first = min(FIRST_BITS, SPARE_BITS + max(0, math.ceil(math.log2(max(1, total / max_bytes)))))
     steps = [("h1", 0, first)]
     for word in ("h1", "h2"):
         start = first if word == "h1" else 0
@@ -118,7 +122,8 @@ def extendible_shards(
     out = out.select("key", "n_bytes", F.col("path").alias("shard"), F.length("path").alias("shard_depth"))
     if pending is not None:
         out = out.unionByName(_overflow(pending, max_bytes))
-    return out.select("key.*", "n_bytes", F.col("shard_depth").cast("long").alias("shard_depth"), "shard")
+    named = [F.col("key").getField(k).alias(f"key_{k}" if k in ("n_bytes", "shard_depth", "shard") else k) for k in keys]
+    return out.select(*named, "n_bytes", F.col("shard_depth").cast("long").alias("shard_depth"), "shard")
 
 
 def _overflow(rows: DataFrame, max_bytes: int) -> DataFrame:
@@ -127,12 +132,12 @@ def _overflow(rows: DataFrame, max_bytes: int) -> DataFrame:
     Such rows are alike in key and content, so any numbering does. Each group is dealt over
     enough salts that no task numbers more than about SALT_ROWS rows.
     """
+    # the number is stored before anything is dealt by it, so that a row computed again keeps its salt
+    rows = cut(rows.withColumn("number", F.monotonically_increasing_id()))
     groups = rows.groupBy("path").agg(F.count("*").alias("rows_here"), F.max("n_bytes").alias("largest"))
-    salted = rows.join(groups, "path").withColumn(
-        "salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("rows_here") / SALT_ROWS))
-    )
+    salted = rows.join(groups, "path").withColumn("salt", F.pmod(F.xxhash64("number"), F.ceil(F.col("rows_here") / SALT_ROWS)))
     fit = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest("largest", F.lit(1))))
-    place = F.row_number().over(Window.partitionBy("path", "salt").orderBy("n_bytes")) - 1
+    place = F.row_number().over(Window.partitionBy("path", "salt").orderBy("n_bytes", "number")) - 1
     return cut(salted.withColumn("place", place)).select(
         "key", "n_bytes",
         F.concat("path", F.lit("+"), F.col("salt").cast("string"), F.lit("."), F.floor(F.col("place") / fit).cast("string")).alias("shard"),
