@@ -33,11 +33,13 @@ class Layout:
     ``paths``: all its field paths, arrays marked by ``[]``. ``turns``: (array path, role field,
     text field) for layouts with a list of turns. ``parts``: (role, fields) for layouts with a field
     for each part; the fields of a part are joined by an empty line, and an empty part is left out.
+    ``rows``: (order field, role field, text field) for tables with a row for each turn.
     """
 
     paths: tuple[str, ...]
     turns: tuple[str, str, str] | None = None
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    rows: tuple[str, str, str] | None = None
 
     @property
     def fingerprint(self) -> str:
@@ -59,8 +61,8 @@ LAYOUTS = (
     Layout(("instruction", "output"), parts=(("user", ("instruction",)), ("assistant", ("output",)))),
     Layout(("instruction", "output", "system"), parts=(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
 )
-#: A table with a row for each turn.
-TURN_ROWS = fingerprint_paths(("conv_id", "role", "text", "turn"))
+#: Layouts of tables, in which ``conv_id`` stands beside a layout's fields.
+TABLE_LAYOUTS = (*LAYOUTS, Layout(("role", "text", "turn"), rows=("turn", "role", "text")), Layout(("content", "position", "role"), rows=("position", "role", "content")))
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -132,29 +134,25 @@ def to_turns(df: DataFrame, id_col: str, record_col: str, layouts: tuple[Layout,
     )
 
 
-def table_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+def table_turns(df: DataFrame, layouts: tuple[Layout, ...] = TABLE_LAYOUTS) -> DataFrame:
     """Canonical turns (conv_id, turns) of a whole table, its mapping picked by its schema's paths.
 
-    A table is either one row per turn (conv_id, turn, role, text) or one row per conversation with
-    ``conv_id`` beside the fields of a layout. Turns go by ``turn``, nulls first; equal ones by role,
-    then text. Null roles and texts are empty strings. A null conv_id is a conversation like others.
-    Raises ValueError where no mapping has the table's fingerprint. Extra columns must be dropped
-    before, since they are part of the fingerprint.
+    A table has ``conv_id`` beside the fields of a layout, one row per turn or per conversation.
+    Rows of turns go by the layout's order field, nulls first; equal ones by role, then text; their
+    roles stay as they are. Null roles and texts are empty strings. A null conv_id is a conversation like others. Columns that no
+    path of a layout begins with are not part of the fingerprint, so further ones are ignored as long
+    as just one layout fits what is left; an empty table gives no rows. Raises ValueError where no
+    mapping has the table's fingerprint, or more than one might be meant.
 
     A conversation becomes one value, as its format asks, so it is gathered in one task; each turn
     is reduced to role and text before.
     """
-    paths = schema_paths(df.schema)
-    if fingerprint_paths(paths) == TURN_ROWS:
-        turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    layout = _layout_of(df, layouts)
+    if layout.rows:
+        order, role, text = layout.rows
+        turn = F.struct(F.col(order), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         rows = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows"))
         return rows.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
-    mark = fingerprint_paths([p for p in paths if p != "conv_id"])
-    for layout in layouts:
-        if layout.fingerprint == mark:
-            break
-    else:
-        raise ValueError(f"no mapping for the paths {sorted(paths)}")
     if layout.turns:
         path, role, text = layout.turns
         turns = F.transform(path, lambda m: F.struct(_clean_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
@@ -164,6 +162,21 @@ def table_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFra
     return df.select("conv_id", turns.alias("turns"))
 
 
+def _layout_of(df: DataFrame, layouts: tuple[Layout, ...]) -> Layout:
+    """The one layout with the fingerprint of the table's paths, all of them or those of its columns."""
+    fields = {f.name: schema_paths(T.StructType([f])) for f in df.schema.fields if f.name != "conv_id"}
+    whole = fingerprint_paths([p for own in fields.values() for p in own])
+    found = [x for x in layouts if x.fingerprint == whole]
+    if not found:
+        heads = {x: {p.split(".")[0].removesuffix("[]") for p in x.paths} for x in layouts}
+        found = [x for x in layouts if x.fingerprint == fingerprint_paths([p for name in heads[x] & set(fields) for p in fields[name]])]
+        # a layout whose fields another one has too is the narrower reading of the same table
+        found = [x for x in found if not any(heads[x] < heads[y] for y in found)]
+    if len(found) != 1:
+        raise ValueError(f"{len(found) or 'no'} mappings for the paths {sorted(p for own in fields.values() for p in own)}")
+    return found[0]
+
+
 def escape(text: Column) -> Column:
     """Break up control strings: a backslash after their first character; backslashes double."""
     out = F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE * 2))
