@@ -133,20 +133,23 @@ def training_order(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return plan.select(id_col, F.posexplode("positions").alias("epoch", "position")).orderBy("position", id_col, "epoch")
 
 
-def repeat_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The rows of ``df``, each as often as its ``curriculum`` takes it, with all their columns.
+def repeat_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 2.0, **settings) -> DataFrame:
+    """The rows of ``df``, each as often as its ``curriculum`` takes it, range-sorted by training position.
 
-    Rows of one id are told apart by source and size; rows that agree in all three are dealt the
-    copies of their group as evenly as whole rows allow.
+    All columns stay, whatever their names. The words delivered are those planned: rows that agree
+    in id, source and size have the same mark, so the plan takes the first of them in each pass over
+    their source; they are numbered by the hash of their text and dealt these copies one by one.
+    Null ids are an id here. An empty table stays empty.
     """
-    plan = curriculum(df, id_col, text_col, source_col, **settings)
-    key = ["__id", "__source", "__size"]
-    of_plan = (
-        plan.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"))
-        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-        .filter("__copies > 0")
+    plan = curriculum(df, id_col, text_col, source_col, cap=cap, **settings)
+    passes = range(math.ceil(cap))
+    at = [F.get("positions", F.lit(k)) for k in passes]  # the places of a document in the passes over its source
+    group = lambda source, size: F.struct(F.col(id_col).alias("id"), source.cast("string").alias("source"), size.alias("size"))
+    dealt = plan.filter("copies > 0").groupBy(group(F.col(source_col), F.col("size")).alias("__group")).agg(
+        F.array(*[F.struct(F.count(p).alias("rows"), F.min(p).alias("position")) for p in at]).alias("__passes")
     )
-    rows = df.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": n_words(F.col(text_col))})
-    same = [rows[k].eqNullSafe(of_plan[k]) for k in key]
-    joined = rows.join(of_plan, same[0] & same[1] & same[2])
-    return joined.withColumn("__copy", F.explode(F.expr("sequence(1, cast(ceil(__copies / __rows) as int))"))).select(*[rows[c] for c in df.columns])
+    rows = df.withColumn("__group", group(F.col(source_col), n_words(F.col(text_col)))).join(dealt, "__group")
+    number = F.row_number().over(Window.partitionBy("__group").orderBy(F.md5(text_col)))
+    mine = F.transform(F.filter("__passes", lambda p: p["rows"] >= F.col("__number")), lambda p: p["position"])
+    copies = rows.withColumn("__number", number).withColumn("__position", F.explode(mine))
+    return copies.orderBy("__position", F.col(id_col).asc_nulls_first()).select(*[F.col(f"`{c}`") for c in df.columns])
