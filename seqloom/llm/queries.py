@@ -112,21 +112,25 @@ FROM f
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of all documents and of their edited texts, with their likeness."""
-    pairs = sketches.next_documents(_table(spark, sf_dir, "documents"))
+    docs = sketches.with_sketch(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "sketch", whole="whole")
+    # all shingles are compared only beside a text without a sample; that other text's are made again there
+    docs = docs.withColumn("whole", F.when(sketches.unsampled(F.col("sketch")), F.col("whole")))
+    pairs = sketches.next_documents(docs, carry=("sketch", "whole"))
     pairs = pairs.withColumn("edited", sketches.edited_text(F.col("text"), F.col("next_text")))
-    for text, out in (("text", "own_sketch"), ("edited", "edited_sketch"), ("next_text", "next_sketch")):
-        pairs = sketches.with_sketch(pairs, text, out, whole=f"{out}_whole")
-    own, own_whole = F.col("own_sketch"), F.col("own_sketch_whole")
-    edited, following = ((F.col(c), own_whole, F.col(f"{c}_whole")) for c in ("edited_sketch", "next_sketch"))
+    pairs = sketches.with_sketch(pairs, "edited", "edited_sketch", whole="edited_whole")
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    short = sketches.unsampled(own) | sketches.unsampled(following)
+    own_whole = F.coalesce("whole", sketches.shingle_hashes(F.col("text")))
+    next_whole = F.coalesce("next_whole", sketches.shingle_hashes(F.col("next_text")))
     return pairs.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         sketches.fingerprint(own).alias("fingerprint"),
-        sketches.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketches.likeness(own, *edited).alias("near_edited"),
-        sketches.likeness(own, *following).alias("near_next"),
-        sketches.containment(own, *edited).alias("held_by_edited"),
+        sketches.fingerprint(edited).alias("edited_fingerprint"),
+        sketches.likeness(own, edited, own_whole, F.col("edited_whole")).alias("near_edited"),
+        F.when(short, sketches.likeness(own, following, own_whole, next_whole)).otherwise(sketches.likeness(own, following)).alias("near_next"),
+        sketches.containment(own, edited, own_whole, F.col("edited_whole")).alias("held_by_edited"),
     )
 
 

@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 
 #: Words of a shingle, and the fraction of hashes that a sketch keeps.
 SHINGLE, FRACTION = 5, 1 / 8
-#: Hex digits that a fingerprint shows of each hash.
-DIGITS = 12
-#: Rows of a bucket of neighbouring ids on average, and buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 1000, 16_384
+#: Hex digits that a fingerprint shows of each hash: all of them.
+DIGITS = 16
+#: Rows of a range of neighbouring ids on average, ranges at most, and ids that the driver sees for each.
+BUCKET_ROWS, MOST_BUCKETS, SEEN = 1000, 16_384, 8
 
 
 def words(text: Column) -> Column:
@@ -29,6 +29,23 @@ def _limit(fraction: float) -> Column:
     return F.lit(min(-(1 << 63) + int(fraction * (1 << 64)), (1 << 63) - 1)).cast("long")
 
 
+def _marks(text: Column) -> Column:
+    """The hash of each word of a text."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def _runs(mark: Column, size: int) -> Column:
+    """The hash of each shingle, given the hashes of the words; fewer words than a shingle are one of them all."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(mark) - size), lambda i: F.xxhash64(*[F.get(mark, i + k) for k in range(size)]))
+    single = F.array(F.aggregate(mark, F.lit(0).cast("long"), lambda a, w: F.xxhash64(a, w)))
+    return F.when(F.size(mark) >= size, runs).when(F.size(mark) > 0, single).otherwise(F.array().cast("array<bigint>"))
+
+
+def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
+    """All shingle hashes of a text, in text order."""
+    return F.get(F.transform(F.array(_marks(text)), lambda mark: _runs(mark, size)), F.lit(0))
+
+
 def with_sketch(df: DataFrame, text: str, out: str, size: int = SHINGLE, fraction: float = FRACTION, whole: str | None = None) -> DataFrame:
     """Add the sketch of a text column: ascending distinct hashes below the fraction.
 
@@ -38,21 +55,17 @@ def with_sketch(df: DataFrame, text: str, out: str, size: int = SHINGLE, fractio
     shingle hashes, in text order, by which texts without a sample are compared exactly.
     """
     marks, hashes, kept = f"__{out}_marks", f"__{out}_hashes", f"__{out}_kept"
-    mark = F.col(marks)
-    runs = F.transform(F.sequence(F.lit(0), F.size(mark) - size), lambda i: F.xxhash64(*[F.get(mark, i + k) for k in range(size)]))
-    single = F.array(F.aggregate(mark, F.lit(0).cast("long"), lambda a, w: F.xxhash64(a, w)))
-    none = F.array().cast("array<bigint>")
     limit = _limit(fraction)
     found = (
-        df.withColumn(marks, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
-        .withColumn(hashes, F.when(F.size(mark) >= size, runs).when(F.size(mark) > 0, single).otherwise(none))
+        df.withColumn(marks, _marks(F.col(text)))
+        .withColumn(hashes, _runs(F.col(marks), size))
         .withColumn(kept, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < limit))))
         .withColumn(out, F.when((F.size(kept) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.col(kept)))
     )
     return (found.withColumn(whole, F.col(hashes)) if whole else found).drop(marks, hashes, kept)
 
 
-def _unsampled(sketch: Column, fraction: float) -> Column:
+def unsampled(sketch: Column, fraction: float = FRACTION) -> Column:
     """Whether a sketch has a stand-in only."""
     return F.coalesce(F.get(sketch, F.lit(0)) >= _limit(fraction), F.lit(False))
 
@@ -74,7 +87,7 @@ def likeness(a: Column, b: Column, whole_a: Column | None = None, whole_b: Colum
     sets, and without these it is null, since the sketches can't tell.
     """
     exact = F.lit(None).cast("double") if whole_a is None or whole_b is None else _likeness(whole_a, whole_b)
-    return F.when(_unsampled(a, fraction) | _unsampled(b, fraction), exact).otherwise(_likeness(a, b))
+    return F.when(unsampled(a, fraction) | unsampled(b, fraction), exact).otherwise(_likeness(a, b))
 
 
 def containment(a: Column, b: Column, whole_a: Column | None = None, whole_b: Column | None = None, fraction: float = FRACTION) -> Column:
@@ -83,7 +96,7 @@ def containment(a: Column, b: Column, whole_a: Column | None = None, whole_b: Co
     Exact on the whole sets, or null without these, where one of the texts has no sample.
     """
     exact = F.lit(None).cast("double") if whole_a is None or whole_b is None else _containment(whole_a, whole_b)
-    return F.when(_unsampled(a, fraction) | _unsampled(b, fraction), exact).otherwise(_containment(a, b))
+    return F.when(unsampled(a, fraction) | unsampled(b, fraction), exact).otherwise(_containment(a, b))
 
 
 def merge_sketches(df: DataFrame, by: list[str], sketch: str, fraction: float = FRACTION) -> DataFrame:
@@ -100,22 +113,20 @@ def fingerprint(sketch: Column, digits: int = DIGITS) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.substring(F.lpad(F.hex(h), 16, "0"), 1, digits)), "")
 
 
-def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each document beside the next one by ascending id, the last beside the first.
 
-    Returns (id, text, next_text). Ids are dealt into ranges by approximate quantiles, at most
-    MOST_BUCKETS longs on the driver; each range is sorted by itself and ends with a copy of the
-    first document of the range that follows, so the texts are shuffled once and no task sees more
-    than a range. Null ids come first; equal ids go by text. Null texts: empty.
+    Returns (id, text, next_text), and each column c of ``carry`` with its next one as next_<c>. Ids may
+    be of any type that sorts. They are dealt into ranges by a seeded sample of SEEN ids a range, so
+    MOST_BUCKETS x SEEN ids on the driver at most; each range is sorted by itself and ends with a copy
+    of the first document of the range that follows, so the texts are shuffled once and no task
+    holds more than a row. Null ids come first; equal ids go by text. Null texts: empty. An empty
+    table gives no rows; further columns are ignored.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    held = [F.col(c).alias(f"__{c}") for c in carry]
+    docs = df.select(F.col(id_col).alias("id"), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *held).alias("doc"))
     ids = docs.select("id")
-    rows = ids.count()
-    count = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
-    cuts: list[int] = []
-    if count > 1:
-        steps = [i / count for i in range(1, count)]
-        cuts = sorted(set(ids.agg(F.percentile_approx("id", steps, max(10_000, 4 * count))).first()[0] or []))
+    cuts = _cuts(ids)
     bucket = _bucket(F.col("id"), cuts)
     firsts = ids.groupBy(bucket.alias("own")).agg(F.min(F.struct("id")).getField("id").alias("least"))
     by_range = Window.orderBy("own")
@@ -127,19 +138,29 @@ def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = (
         docs.join(F.broadcast(follow), docs["id"].eqNullSafe(follow["least"]))
         .groupBy("bucket", "id")
-        .agg(F.min("text").alias("text"))
-        .select("bucket", F.lit(1).alias("end"), "id", "text")
-    )
-    rows_in = docs.select(bucket.alias("bucket"), F.lit(0).alias("end"), "id", "text").unionByName(ends)
-    order = Window.partitionBy("bucket").orderBy("end", F.col("id").asc_nulls_first(), "text")
-    return (
-        rows_in.withColumn("next_text", F.lead("text").over(order))
-        .filter(F.col("end") == 0)
-        .select(F.col("id").alias(id_col), F.col("text").alias(text_col), "next_text")
+        .agg(F.min("doc").alias("doc"))
+        .select("bucket", F.lit(1).alias("end"), "id", "doc")
     )
+    rows_in = docs.select(bucket.alias("bucket"), F.lit(0).alias("end"), "id", "doc").unionByName(ends)
+    order = Window.partitionBy("bucket").orderBy("end", F.col("id").asc_nulls_first(), "doc.text")
+    paired = rows_in.withColumn("next", F.lead("doc").over(order)).filter(F.col("end") == 0)
+    more = [c for name in carry for c in (F.col(f"doc.__{name}").alias(name), F.col(f"next.__{name}").alias(f"next_{name}"))]
+    return paired.select(F.col("id").alias(id_col), F.col("doc.text").alias(text_col), F.col("next.text").alias("next_text"), *more)
+
+
+def _cuts(ids: DataFrame) -> list:
+    """Where ranges of ids begin: evenly spaced values of a bounded sample, which a hash of the id picks."""
+    rows = ids.count()
+    count = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
+    if count == 1:
+        return []
+    share = min(1.0, SEEN * count / rows)
+    mark = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    seen = sorted(r["id"] for r in ids.filter(mark & F.col("id").isNotNull()).distinct().collect())
+    return sorted({seen[len(seen) * i // count] for i in range(1, count)}) if seen else []
 
 
-def _bucket(value: Column, cuts: list[int]) -> Column:
+def _bucket(value: Column, cuts: list) -> Column:
     """Number of cuts at or below a value, found in two steps of about the square root each."""
     if not cuts:
         return F.lit(0)

@@ -251,3 +251,59 @@ def test_short_texts_inside_long_ones_are_held(spark):
     assert len(alone) > 20 and {r["c"] for r in found} == {1.0}
     assert {r["l"] for r in alone} == {2 / 396} and {r["unknown"] for r in alone} == {None}
     assert all(r["hash"] < limit for r in sketches.merge_sketches(rows.groupBy("a").count(), [], "a").collect())
+
+
+# repeats, clashing names, ids of other types
+
+
+def test_words_delivered_are_those_planned(spark):
+    rng = random.Random(21)
+    table = [(7, "a b c d e f g h i j k l m n o p", "s")] * 1001 + [(k, "w " * rng.randrange(0, 30), rng.choice(["s", "t", None])) for k in range(300)] + [(None, "n u l l", "t")] * 40 + [(5, "x y", None), (5, "y x", None)]
+    frame = docs(spark, table).withColumns({"size": F.lit(1), "copies": F.lit(2), "position": F.lit(3), "positions": F.lit(4), "id": F.lit(5)})
+    planned = {(r["doc_id"], r["source"]): r["n"] for r in mixing.curriculum(frame).groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).collect() if r["n"]}
+    out = mixing.repeat_documents(frame)
+    assert out.columns == frame.columns
+    found = {(r["doc_id"], r["source"]): r["n"] for r in out.groupBy("doc_id", "source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert found == planned
+    assert sum(found.values()) == sum(planned.values())
+    assert mixing.repeat_documents(docs(spark, [])).count() == 0
+
+
+def test_rows_come_in_training_order(spark):
+    table = [(k, "w " * (1 + k % 9), "stu"[k % 3]) for k in range(400)]
+    frame = docs(spark, table)
+    first = {r["doc_id"]: r["positions"] for r in mixing.curriculum(frame).collect()}
+    passes, last = {}, -1.0
+    for r in mixing.repeat_documents(frame).collect():
+        k = passes.get(r["doc_id"], 0)
+        passes[r["doc_id"]] = k + 1
+        assert first[r["doc_id"]][k] >= last
+        last = first[r["doc_id"]][k]
+
+
+def test_a_key_named_like_an_output_has_a_name_of_its_own(spark):
+    frame = docs(spark, [(1, "a", "s"), (2, "b", "s")]).withColumnRenamed("doc_id", "shard")
+    found = sharding.extendible_shards(frame, "shard", F.octet_length("text"), 10)
+    assert found.columns == ["key_shard", "n_bytes", "shard_depth", "shard"] and sorted(r["key_shard"] for r in found.collect()) == [1, 2]
+
+
+def test_tables_with_further_columns_and_other_names(spark):
+    rows = spark.createDataFrame([(1, 1, "assistant", "b", 0), (1, 0, "user", "a", 0), (2, None, None, None, 0)], "conv_id long, position long, role string, content string, extra int")
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.table_turns(rows).collect()} == {1: [("user", "a"), ("assistant", "b")], 2: [("", "")]}
+    pair = spark.createDataFrame([(1, "q", "a", "x")], "conv_id long, prompt string, response string, source string")
+    assert [tuple(t) for t in chat.table_turns(pair).first()["turns"]] == [("user", "q"), ("assistant", "a")]
+    with pytest.raises(ValueError, match="2 mappings"):
+        chat.table_turns(spark.createDataFrame([(1, "q", "a", "x")], "conv_id long, prompt string, response string, completion string"))
+    roles = spark.createDataFrame([(1, 0, "human", "a")], "conv_id long, turn long, role string, text string")
+    assert chat.table_turns(roles).first()["turns"][0]["role"] == "human"
+
+
+def test_next_documents_of_string_ids_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "BUCKET_ROWS", 20)
+    rng = random.Random(5)
+    names = sorted({f"k{rng.randrange(10_000)}" for _ in range(400)}) + ["k5", "k5"]
+    table = [(n, f"text {k}") for k, n in enumerate(names)] + [(None, "none")]
+    frame = spark.createDataFrame(rng.sample(table, len(table)), "doc_id string, text string")
+    order = sorted(table, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    wanted = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in sketches.next_documents(frame).collect()) == wanted
