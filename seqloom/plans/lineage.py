@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and return it with its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The rows go to the reliable checkpoint folder, so a lost executor costs no more than a
-    reread. The folder is the session's ``spark.checkpoint.dir``; a local one is set only where
-    the session has none, as in tests.
+    It is what ``spark.checkpoint.dir`` names. A session in local mode without one, as in tests, gets
+    a temporary folder; on a cluster that would be another one on each machine, so it raises.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and return it with its lineage cut.
+
+    The rows go to the reliable checkpoint folder, so a lost executor costs no more than a
+    reread. Spark removes them with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
