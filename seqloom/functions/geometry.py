@@ -19,6 +19,14 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(square[0] + square[1] + square[2])
 
 
+def rounded_to_half(value: Column) -> Column:
+    """A number that is not negative, rounded to what half precision can hold, ties to even; what is over
+    its largest number is infinite."""
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(value, F.lit(2.0**-14)))), F.lit(-14)) - 10)
+    near = F.rint(value / step) * step
+    return F.when(near > 65504, F.lit(float("inf"))).otherwise(near)
+
+
 def enforce_structure(coords: Column, plddt: Column, threshold: float = 70.0) -> Column:
     """struct<coords, plddt> under the rules for partly or doubtfully known residues.
 

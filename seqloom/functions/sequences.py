@@ -115,8 +115,19 @@ def needs_structure(df: DataFrame, name: str = "name") -> DataFrame:
     return df.filter(~F.startswith(F.col(name), F.lit("UPI"))).dropDuplicates([name])
 
 
-def check_alignment(df: DataFrame, by: str, aligned: str) -> DataFrame:
-    """One row per alignment: (by, n_rows, width, n_widths); a sound one has a single width."""
+def check_alignment(df: DataFrame, by: str, aligned: str, fail: bool = False) -> DataFrame:
+    """One row per alignment: (by, n_rows, width, n_widths); a sound one has a single width.
+
+    ``fail``: raise where an alignment's rows differ in width, as stacking them would.
+    """
+    found = _widths(df, by, aligned)
+    if not fail:
+        return found
+    wrong = F.concat(F.lit("rows differ in width in alignment "), F.coalesce(F.col(by).cast("string"), F.lit("(null)")))
+    return found.withColumn("width", F.when(F.col("n_widths") > 1, F.raise_error(wrong).cast("bigint")).otherwise(F.col("width")))
+
+
+def _widths(df: DataFrame, by: str, aligned: str) -> DataFrame:
     return df.groupBy(by).agg(
         F.count("*").alias("n_rows"), F.max(F.length(aligned)).cast("bigint").alias("width"), F.countDistinct(F.length(aligned)).alias("n_widths")
     )

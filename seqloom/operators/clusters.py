@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.sequences import is_structural
+from seqloom.functions.sequences import is_structural, structural_source
 
 
 def cluster_pairs(df: DataFrame) -> DataFrame:
@@ -99,6 +99,20 @@ def sampling_records(members: DataFrame, seed: str = "seed", cluster: str = "clu
     return members.join(table, [seed, cluster]).select(seed, cluster, member, "cluster_size", "probability")
 
 
+def run_summary(records: DataFrame, seed: str = "seed", cluster: str = "cluster") -> DataFrame:
+    """Totals of a sampling run for each seed: its clusters and members, the size of the largest cluster, and
+    the least and most weight that a cluster has."""
+    each = records.groupBy(seed, cluster).agg(F.count("*").alias("size"), F.sum("probability").alias("weight"))
+    return each.groupBy(seed).agg(
+        F.count("*").alias("n_clusters"), F.sum("size").alias("n_members"), F.max("size").alias("largest"), F.min("weight").alias("least_weight"), F.max("weight").alias("most_weight")
+    )
+
+
+def distinct_structures(df: DataFrame, value: str) -> DataFrame:
+    """(structure): the distinct structures that values name, without their prefix; other values name none."""
+    return df.select(structural_source(F.col(value)).alias("structure")).filter("structure IS NOT NULL").distinct()
+
+
 def cluster_report(records: DataFrame, seed: str = "seed", cluster: str = "cluster") -> DataFrame:
     """Size and weight of each cluster, and totals of its seed."""
     each = records.groupBy(seed, cluster).agg(F.count("*").alias("size"), F.sum("probability").alias("weight"))

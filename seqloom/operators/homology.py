@@ -2,58 +2,87 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.lineage import cut
 from seqloom.plans.shipping import ship_package
 
 #: Distinct rows of one side of a block.
 BLOCK = 1024
 
+#: A pair kernel: (rows, columns) codes of two blocks and the gap's code, to matches of all pairs.
+Kernel = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+
 
 def pair_matches(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
-    """Equal columns, gaps never counting, of all pairs of rows of two byte matrices."""
+    """Equal columns, gaps never counting, of all pairs of rows of two code matrices.
+
+    One side's gaps become a code that no row has. Columns add up in bytes, as many as a byte can
+    count, and these sums in 32 bits.
+    """
+    free = np.iinfo(a.dtype).max
+    left, right = np.ascontiguousarray(np.where(a == gap, free, a).T), np.ascontiguousarray(b.T)
     out = np.zeros((len(a), len(b)), dtype=np.int32)
-    for column in range(a.shape[1] if len(a) and len(b) else 0):
-        x, y = a[:, column], b[:, column]
-        out += (x[:, None] == y[None, :]) & (x != gap)[:, None]
+    same = np.empty(out.shape, dtype=bool)
+    for start in range(0, len(left), 255):
+        some = np.zeros(out.shape, dtype=np.uint8)
+        for x, y in zip(left[start : start + 255], right[start : start + 255], strict=True):
+            np.equal(x[:, None], y[None, :], out=same)
+            some += same.view(np.uint8)
+        out += some
     return out
 
 
+def _codes(rows: list[str], gap: str) -> tuple[np.ndarray, int]:
+    """Rows of one width as a matrix of small codes, and the gap's code; any characters are told apart."""
+    points = np.frombuffer("".join(rows).encode("utf-32-le"), dtype="<u4")
+    symbols, codes = np.unique(np.append(points, ord(gap)), return_inverse=True)
+    kind = np.uint8 if len(symbols) < 255 else np.uint32
+    return codes[:-1].astype(kind).reshape(len(rows), -1), int(codes[-1])
+
+
 def match_expression(a: F.Column, b: F.Column, gap: str = "-") -> F.Column:
     """The same count for one pair as a column expression, where pairs are few."""
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda p, q: (p == q) & (p != gap))
     return F.size(F.filter(same, lambda m: m))
 
 
-def row_statistics(rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str = "msa", row: str = "row_id", aligned: str = "aligned", block: int = BLOCK) -> DataFrame:
+def row_statistics(
+    rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str = "msa", row: str = "row_id", aligned: str = "aligned", block: int = BLOCK, kernel: Kernel = pair_matches,
+) -> DataFrame:
     """For each row of each alignment, over all its pairs (itself included):
     (msa, row, neighbors, matches, best_other).
 
     ``neighbors``: rows j with ``1 - matches(i, j) / nongap(i) <= theta``; asymmetric, since i sets the
-    scale. ``matches``: sum of equal columns over all j; ``best_other``: most equal columns with
-    another row, null for a single one. A row of gaps alone raises.
+    scale. ``matches``: sum of ``kernel`` (equal columns) over all j; ``best_other``: its most with
+    another row, null for a single one. Rows belong to (msa, row): row ids may be of any type and may
+    repeat in other alignments. A null alignment is one like others. A row of gaps alone raises, and
+    so do rows of one alignment that differ in width.
 
     Equal rows are folded with their number first. The distinct rows of an alignment are dealt
     into blocks, and each pair of blocks is one task of two bounded matrices, so the output is
     linear and the work of the quadratic comparison spreads over all tasks.
     """
     ship_package(rows.sparkSession)
-    folded = rows.groupBy(msa, aligned).agg(F.count("*").alias("copies"), F.min(row).alias("head"))
-    sizes = folded.groupBy(msa).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = folded.join(sizes, msa).withColumn("own", F.pmod(F.xxhash64("head"), "blocks").cast("int"))
+    # a struct is equal to another one where both hold null, so null alignments group and join like others
+    named = rows.withColumn("__msa", F.struct(F.col(msa).alias("of")))
+    folded = cut(named.groupBy("__msa", F.col(aligned).alias("__aligned")).agg(F.count("*").alias("copies")).withColumn("head", F.monotonically_increasing_id()))
+    width = F.length("__aligned")
+    ragged = F.when(F.min(width) != F.max(width), F.raise_error("rows of an alignment differ in width"))
+    blocks = F.coalesce(ragged.cast("int"), F.ceil(F.count("*") / block).cast("int"))
+    sizes = cut(folded.groupBy("__msa").agg(blocks.alias("blocks")).withColumn("no", F.monotonically_increasing_id()))
+    placed = folded.join(sizes, "__msa").withColumn("own", F.pmod(F.xxhash64("head"), "blocks").cast("int"))
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = each.select(
-        F.col(msa).alias("msa"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
-        F.col("head").cast("long").alias("head"), F.col(aligned).alias("aligned"), "copies",
-    )
-    mark = ord(gap)
+    task = each.select("no", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "head", "__aligned", "copies")
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
+    def compare(part: pd.DataFrame) -> list[pd.DataFrame]:
         low, high = int(part["low"].iloc[0]), int(part["high"].iloc[0])
-        matrix = np.frombuffer("".join(part["aligned"]).encode("latin-1", "replace"), dtype=np.uint8).reshape(len(part), -1)
+        matrix, mark = _codes(part["__aligned"].tolist(), gap)
         copies, heads = part["copies"].to_numpy(), part["head"].to_numpy()
         own = part["own"].to_numpy()
         out = []
@@ -61,24 +90,35 @@ def row_statistics(rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str
             i, j = np.flatnonzero(own == side), np.flatnonzero(own == against)
             for at in range(0, len(i), 256):
                 here = i[at : at + 256]
-                same = pair_matches(matrix[here], matrix[j], mark)
+                same = kernel(matrix[here], matrix[j], mark)
                 length = (matrix[here] != mark).sum(axis=1)
                 if (length == 0).any():
                     raise ValueError("an alignment row has gaps only")
                 near = 1 - same / length[:, None] <= theta
                 another = same - 1_000_000 * ((heads[here][:, None] == heads[j][None, :]) & (copies[here] < 2)[:, None])
-                out.append(pd.DataFrame({
-                    "head": heads[here], "neighbors": near @ copies[j], "matches": same.astype(np.int64) @ copies[j],
-                    "best": another.max(axis=1) if len(j) else np.full(len(here), -1_000_000),
-                }))
-        return pd.concat(out)
-
-    parts = task.groupBy("msa", "low", "high").applyInPandas(compare, "head long, neighbors long, matches long, best long")
-    totals = parts.groupBy("head").agg(F.sum("neighbors").alias("neighbors"), F.sum("matches").alias("matches"), F.max("best").alias("best"))
-    found = folded.join(totals, folded["head"] == totals["head"]).select(F.col(msa), F.col(aligned), "neighbors", "matches", "best")
-    return rows.select(msa, row, aligned).join(found, [msa, aligned]).select(
-        msa, row, "neighbors", "matches", F.when(F.col("best") >= 0, F.col("best")).alias("best_other")
-    )
+                best = another.max(axis=1) if len(j) else np.full(len(here), -1_000_000)
+                out.append(pd.DataFrame({"head": heads[here], "neighbors": near @ copies[j], "matches": same.astype(np.int64) @ copies[j], "best": best}))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tasks come one after another, each whole but maybe over several batches; many are small."""
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key = rows[["no", "low", "high"]].to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1))
+            done = [x for a, b in zip(starts[:-1], starts[1:], strict=True) for x in compare(rows.iloc[a:b])]
+            rest = rows.iloc[starts[-1] :] if len(rows) else None
+            if done:
+                yield pd.concat(done)
+        if rest is not None:
+            yield from compare(rest)
+
+    dealt = task.repartition("no", "low", "high").sortWithinPartitions("no", "low", "high")
+    found = dealt.mapInPandas(run, "head long, neighbors long, matches long, best long")
+    totals = found.groupBy("head").agg(F.sum("neighbors").alias("neighbors"), F.sum("matches").alias("matches"), F.max("best").alias("best"))
+    known = folded.join(totals, "head").select("__msa", "__aligned", "neighbors", "matches", F.when(F.col("best") >= 0, F.col("best")).alias("best_other"))
+    return named.select(msa, row, "__msa", F.col(aligned).alias("__aligned")).join(known, ["__msa", "__aligned"]).select(msa, row, "neighbors", "matches", "best_other")
 
 
 def neighbor_counts(rows: DataFrame, theta: float = 0.2, **names) -> DataFrame:
@@ -90,6 +130,6 @@ def neighbor_counts(rows: DataFrame, theta: float = 0.2, **names) -> DataFrame:
 def homology_weights(rows: DataFrame, theta: float = 0.2, msa: str = "msa", row: str = "row_id", aligned: str = "aligned") -> DataFrame:
     """(msa, row, neighbors, n_eff, weight): the effective number of rows of each alignment, and each
     row's share of it, on the unfiltered alignment."""
-    counts = neighbor_counts(rows, theta, msa=msa, row=row, aligned=aligned)
-    total = counts.groupBy(msa).agg(F.sum(F.lit(1.0) / F.col("neighbors")).alias("n_eff"))
-    return counts.join(total, msa).withColumn("weight", F.lit(1.0) / F.col("neighbors") / F.col("n_eff"))
+    counts = neighbor_counts(rows, theta, msa=msa, row=row, aligned=aligned).withColumn("__msa", F.struct(F.col(msa).alias("of")))
+    total = counts.groupBy("__msa").agg(F.sum(F.lit(1.0) / F.col("neighbors")).alias("n_eff"))
+    return counts.join(total, "__msa").drop("__msa").withColumn("weight", F.lit(1.0) / F.col("neighbors") / F.col("n_eff"))

@@ -163,24 +163,43 @@ def weighted_draws(records: DataFrame, k: int, seed: int = 0, by: str = "seed",
     The running sum of weights and the draws are sorted together, and each draw takes the last
     item that starts at or before it, so the work is n + k a group and not n x k.
     """
-    run = Window.partitionBy(by).orderBy(item).rowsBetween(Window.unboundedPreceding, -1)
-    starts = records.select(by, F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("draw"), F.col(item).alias("item"), F.coalesce(F.sum(weight).over(run), F.lit(0.0)).alias("at"))
+    groups = records.select(by).distinct()
+    return _drawn(records, groups.withColumn("__of", F.col(by)), k, seed, by, [item], item, weight).drop("__of")
+
+
+def _drawn(records: DataFrame, askers: DataFrame, k: int, seed: int, by: str, order: list[str], item: str, weight: str) -> DataFrame:
+    """k draws for each of ``askers`` (by, __of) from the group ``by`` of records: (by, __of, draw, item).
+
+    A group's running sum is made once, however many ask. Draws are hashes of the asker and the
+    number of the draw.
+    """
+    run = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    of_kind = askers.schema["__of"].dataType
+    starts = records.select(
+        by, F.lit(None).cast(of_kind).alias("__of"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("draw"), F.col(item).alias("item"),
+        F.coalesce(F.sum(weight).over(run), F.lit(0.0)).alias("at"),
+    )
     totals = records.groupBy(by).agg(F.sum(weight).alias("total"))
-    draws = totals.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))).select(
-        by, F.lit(1).alias("kind"), "draw", F.lit(None).cast(records.schema[item].dataType).alias("item"),
-        (uniform(seed, F.concat_ws("/", F.col(by).cast("string"), F.col("draw").cast("string"))) * F.col("total")).alias("at"),
+    each = askers.join(totals, by).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
+    draws = each.select(
+        by, "__of", F.lit(1).alias("kind"), "draw", F.lit(None).cast(records.schema[item].dataType).alias("item"),
+        (uniform(seed, F.concat_ws("/", F.col("__of").cast("string"), F.col("draw").cast("string"))) * F.col("total")).alias("at"),
     )
-    order = Window.partitionBy(by).orderBy("at", "kind", "item").rowsBetween(Window.unboundedPreceding, 0)
-    return starts.unionByName(draws).withColumn("item", F.last("item", ignorenulls=True).over(order)).filter("kind = 1").select(by, "draw", F.col("item").alias(item))
+    together = Window.partitionBy(by).orderBy("at", "kind", "item").rowsBetween(Window.unboundedPreceding, 0)
+    found = starts.unionByName(draws).withColumn("item", F.last("item", ignorenulls=True).over(together))
+    return found.filter("kind = 1").select(by, "__of", "draw", F.col("item").alias(item))
 
 
 def sample_homologs(seeds: DataFrame, parents: DataFrame, clusters: DataFrame, members: DataFrame, k: int = 100, seed: int = 0) -> DataFrame:
     """k homologs of each seed: (seed, draw, member).
 
     ``parents`` (seed, parent), ``clusters`` (parent, cluster), ``members`` (cluster, member). Seeds without
-    parent, cluster or member get none. All seeds run in one job.
+    parent, cluster or member get none. All seeds of a parent draw from one distribution, which is
+    made once, so the work grows with members and draws and not with seeds times members.
     """
     from seqloom.operators.clusters import sampling_records
 
-    rows = seeds.join(parents, "seed").join(clusters, "parent").join(members, "cluster").select("seed", "cluster", "member")
-    return weighted_draws(sampling_records(rows), k, seed)
+    asking = seeds.select("seed").distinct().join(parents, "seed").select("parent", F.col("seed").alias("__of")).distinct()
+    rows = clusters.join(members, "cluster").select("parent", "cluster", "member")
+    records = sampling_records(rows.join(asking.select("parent").distinct(), "parent", "left_semi"), seed="parent")
+    return _drawn(records, asking, k, seed, "parent", ["cluster", "member"], "member", "probability").select(F.col("__of").alias("seed"), "draw", "member")

@@ -59,11 +59,19 @@ def loss_mask(target: Column, base: Column | None = None) -> Column:
     return mask if base is None else base & mask
 
 
-def assert_targets(df: DataFrame, target: str, size: int, missing: int = MAIN.missing) -> DataFrame:
+def bad_targets(df: DataFrame, target: str, size: int, missing: int = MAIN.missing) -> DataFrame:
     """Rows with a target that is neither the mask nor a token."""
     return df.filter((F.col(target) != missing) & ((F.col(target) < 0) | (F.col(target) >= size)))
 
 
+def assert_targets(df: DataFrame, target: str, size: int, missing: int = MAIN.missing) -> DataFrame:
+    """``df``, which raises when a row with a target that is neither the mask nor a token is reached."""
+    bad = (F.col(target) != missing) & ((F.col(target) < 0) | (F.col(target) >= size))
+    kind = df.schema[target].dataType
+    wrong = F.raise_error(F.concat(F.lit("target out of range: "), F.col(target).cast("string"))).cast(kind)
+    return df.withColumn(target, F.when(bad, wrong).otherwise(F.col(target)))
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Loss of a position, clamped."""
     return F.least(-log_softmax_at(logits, target), F.lit(CLAMP))

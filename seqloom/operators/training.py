@@ -50,30 +50,35 @@ def batch_ids(df: DataFrame, order: str, size: int = 128) -> DataFrame:
     return df.withColumn("batch", F.floor(F.col(order) / size))
 
 
-def pad_batch(df: DataFrame, batch: str, tokens: str = "tokens", pad: int = MAIN.missing) -> DataFrame:
-    """Pads token arrays to the longest of their batch, and adds ``segment_size``."""
+def pad_batch(df: DataFrame, batch: str, tokens: str = "tokens", pad: int = MAIN.missing, sides: list[str] | None = None) -> DataFrame:
+    """Pads token arrays to the longest of their batch, and adds ``segment_size``.
+
+    Arrays of ``sides`` go with the tokens, and are padded with nulls.
+    """
     longest = df.groupBy(batch).agg(F.max(F.size(tokens)).alias("__most"))
-    return (
-        df.join(longest, batch)
-        .withColumn("segment_size", F.size(tokens))
-        .withColumn(tokens, F.concat(tokens, F.array_repeat(F.lit(pad), F.col("__most") - F.size(tokens))))
-        .drop("__most")
-    )
+    out = df.join(longest, batch).withColumn("segment_size", F.size(tokens))
+    more = lambda a, fill: F.concat(a, F.array_repeat(fill, F.greatest(F.lit(0), F.col("__most") - F.size(a))))
+    for side in sides or []:
+        out = out.withColumn(side, more(F.col(side), F.get(F.col(side), F.lit(-1))))
+    return out.withColumn(tokens, more(F.col(tokens), F.lit(pad))).drop("__most")
 
 
-def concat_prompt(prompts: DataFrame, segments: DataFrame, prompt: str, order: str, tokens: str = "tokens", pad: int = MAIN.missing) -> DataFrame:
-    """(prompt, tokens, segment_sizes): a prompt's segments one after another.
+def concat_prompt(prompts: DataFrame, segments: DataFrame, prompt: str, order: str, tokens: str = "tokens", pad: int = MAIN.missing, sides: list[str] | None = None) -> DataFrame:
+    """(prompt, tokens, segment_sizes, sides): a prompt's segments one after another, with their ``sides``.
 
-    An empty prompt is one mask token. A prompt is a model's context, so it is one value.
+    An empty prompt is one mask token, whose side values are missing. A prompt is a model's context,
+    so it is one value.
     """
-    parts = segments.groupBy(prompt).agg(F.array_sort(F.collect_list(F.struct(order, tokens))).alias("__parts"))
+    sides = sides or []
+    parts = segments.groupBy(prompt).agg(F.array_sort(F.collect_list(F.struct(order, tokens, *sides))).alias("__parts"))
     joined = prompts.select(prompt).distinct().join(parts, prompt, "left")
-    flat = F.flatten(F.transform("__parts", lambda p: p[tokens]))
+    joined_up = lambda name: F.flatten(F.transform("__parts", lambda p: p[name]))
     sizes = F.transform("__parts", lambda p: F.size(p[tokens]))
     return joined.select(
         prompt,
-        F.coalesce(flat, F.array(F.lit(pad))).alias("tokens"),
+        F.coalesce(joined_up(tokens), F.array(F.lit(pad))).alias("tokens"),
         F.coalesce(sizes, F.array(F.lit(1))).alias("segment_sizes"),
+        *[F.coalesce(joined_up(s), F.array(F.lit(None).cast(segments.schema[s].dataType.elementType))).alias(s) for s in sides],
     )
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions import sequences as S
 from seqloom.operators import clusters as C
 from seqloom.operators import homology as H
 from seqloom.operators import scoring
-from seqloom.plans.views import ALN_SQL, aln, table
+from seqloom.plans.views import ALN_SQL, WIDTH, aln, table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -119,11 +120,11 @@ UNPROCESSED_SQL = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELEC
 
 def lookup_sequences(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "events").select(F.col("event_id").alias("ord"), (F.col("user_id") * 3).alias("doc_id"))
-    store = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 20).alias("sequence"))
+    store = table(spark, d, "documents").select("doc_id", F.col("text").alias("sequence"))
     return C.lookup_sequences(ids, store, "doc_id").select("ord", "doc_id", "sequence")
 
 
-LOOKUP_SQL = "SELECT event_id AS ord, doc_id, substr(text, 1, 20) AS sequence FROM events JOIN documents ON doc_id = user_id * 3"
+LOOKUP_SQL = "SELECT event_id AS ord, doc_id, text AS sequence FROM events JOIN documents ON doc_id = user_id * 3"
 
 
 def last_wins_join(spark: SparkSession, d: str) -> DataFrame:
@@ -165,10 +166,21 @@ SELECT "column", count(v) AS n, count(*) FILTER (isnan(v)) AS n_nan, count(*) FI
 
 
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_homologs"), F.countDistinct("event_type").alias("n_types"))
+    records = C.sampling_records(_hierarchy(spark, d))
+    return C.run_summary(records).withColumns({k: F.round(k, 9) for k in ("least_weight", "most_weight")})
 
 
-SUMMARY_SQL = "SELECT user_id, count(*) AS n_homologs, count(DISTINCT event_type) AS n_types FROM events GROUP BY 1"
+SUMMARY_SQL = f"""WITH {_RECORDS_SQL}, e AS (SELECT seed, cluster, count(*) AS size, sum(probability) AS weight FROM rec GROUP BY ALL)
+SELECT seed, count(*) AS n_clusters, sum(size)::BIGINT AS n_members, max(size) AS largest, round(min(weight), 9) AS least_weight, round(max(weight), 9) AS most_weight FROM e GROUP BY 1"""
+
+
+def distinct_structures(spark: SparkSession, d: str) -> DataFrame:
+    """Structures that parts' types name under one of four prefixes, each once."""
+    kinds = F.element_at(F.array(*[F.lit(x) for x in (S.AF2, S.V3D, S.VAF, "SARRAHXYZ")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return C.distinct_structures(table(spark, d, "part").select(F.concat(kinds, F.lit("-"), F.replace("p_type", F.lit(" "), F.lit("."))).alias("v")), "v")
+
+
+STRUCTURES_SQL = "SELECT DISTINCT substr('SARRAHV3D-' || replace(p_type, ' ', '.'), 13) AS structure FROM part WHERE p_partkey % 4 = 1"
 
 
 def ordered_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +196,7 @@ def pair_identity(spark: SparkSession, d: str) -> DataFrame:
 
 _PAIR_SQL = f"""{ALN_SQL},
 p AS (SELECT a.msa, a.row_id, b.row_id AS other, length(replace(a.aligned, '-', '')) AS own,
-  list_sum(list_transform(generate_series(1, 48), lambda k: (a.aligned[k] = b.aligned[k] AND a.aligned[k] <> '-')::INT))::BIGINT AS same FROM aln a JOIN aln b USING (msa)),
+  ({WIDTH} - hamming(replace(a.aligned, '-', '~'), b.aligned))::BIGINT AS same FROM aln a JOIN aln b USING (msa)),
 nb AS (SELECT msa, row_id, count(*) FILTER (1 - same / own::DOUBLE <= 0.2::DOUBLE) AS neighbors, sum(same)::BIGINT AS matches, max(same) FILTER (other <> row_id) AS best_other
   FROM p GROUP BY ALL)"""
 PAIR_SQL = f"WITH {_PAIR_SQL} SELECT * FROM nb"
@@ -208,13 +220,13 @@ SELECT msa, row_id, neighbors, round(sum(1.0::DOUBLE / neighbors) OVER (PARTITIO
 
 
 def structure_fallback(spark: SparkSession, d: str) -> DataFrame:
-    prompt = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.substring("text", 1, 30).alias("sequence"), F.lit(-1).alias("score"))
+    prompt = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("sequence"), F.lit(-1).alias("score"))
     structures = table(spark, d, "labels").select(F.col("doc_id").alias("name"), F.concat(F.lit("Q"), F.col("quality").cast("string")).alias("sequence"), F.col("toxic").alias("score"))
     return scoring.with_structure_or_fallback(prompt, structures)
 
 
 FALLBACK_SQL = """
-SELECT d.doc_id AS name, CASE WHEN l.doc_id IS NULL THEN substr(text, 1, 30) ELSE 'Q' || quality END AS sequence, coalesce(toxic, -1) AS score, l.doc_id IS NOT NULL AS has_structure
+SELECT d.doc_id AS name, CASE WHEN l.doc_id IS NULL THEN text ELSE 'Q' || quality END AS sequence, coalesce(toxic, -1) AS score, l.doc_id IS NOT NULL AS has_structure
 FROM documents d LEFT JOIN labels l USING (doc_id)"""
 
 _NAMES = {
@@ -224,7 +236,7 @@ _NAMES = {
     "last_wins_join": (last_wins_join, LAST_SQL), "modal_label": (modal_label, MODAL_SQL), "distinct_chains": (distinct_chains, DISTINCT_SQL),
     "finite_profile": (finite_profile, PROFILE_SQL), "run_summary": (run_summary, SUMMARY_SQL), "ordered_fingerprint": (ordered_fingerprint, FINGERPRINT_SQL),
     "pair_identity": (pair_identity, PAIR_SQL), "neighbor_counts": (neighbor_counts, NEIGHBORS_SQL), "homology_weights": (homology_weights, WEIGHTS_SQL),
-    "structure_fallback": (structure_fallback, FALLBACK_SQL),
+    "distinct_structures": (distinct_structures, STRUCTURES_SQL), "structure_fallback": (structure_fallback, FALLBACK_SQL),
 }
 QUERIES = {name: query for name, (query, _) in _NAMES.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _NAMES.items()}

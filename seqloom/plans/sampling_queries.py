@@ -9,7 +9,7 @@ from seqloom.functions.sequences import grid_name
 from seqloom.operators import clusters as C
 from seqloom.operators import sampling as P
 from seqloom.plans.cluster_queries import _PAIR_SQL, _RECORDS_SQL, _hierarchy
-from seqloom.plans.views import ALN_SQL, aln, table
+from seqloom.plans.views import ALN_SQL, WIDTH, aln, table
 
 
 def _u(seed: str, key: str) -> str:
@@ -17,7 +17,7 @@ def _u(seed: str, key: str) -> str:
 
 
 _SIM_SQL = f"""{ALN_SQL}, f AS (SELECT msa, arg_min(aligned, row_id) AS first, min(row_id) AS head FROM aln GROUP BY 1),
-sim AS (SELECT aln.*, head, list_sum(list_transform(generate_series(1, 48), lambda k: (aligned[k] = first[k])::INT))::DOUBLE / 48 AS similarity FROM aln JOIN f USING (msa))"""
+sim AS (SELECT aln.*, head, ({WIDTH} - hamming(aligned, first))::DOUBLE / {WIDTH} AS similarity FROM aln JOIN f USING (msa))"""
 
 
 def similarity_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ TOKEN_BUDGET_SQL = "SELECT * FROM (SELECT source, doc_id, n_chars, sum(n_chars +
 
 def truncating_budget(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("t"))
-    first = docs.groupBy("source").agg(F.min("doc_id").alias("head"), F.min_by(F.substring("t", 1, 2000), "doc_id").alias("base"))
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("head"), F.min_by("t", "doc_id").alias("base"))
     rows = docs.join(first, "source").filter(F.col("doc_id") != F.col("head"))
     out = P.truncating_budget(rows, "source", "doc_id", "t", "base")
     return out.select("source", F.length("assembled").cast("bigint").alias("n_chars"), F.md5("assembled").alias("digest"), "n_homologs")
@@ -105,7 +105,7 @@ def truncating_budget(spark: SparkSession, d: str) -> DataFrame:
 
 TRUNCATING_SQL = """
 WITH d AS (SELECT source, doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS t FROM documents),
-f AS (SELECT source, min(doc_id) AS head, arg_min(substr(t, 1, 2000), doc_id) AS base FROM d GROUP BY 1),
+f AS (SELECT source, min(doc_id) AS head, arg_min(t, doc_id) AS base FROM d GROUP BY 1),
 r AS (SELECT d.*, base, 8192 - (length(base) + 2) - (sum(length(t) + 2) OVER (PARTITION BY source ORDER BY doc_id) - (length(t) + 2)) AS rest FROM d JOIN f USING (source) WHERE doc_id <> head),
 o AS (SELECT *, (rest - (length(t) + 2) < 1)::INT AS over FROM r),
 s AS (SELECT *, sum(over) OVER (PARTITION BY source ORDER BY doc_id) AS overs FROM o),
@@ -149,8 +149,18 @@ def sample_homologs(spark: SparkSession, d: str) -> DataFrame:
     parents = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("seed"), F.col("n_regionkey").alias("parent"))
     clusters = nation.select(F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("cluster"))
     members = supplier.select(F.col("s_nationkey").alias("cluster"), F.col("s_suppkey").alias("member"))
-    draws = P.sample_homologs(seeds, parents, clusters, members, k=10)
-    return draws.groupBy("seed").agg(F.count("*").alias("n_draws"), F.countDistinct("member").alias("n_distinct"))
+    return P.sample_homologs(seeds, parents, clusters, members, k=10)
+
+
+HOMOLOGS_SQL = f"""
+WITH h AS (SELECT n_regionkey AS parent, n_nationkey AS cluster, s_suppkey AS member FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+z AS (SELECT parent, cluster, count(*) AS cluster_size FROM h GROUP BY ALL), n AS (SELECT parent, count(*) AS n_clusters FROM z GROUP BY 1),
+rec AS (SELECT h.parent, h.cluster, h.member, 1.0::DOUBLE / n_clusters / cluster_size AS probability FROM h JOIN z USING (parent, cluster) JOIN n ON n.parent = h.parent),
+cdf AS (SELECT parent, member, coalesce(sum(probability) OVER (PARTITION BY parent ORDER BY cluster, member ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM rec),
+tot AS (SELECT parent, sum(probability) AS total FROM rec GROUP BY 1),
+dr AS (SELECT c_custkey AS seed, parent, draw, {_u(chr(39) + '0' + chr(39), "(c_custkey || '/' || draw)")} * total AS u
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN tot ON parent = n_regionkey, generate_series(0, 9) AS g(draw))
+SELECT dr.seed, dr.draw, arg_max(member, lo) AS member FROM dr JOIN cdf ON cdf.parent = dr.parent AND lo <= u GROUP BY ALL"""
 
 
 _NAMES = {
@@ -158,7 +168,7 @@ _NAMES = {
     "order_weighted": (order_weighted, ORDER_WEIGHTED_SQL), "sample_msa": (sample_msa, SAMPLE_MSA_SQL), "sample_context": (sample_context, CONTEXT_SQL),
     "sample_context_fingerprint": (sample_context_fingerprint, CONTEXT_FINGERPRINT_SQL), "token_budget": (token_budget, TOKEN_BUDGET_SQL),
     "truncating_budget": (truncating_budget, TRUNCATING_SQL), "seed_offset": (seed_offset, SEED_OFFSET_SQL), "weighted_draws": (weighted_draws, WEIGHTED_DRAWS_SQL),
-    "sample_homologs": (sample_homologs, None),
+    "sample_homologs": (sample_homologs, HOMOLOGS_SQL),
 }
 QUERIES = {name: query for name, (query, _) in _NAMES.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _NAMES.items() if sql}

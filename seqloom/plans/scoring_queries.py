@@ -113,7 +113,7 @@ SELECT seq_id, pos::INT AS pos, vec_id, target, round(loss, 6) AS loss FROM c WH
 
 
 def bad_targets(spark: SparkSession, d: str) -> DataFrame:
-    return S.assert_targets(logits(spark, d), "target", 20).select("vec_id", "target")
+    return S.bad_targets(logits(spark, d), "target", 20).select("vec_id", "target")
 
 
 BAD_SQL = f"WITH {LOGITS_SQL} SELECT vec_id, target FROM lg WHERE target <> 24 AND target >= 20"
@@ -144,12 +144,12 @@ SELECT variant_id, score - (SELECT score FROM s WHERE variant_id = 1) AS delta F
 
 
 def score_with(spark: SparkSession, d: str) -> DataFrame:
-    """A user's scorer called on slices: here the share of the letter A."""
-    docs = table(spark, d, "documents").select("doc_id", F.upper(F.substring("text", 1, 100)).alias("sequence"))
+    """A user's scorer called on slices: here the number of letters A, in hundreds."""
+    docs = table(spark, d, "documents").select("doc_id", F.upper("text").alias("sequence"))
     return S.score_with(docs, lambda rows: rows["sequence"].str.count("A") / 100.0).select("doc_id", F.round(F.col("logp").cast("double"), 4).alias("logp"))
 
 
-SCORE_WITH_SQL = "SELECT doc_id, round((len(substr(upper(substr(text, 1, 100)), 1)) - len(replace(upper(substr(text, 1, 100)), 'A', '')))::DOUBLE / 100, 4) AS logp FROM documents"
+SCORE_WITH_SQL = "SELECT doc_id, round((len(upper(text)) - len(replace(upper(text), 'A', '')))::DOUBLE / 100, 4) AS logp FROM documents"
 
 _NAMES = {
     "sequence_loglik": (sequence_loglik, LOGLIK_SQL), "next_token_shift": (next_token_shift, SHIFT_SQL), "masked_ce": (masked_ce, MASKED_SQL), "gap_to_query": (gap_to_query, GAP_SQL),

@@ -26,10 +26,10 @@ SELECT doc_id, 0::BIGINT AS rec_no, doc_id::VARCHAR AS name,
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source", F.substring(F.regexp_replace("text", "[^A-Za-z-]", ""), 1, 200).alias("raw"))
+    return table(spark, d, "documents").select("doc_id", "source", F.regexp_replace("text", "[^A-Za-z-]", "").alias("raw"))
 
 
-_MIXED_SQL = "m AS (SELECT doc_id, source, substr(regexp_replace(text, '[^A-Za-z-]', '', 'g'), 1, 200) AS raw FROM documents)"
+_MIXED_SQL = "m AS (SELECT doc_id, source, regexp_replace(text, '[^A-Za-z-]', '', 'g') AS raw FROM documents)"
 
 
 def a3m_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def encode_tokens(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("aligned")
     tokens = {"main": A.MAIN, "structural": A.STRUCTURAL, "reduced": A.REDUCED, "dna": A.DNA, "secondary": A.SECONDARY, "twenty_one": A.twenty_one(gap=True)}
     return aln(spark, d).select(
-        "row_id", *[_joined(A.encode(q, a)).alias(n) for n, a in tokens.items()], _joined(A.append_startstop(A.encode(q))).alias("framed"), A.decode(A.encode(q)).alias("decoded")
+        "msa", "row_id", *[_joined(A.encode(q, a)).alias(n) for n, a in tokens.items()], _joined(A.append_startstop(A.encode(q))).alias("framed"), A.decode(A.encode(q)).alias("decoded")
     )
 
 
@@ -68,7 +68,7 @@ def _encode_sql(chars: str, missing: int, ids: tuple[int, ...] | None = None) ->
 
 
 ENCODE_SQL = f"""WITH {ALN_SQL}
-SELECT row_id, {_encode_sql(A.MAIN.letters, 24)} AS main, {_encode_sql('ACDEFGHIKLMNPQRSTVWY    X-$*|', 24)} AS structural,
+SELECT msa, row_id, {_encode_sql(A.MAIN.letters, 24)} AS main, {_encode_sql('ACDEFGHIKLMNPQRSTVWY    X-$*|', 24)} AS structural,
   {_encode_sql(A.REDUCED.chars, 255, A.REDUCED.ids)} AS reduced, {_encode_sql('ACGT', 255)} AS dna, {_encode_sql('HBEGITS ', 255)} AS secondary,
   {_encode_sql('ARNDCQEGHILKMFPSTWYV-XOUBZ', 21, (*range(20), 20, 21, 11, 4, 21, 21))} AS twenty_one,
   '26 ' || {_encode_sql(A.MAIN.letters, 24)} || ' 27' AS framed, regexp_replace(aligned, '[J]', 'X', 'g') AS decoded FROM aln"""

@@ -46,9 +46,10 @@ SELECT structure_id, count(*) AS n_residues, count(*) FILTER (k = 3) AS n_full F
 
 
 def seqres_align(spark: SparkSession, d: str) -> DataFrame:
-    """Orders' line slots as sequence positions, their lines as residues seen."""
+    """Orders' line slots, as many as the highest line has, as sequence positions, their lines as residues seen."""
     names = F.array(*[F.lit(n) for n, _ in R.RESIDUES])
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("slot"))
+    slots = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("slots"))
+    orders = table(spark, d, "orders").join(slots, "o_orderkey").select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"))
     scheme = orders.select(
         F.col("o_orderkey").cast("string").alias("structure_id"), F.lit("A").alias("asym_id"), F.element_at(names, (F.col("o_custkey") % 20 + 1).cast("int")).alias("mon_id"),
         F.col("slot").alias("seq_id"), F.col("slot").alias("auth_seq_num"), F.lit(".").alias("ins_code"),
@@ -63,7 +64,8 @@ def seqres_align(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEQRES_SQL = f"""
-WITH o AS (SELECT o_orderkey, o_custkey, slot FROM orders, generate_series(1, 4) AS g(slot)),
+WITH k AS (SELECT l_orderkey AS o_orderkey, max(l_linenumber) AS slots FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey, o_custkey, unnest(generate_series(1, slots)) AS slot FROM orders JOIN k USING (o_orderkey)),
 r AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem WHERE l_returnflag <> 'R' AND (l_linestatus <> 'O' OR l_returnflag = 'A') GROUP BY ALL)
 SELECT o_orderkey::VARCHAR AS structure_id, slot::INT AS pos, substr('{''.join(c for _, c in R.RESIDUES)}', o_custkey % 20 + 1, 1) AS aa, coalesce(part, -1) AS part
 FROM o LEFT JOIN r ON l_orderkey = o_orderkey AND l_linenumber = slot"""
@@ -86,16 +88,16 @@ SELECT event_id, CASE WHEN a IS NOT NULL AND (p IS NULL OR p >= 70) THEN a * 2 E
 
 def local_distances(spark: SparkSession, d: str) -> DataFrame:
     found = R.local_backbone_distances(points(spark, d), "chain")
-    return found.filter("local IS NOT NULL").select("chain", "pos", F.posexplode("local").alias("k", "v")).groupBy("chain", "pos").agg(
-        F.count("*").alias("n"), F.round(F.sum(F.col("v").cast("double")), 1).alias("total"), F.round(F.max(F.col("v").cast("double")), 2).alias("longest")
-    )
+    return found.filter("local IS NOT NULL").select("chain", "pos", F.posexplode("local").alias("k", "v")).select("chain", "pos", "k", F.col("v").cast("double").alias("v"))
 
 
 def _local_sql() -> str:
     atoms = [f"{side}.{a}" for side in ("p", "o", "q") for a in "nac"]
-    pairs = [f"sqrt(({a}x-{b}x)*({a}x-{b}x)+({a}y-{b}y)*({a}y-{b}y)+({a}z-{b}z)*({a}z-{b}z))::FLOAT::DOUBLE" for i, a in enumerate(atoms) for b in atoms[i + 1 :]]
-    return f"""WITH {POINTS_SQL}, l AS (SELECT o.chain, o.pos, [{', '.join(pairs)}] AS v FROM pts o JOIN pts p ON p.chain = o.chain AND p.pos = o.pos - 1 JOIN pts q ON q.chain = o.chain AND q.pos = o.pos + 1)
-SELECT chain, pos::INT AS pos, 36::BIGINT AS n, round(list_sum(v), 1) AS total, round(list_max(v), 2) AS longest FROM l"""
+    pairs = [f"sqrt(({a}x-{b}x)*({a}x-{b}x)+({a}y-{b}y)*({a}y-{b}y)+({a}z-{b}z)*({a}z-{b}z))" for i, a in enumerate(atoms) for b in atoms[i + 1 :]]
+    return f"""WITH {POINTS_SQL}, l AS (SELECT o.chain, o.pos, [{', '.join(pairs)}] AS v FROM pts o JOIN pts p ON p.chain = o.chain AND p.pos = o.pos - 1 JOIN pts q ON q.chain = o.chain AND q.pos = o.pos + 1),
+h AS (SELECT chain, pos, unnest(generate_series(0, 35)) AS k, unnest(v) AS v FROM l),
+s AS (SELECT *, pow(2.0::DOUBLE, greatest(floor(log2(greatest(v, pow(2.0::DOUBLE, -14)))), -14) - 10) AS step FROM h)
+SELECT chain, pos::INT AS pos, k::INT AS k, round_even(v / step, 0) * step AS v FROM s"""
 
 
 def pair_buckets(spark: SparkSession, d: str) -> DataFrame:

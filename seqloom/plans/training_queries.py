@@ -11,11 +11,11 @@ from seqloom.plans.views import table
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    """(conv_id, turn, seq): each turn a short sequence."""
-    return table(spark, d, "conversations").select("conv_id", "turn", F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 40)).alias("seq"))
+    """(conv_id, turn, seq): each turn a sequence."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
 
 
-_SEG_SQL = "sg AS (SELECT conv_id, turn, upper(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 40)) AS seq FROM conversations)"
+_SEG_SQL = "sg AS (SELECT conv_id, turn, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM conversations)"
 _TOKENS = f"list_transform(string_split(seq, ''), lambda c: CASE WHEN instr('{MAIN.letters}', c) = 0 THEN 24 ELSE instr('{MAIN.letters}', c) - 1 END)"
 _TOK_SQL = f"{_SEG_SQL}, tk AS (SELECT conv_id, turn, list_concat([26], CASE WHEN seq = '' THEN [] ELSE {_TOKENS} END, [27]) AS tokens FROM sg)"
 
@@ -29,9 +29,7 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    side = F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: F.when(c == "A", None).otherwise(F.ascii(c)))
-    out = T.tokenize(_segments(spark, d).withColumn("plddt", side), "seq", ["plddt"])
-    return out.select("conv_id", "turn", _text(F.col("tokens")).alias("tokens"), F.array_join(F.transform("plddt", lambda v: v.cast("string")), " ", "-").alias("plddt"))
+    return _with_side(spark, d).select("conv_id", "turn", _text(F.col("tokens")).alias("tokens"), _side_text(F.col("plddt")).alias("plddt"))
 
 
 TOKENIZE_SQL = f"""WITH {_TOK_SQL}
@@ -40,24 +38,40 @@ SELECT conv_id, turn, array_to_string(tokens, ' ') AS tokens,
 FROM tk JOIN sg USING (conv_id, turn)"""
 
 
+def _with_side(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens beside a value for each letter, none for A."""
+    side = F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: F.when(c == "A", None).otherwise(F.ascii(c)))
+    return T.tokenize(_segments(spark, d).withColumn("plddt", side), "seq", ["plddt"])
+
+
+_SIDE_SQL = """sd AS (SELECT conv_id, turn, tokens, list_concat(['-'], CASE WHEN seq = '' THEN [] ELSE list_transform(string_split(seq, ''),
+  lambda c: CASE WHEN c = 'A' THEN '-' ELSE ascii(c)::VARCHAR END) END, ['-']) AS side FROM tk JOIN sg USING (conv_id, turn))"""
+
+
+def _side_text(side: Column) -> Column:
+    return F.array_join(F.transform(side, lambda v: v.cast("string")), " ", "-")
+
+
 def pad_batch(spark: SparkSession, d: str) -> DataFrame:
-    out = T.pad_batch(T.batch_ids(_tokens(spark, d), "conv_id", 16), "batch")
-    return out.select("conv_id", "turn", "batch", "segment_size", _text(F.col("tokens")).alias("tokens"))
+    out = T.pad_batch(T.batch_ids(_with_side(spark, d), "conv_id", 16), "batch", sides=["plddt"])
+    return out.select("conv_id", "turn", "batch", "segment_size", _text(F.col("tokens")).alias("tokens"), _side_text(F.col("plddt")).alias("plddt"))
 
 
-PAD_SQL = f"""WITH {_TOK_SQL}, b AS (SELECT *, conv_id // 16 AS batch, len(tokens)::INT AS segment_size FROM tk)
-SELECT conv_id, turn, batch, segment_size, array_to_string(list_concat(tokens, list_transform(generate_series(1, max(segment_size) OVER (PARTITION BY batch) - segment_size), lambda i: 24)), ' ') AS tokens FROM b"""
+PAD_SQL = f"""WITH {_TOK_SQL}, {_SIDE_SQL}, b AS (SELECT *, conv_id // 16 AS batch, len(tokens)::INT AS segment_size FROM sd),
+m AS (SELECT *, max(segment_size) OVER (PARTITION BY batch) - segment_size AS rest FROM b)
+SELECT conv_id, turn, batch, segment_size, array_to_string(list_concat(tokens, list_transform(generate_series(1, rest), lambda i: 24)), ' ') AS tokens,
+  array_to_string(list_concat(side, list_transform(generate_series(1, rest), lambda i: '-')), ' ') AS plddt FROM m"""
 
 
 def concat_prompt(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
     prompts = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"))
-    out = T.concat_prompt(prompts, tokens, "conv_id", "turn")
-    return out.select("conv_id", _text(F.col("tokens")).alias("tokens"), _text(F.col("segment_sizes")).alias("sizes"))
+    out = T.concat_prompt(prompts, _with_side(spark, d), "conv_id", "turn", sides=["plddt"])
+    return out.select("conv_id", _text(F.col("tokens")).alias("tokens"), _text(F.col("segment_sizes")).alias("sizes"), _side_text(F.col("plddt")).alias("plddt"))
 
 
-CONCAT_SQL = f"""WITH {_TOK_SQL}, g AS (SELECT conv_id, array_to_string(flatten(list(tokens ORDER BY turn)), ' ') AS tokens, array_to_string(list(len(tokens) ORDER BY turn), ' ') AS sizes FROM tk GROUP BY 1)
-SELECT d.doc_id AS conv_id, coalesce(tokens, '24') AS tokens, coalesce(sizes, '1') AS sizes FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON g.conv_id = d.doc_id"""
+CONCAT_SQL = f"""WITH {_TOK_SQL}, {_SIDE_SQL}, g AS (SELECT conv_id, array_to_string(flatten(list(tokens ORDER BY turn)), ' ') AS tokens,
+  array_to_string(list(len(tokens) ORDER BY turn), ' ') AS sizes, array_to_string(flatten(list(side ORDER BY turn)), ' ') AS plddt FROM sd GROUP BY 1)
+SELECT d.doc_id AS conv_id, coalesce(tokens, '24') AS tokens, coalesce(sizes, '1') AS sizes, coalesce(plddt, '-') AS plddt FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON g.conv_id = d.doc_id"""
 
 
 def unpad(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +79,7 @@ def unpad(spark: SparkSession, d: str) -> DataFrame:
     return T.unpad(padded, ["conv_id", "turn"])
 
 
-UNPAD_SQL = f"WITH {_TOK_SQL} SELECT conv_id, turn, (p - 1)::INT AS pos, tokens[p]::INT AS token FROM tk, generate_series(1, 42) AS g(p) WHERE p <= len(tokens)"
+UNPAD_SQL = f"WITH {_TOK_SQL} SELECT conv_id, turn, (p - 1)::INT AS pos, tokens[p]::INT AS token FROM (SELECT *, unnest(generate_series(1, len(tokens))) AS p FROM tk)"
 
 
 def pad_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +102,7 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
     return T.segment_positions(_tokens(spark, d), ["conv_id", "turn"], "tokens", padding=MAIN.missing).select("conv_id", "turn", "at", "position")
 
 
-POSITIONS_SQL = f"""WITH {_TOK_SQL}, x AS (SELECT conv_id, turn, p, tokens[p] AS t FROM tk, generate_series(1, 42) AS g(p) WHERE p <= len(tokens))
+POSITIONS_SQL = f"""WITH {_TOK_SQL}, x AS (SELECT conv_id, turn, p, tokens[p] AS t FROM (SELECT *, unnest(generate_series(1, len(tokens))) AS p FROM tk))
 SELECT conv_id, turn, (p - 1)::INT AS at, (sum((t <> 24)::INT) OVER (PARTITION BY conv_id, turn ORDER BY p) - 1)::INT AS position FROM x"""
 
 
@@ -106,8 +120,8 @@ def query_refs(spark: SparkSession, d: str) -> DataFrame:
 
 REFS_SQL = f"""WITH {_SEG_SQL},
 o AS (SELECT *, coalesce(sum(length(seq)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM sg),
-y AS (SELECT b.conv_id AS batch_id, b.off + i AS y_pos, CASE WHEN i < length(a.seq) THEN a.off + i ELSE -100 END AS ref_idx, CASE WHEN i < length(a.seq) THEN substr(a.seq, i + 1, 1) END AS c
-  FROM o b LEFT JOIN o a ON a.conv_id = b.conv_id AND a.turn = b.turn - 1, generate_series(0, 39) AS g(i) WHERE i < length(b.seq))
+y AS (SELECT b.conv_id AS batch_id, b.off + b.i AS y_pos, CASE WHEN i < length(a.seq) THEN a.off + i ELSE -100 END AS ref_idx, CASE WHEN i < length(a.seq) THEN substr(a.seq, i + 1, 1) END AS c
+  FROM (SELECT *, unnest(generate_series(0, length(seq) - 1)) AS i FROM o WHERE seq <> '') b LEFT JOIN o a ON a.conv_id = b.conv_id AND a.turn = b.turn - 1)
 SELECT batch_id, y_pos, coalesce(ref_idx, -100)::BIGINT AS ref_idx, coalesce(c NOT IN ('X', 'J'), false) AS known,
   CASE WHEN c IS NULL THEN -1 WHEN instr('{MAIN.letters}', c) = 0 THEN 24 ELSE instr('{MAIN.letters}', c) - 1 END::INT AS value FROM y"""
 
@@ -115,8 +129,8 @@ SELECT batch_id, y_pos, coalesce(ref_idx, -100)::BIGINT AS ref_idx, coalesce(c N
 def splice_training(spark: SparkSession, d: str) -> DataFrame:
     segments = _segments(spark, d).filter("length(seq) > 0")
     sequences = segments.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "seq"))), lambda s: F.concat(F.lit("$"), s["seq"], F.lit("*"))), "").alias("sequence")).withColumnRenamed("conv_id", "id")
-    assigned = segments.select(F.col("conv_id").alias("id"), (F.col("conv_id") % 7).alias("suffix"), "turn")
-    structures = segments.filter("conv_id < 7 AND turn = 0").select(
+    assigned = segments.select(F.col("conv_id").alias("id"), (F.col("conv_id") + 1).alias("suffix"), "turn")
+    structures = segments.filter("turn = 0").select(
         F.col("conv_id").alias("suffix"), F.col("seq").alias("struct_sequence"), F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: i * 2.0).alias("coords"), F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: i / 10.0).alias("scores")
     )
     out = T.assemble_training(sequences, assigned, structures, F.col("turn"))
@@ -124,17 +138,18 @@ def splice_training(spark: SparkSession, d: str) -> DataFrame:
 
 
 SPLICE_SQL = f"""WITH {_SEG_SQL}, s AS (SELECT conv_id AS id, string_agg('$' || seq || '*', '' ORDER BY turn) AS sequence FROM sg WHERE seq <> '' GROUP BY 1),
-t AS (SELECT conv_id AS suffix, seq FROM sg WHERE conv_id < 7 AND turn = 0 AND seq <> ''),
-f AS (SELECT id, seq, '$' || seq || '*' || substr(sequence, instr(sequence, '*') + 1) AS sequence FROM s JOIN t ON t.suffix = s.id % 7)
+t AS (SELECT conv_id AS suffix, seq FROM sg WHERE turn = 0 AND seq <> ''),
+f AS (SELECT id, seq, '$' || seq || '*' || substr(sequence, instr(sequence, '*') + 1) AS sequence FROM s JOIN t ON t.suffix = s.id + 1)
 SELECT id, sequence, length(sequence) AS n, -1.0::DOUBLE AS head, (length(seq) * (length(seq) + 1))::DOUBLE AS total, 0.1::DOUBLE AS score_1 FROM f"""
 
 
 def length_mask(spark: SparkSession, d: str) -> DataFrame:
     segments = _segments(spark, d)
-    return segments.select("conv_id", "turn", F.array_join(F.transform(T.length_mask(F.length("seq"), 40), lambda b: b.cast("int").cast("string")), "").alias("mask"))
+    widest = segments.groupBy("conv_id").agg((F.max(F.length("seq")) + 1).alias("width"))
+    return segments.join(widest, "conv_id").select("conv_id", "turn", F.array_join(F.transform(T.length_mask(F.length("seq"), F.col("width")), lambda b: b.cast("int").cast("string")), "").alias("mask"))
 
 
-MASK_SQL = f"WITH {_SEG_SQL} SELECT conv_id, turn, repeat('0', length(seq)) || repeat('1', 40 - length(seq)) AS mask FROM sg"
+MASK_SQL = f"WITH {_SEG_SQL} SELECT conv_id, turn, repeat('0', length(seq)) || repeat('1', (max(length(seq)) OVER (PARTITION BY conv_id) + 1 - length(seq))::BIGINT) AS mask FROM sg"
 
 _NAMES = {
     "tokenize": (tokenize, TOKENIZE_SQL), "pad_batch": (pad_batch, PAD_SQL), "concat_prompt": (concat_prompt, CONCAT_SQL), "unpad": (unpad, UNPAD_SQL), "pad_rows": (pad_rows, PAD_ROWS_SQL),

@@ -14,18 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Width of the stand-in alignments.
-WIDTH = 48
+WIDTH = 240
 
 
 def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(msa, row_id, aligned): each source an alignment of its documents' first letters."""
-    letters = F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, WIDTH))
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("msa"), F.col("doc_id").alias("row_id"), F.rpad(letters, WIDTH, "-").alias("aligned")).filter(F.regexp_replace("aligned", "-", "") != "")
+    """(msa, row_id, aligned): the letters of all texts in windows of WIDTH, the last one filled with gaps.
 
+    The k-th windows of a source's documents are one alignment, so whole texts are read and each
+    document is a row, under its own id, of as many alignments as it has windows.
+    """
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", letters.alias("t")).filter("t <> ''")
+    each = docs.select("source", "doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / WIDTH))).alias("k"))
+    window = F.substr("t", (F.col("k") * WIDTH + 1).cast("int"), F.lit(WIDTH))
+    return each.select(F.concat_ws("/", "source", F.col("k").cast("string")).alias("msa"), F.col("doc_id").alias("row_id"), F.rpad(window, WIDTH, "-").alias("aligned"))
 
-ALN_SQL = f"""aln AS (SELECT * FROM (SELECT source AS msa, doc_id AS row_id,
-  rpad(upper(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, {WIDTH})), {WIDTH}, '-') AS aligned FROM documents) WHERE replace(aligned, '-', '') <> '')"""
+
+ALN_SQL = f"""txt AS (SELECT source, doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM documents),
+aln AS (SELECT source || '/' || k AS msa, doc_id AS row_id, rpad(substr(t, k * {WIDTH} + 1, {WIDTH}), {WIDTH}, '-') AS aligned
+  FROM (SELECT *, unnest(generate_series(0, (length(t) - 1) // {WIDTH})) AS k FROM txt WHERE t <> ''))"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

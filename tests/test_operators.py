@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions import geometry as G
+from seqloom.functions import sequences as Q
 from seqloom.operators import clusters as C
 from seqloom.operators import homology as H
 from seqloom.operators import sampling as P
@@ -13,6 +15,10 @@ from seqloom.operators import structures as R
 from seqloom.operators import training as T
 
 
+def check_widths(rows, **settings):
+    return Q.check_alignment(rows, "msa", "aligned", **settings)
+
+
 def pairs(rows, *columns):
     return sorted(tuple(r[c] for c in columns) for r in rows.collect())
 
@@ -175,3 +181,95 @@ def test_loss_over_an_empty_mask_is_zero(spark):
 def test_wild_type_row_goes(spark):
     rows = spark.createDataFrame([("a", 3.0), ("WT", 1.0)], "variant_id string, score double")
     assert pairs(S.wt_delta(rows, F.col("variant_id") == "WT"), "variant_id", "delta") == [("a", 2.0)]
+
+
+def slow_counts(table, theta):
+    """(alignment, row, neighbors, matches, best other) by a plain loop over pairs."""
+    out = []
+    for m, i, a in table:
+        same = [(j, sum(x == y != "-" for x, y in zip(a, b, strict=True))) for n, j, b in table if n == m]
+        own = sum(x != "-" for x in a)
+        others = [s for k, (j, s) in enumerate(same) if j != i]
+        out.append((m, i, sum(1 - s / own <= theta for _, s in same), sum(s for _, s in same), max(others, default=None)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_row_ids_repeat_in_other_alignments_and_alignments_may_be_null(spark, kind):
+    rng = random.Random(13)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"row {i}")
+    table = [(m, name(i), "".join(rng.choice("ABé🙂-") for _ in range(5)) + "A") for m, n in (("A", 9), ("B", 7), (None, 5), ("C", 1)) for i in range(n)]
+    rows = spark.createDataFrame(table, f"msa string, row_id {kind}, aligned string")
+    found = [tuple(r) for r in H.row_statistics(rows, 0.3, block=3).select("msa", "row_id", "neighbors", "matches", "best_other").collect()]
+    assert sorted(found, key=repr) == slow_counts(table, 0.3)
+    sums = {r["msa"]: r["w"] for r in H.homology_weights(rows).groupBy("msa").agg(F.sum("weight").alias("w")).collect()}
+    assert set(sums) == {"A", "B", "C", None} and all(abs(w - 1) < 1e-9 for w in sums.values())
+
+
+def test_ragged_alignments_raise(spark):
+    rows = spark.createDataFrame([("m", 0, "AB"), ("m", 1, "ABC"), ("n", 0, "A")], "msa string, row_id long, aligned string")
+    with pytest.raises(Exception, match="differ in width"):
+        H.neighbor_counts(rows).collect()
+
+
+def test_another_kernel_counts_its_own_matches(spark):
+    def gaps_too(a, b, gap):
+        return (a[:, None, :] == b[None, :, :]).sum(axis=2)
+
+    rows = spark.createDataFrame([("m", 0, "A--"), ("m", 1, "B--")], "msa string, row_id long, aligned string")
+    assert pairs(H.row_statistics(rows, kernel=gaps_too), "row_id", "matches", "best_other") == [(0, 5, 2), (1, 5, 2)]
+    assert pairs(H.row_statistics(rows), "row_id", "matches", "best_other") == [(0, 1, 0), (1, 1, 0)]
+
+
+def test_wide_rows_count_beyond_a_byte():
+    a = H._codes(["A" * 700, "AB" * 350], "-")
+    assert H.pair_matches(a[0], a[0], a[1]).tolist() == [[700, 350], [350, 700]]
+
+
+def test_sides_are_padded_with_nulls_and_follow_the_prompt(spark):
+    rows = spark.createDataFrame([(0, 1, [1, 2, 3], [0.1, None, 0.3]), (0, 2, [4], [0.4])], "batch int, k int, tokens array<int>, plddt array<double>")
+    assert pairs(T.pad_batch(rows, "batch", sides=["plddt"]), "k", "tokens", "plddt") == [(1, [1, 2, 3], [0.1, None, 0.3]), (2, [4, 24, 24], [0.4, None, None])]
+    prompts = spark.createDataFrame([(0,), (9,)], "batch int")
+    assert pairs(T.concat_prompt(prompts, rows, "batch", "k", sides=["plddt"]), "batch", "tokens", "plddt") == [(0, [1, 2, 3, 4], [0.1, None, 0.3, 0.4]), (9, [24], [None])]
+
+
+def test_half_precision_equals_numpy(spark):
+    import numpy as np
+
+    values = [0.0, 1e-9, 3e-8, 1e-5, 0.1, 1.0, 1.00049, 3.14159, 2049.0, 2051.0, 65519.0, 65521.0, 1e6, *[random.Random(1).uniform(0, 200) for _ in range(50)]]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", G.rounded_to_half(F.col("v")).alias("h")).collect()
+    with np.errstate(over="ignore"):
+        assert all(r["h"] == float(np.float16(r["v"])) for r in rows)
+
+
+def test_checks_raise(spark):
+    rows = spark.createDataFrame([("m", "AB"), ("m", "ABC"), ("n", "A")], "msa string, aligned string")
+    assert pairs(check_widths(rows), "msa", "n_widths") == [("m", 2), ("n", 1)]
+    with pytest.raises(Exception, match="alignment m"):
+        check_widths(rows, fail=True).collect()
+    assert check_widths(rows.filter("msa = 'n'"), fail=True).first()["width"] == 1
+    targets = spark.createDataFrame([(3,), (24,), (7,)], "t int")
+    assert pairs(S.bad_targets(targets, "t", 5), "t") == [(7,)]
+    with pytest.raises(Exception, match="out of range: 7"):
+        S.assert_targets(targets, "t", 5).collect()
+    assert S.assert_targets(targets.filter("t <> 7"), "t", 5).count() == 2
+
+
+def test_backbone_atoms_and_lengths(spark):
+    rows = spark.createDataFrame([([[[1.0], [2.0], [3.0], [4.0]], [[5.0], [6.0]]],)], "c array<array<array<double>>>")
+    assert rows.select(Q.backbone_only(F.col("c")).alias("b")).first()["b"] == [[[1.0], [2.0], [3.0]], [[5.0], [6.0]]]
+    scheme = spark.createDataFrame([("s", "A", "2"), ("s", "A", "10"), ("s", "B", "1")], "structure_id string, asym_id string, seq_id string")
+    assert pairs(R.seqres_length(scheme), "asym_id", "length") == [("A", 10), ("B", 1)]
+
+
+def test_homologs_follow_the_parents_distribution(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    seeds = frame([(k,) for k in range(30)] + [(99,)], "seed long")
+    parents = frame([(k, "p" if k < 20 else "q") for k in range(30)], "seed long, parent string")
+    clusters = frame([("p", 1), ("p", 2), ("q", 3)], "parent string, cluster int")
+    members = frame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "cluster int, member string")
+    draws = P.sample_homologs(seeds, parents, clusters, members, k=100)
+    found = {(r["s"], r["member"]): r["count"] for r in draws.groupBy((F.col("seed") < 20).alias("s"), "member").count().collect()}
+    assert found[(False, "d")] == 1000 and sum(n for (s, _), n in found.items() if s) == 2000
+    assert abs(found[(True, "a")] - 1000) < 120 and abs(found[(True, "b")] - 500) < 100
+    assert draws.filter("seed = 99").count() == 0 and draws.groupBy("seed").count().filter("count <> 100").count() == 0
