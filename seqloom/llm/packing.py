@@ -39,9 +39,9 @@ EPOCHS, CROSSOVERS = 2, 4
 #: Share of a cell's bins, the emptiest ones and one at least, that are packed again with other cells'.
 LEFT = 0.02
 #: Distinct words that a Python worker remembers: twice this many at most, the latest used ones.
-CACHE = 200_000
+CACHE = 120_000
 #: Bytes of text that are tokenized at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def tokenizer_path() -> str:
@@ -66,9 +66,8 @@ class _WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.of_ascii, self.of_latin = (Tokenizer.from_file(path) for _ in range(3))
-        for units in (self.of_ascii, self.of_latin):
-            units.normalizer = None
+        self.tokenizer = Tokenizer.from_file(path)
+        self.of_ascii, self.of_latin = (Tokenizer(self.tokenizer.model) for _ in range(2))  # its words and merges are shared
         blanks, raw = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.of_ascii.pre_tokenizer = blanks  # ASCII letters stand for their own bytes
         self.of_latin.pre_tokenizer = pre_tokenizers.Sequence([blanks, raw])
