@@ -16,7 +16,7 @@ SHINGLE, FRACTION = 5, 1 / 8
 #: Hex digits that a fingerprint shows of each hash: all of them.
 DIGITS = 16
 #: Rows of a range of neighbouring ids on average, ranges at most, and ids that the driver sees for each.
-BUCKET_ROWS, MOST_BUCKETS, SEEN = 1000, 16_384, 8
+BUCKET_ROWS, MOST_BUCKETS, SEEN = 1000, 16_384, 32
 
 
 def words(text: Column) -> Column:
