@@ -27,23 +27,29 @@ from seqloom.plans.shipping import ship_package
 DIMENSIONS, SAMPLE_ROWS = 1 << 16, 8000
 #: The first ten of the last features stand for repetition; hashes stay below them.
 REPETITION = DIMENSIONS - 10
+#: Letters of a stem.
+STEM = 4
 #: Rounds and step of the fit, and weight of the ridge in rows.
 ROUNDS, STEP, RIDGE = 300, 0.05, 0.1
 #: Rated rows in which a feature must occur, and deviations by which its score must differ from nothing.
 LEAST_ROWS, LEAST_SCORE = 3, 4.0
 #: Distinct words that a Python worker remembers.
 CACHE = 100_000
-#: Grades are wanted from this one up, with at least this tail probability: to lose a clean document
-#: counts half as much again as to keep another one.
-WANTED, LEAST_TAIL = 2, 0.4
+#: Grades are wanted from this one up, with at least this tail probability: what is more probably
+#: good than not.
+WANTED, LEAST_TAIL = 2, 0.5
 
 _SHAPES = bytes.maketrans(
     b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"a" * 26 + b"A" * 26 + b"0" * 10
 )
 
 
-def _features_of(word: str) -> tuple[int, int]:
-    """Two hashed features of a word: its letters in lower case, and its shape."""
+def _features_of(word: str) -> tuple[int, int, int]:
+    """Three hashed features of a word: its letters in lower case, its shape, its stem (-1: none).
+
+    The stem of a word is its first letters, so that a language's rare forms of one word are known
+    by what they share; a word no longer than that has none.
+    """
     raw = word.encode()
     shape = bytearray()
     for c in raw.translate(_SHAPES):
@@ -51,40 +57,41 @@ def _features_of(word: str) -> tuple[int, int]:
         if not shape or shape[-1] != c:
             shape.append(c)
     letters = "".join(c for c in word if c.isalnum()).lower()
-    return zlib.crc32(b"w" + letters.encode()) % REPETITION, zlib.crc32(b"s" + bytes(shape)) % REPETITION
+    stem = zlib.crc32(b"p" + letters[:STEM].encode()) % REPETITION if len(letters) > STEM else -1
+    return zlib.crc32(b"w" + letters.encode()) % REPETITION, zlib.crc32(b"s" + bytes(shape)) % REPETITION, stem
 
 
-def features(texts: pa.Array, known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: pa.Array, known: dict[str, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of a batch: which hashed features each text has.
 
-    A word counts 1 where it occurs, a shape as its share of the text's words times 4; one more
-    feature tells how much the text repeats its words, in tenths. ``known`` remembers words within a
-    worker.
+    A word and a stem count 1 where they occur, a shape as its share of the text's words times 4; one
+    more feature tells how much the text repeats its words, in tenths. ``known`` remembers words
+    within a worker.
     """
     blank = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
     parts = pc.split_pattern(blank, " ")
     coded = parts.flatten().dictionary_encode()
     if len(known) > CACHE:
         known.clear()
-    pairs = []
+    found = []
     for word in coded.dictionary.to_pylist():
-        pair = known.get(word)
-        if pair is None:
-            pair = known[word] = _features_of(word)
-        pairs.append(pair)
-    table = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
+        marks = known.get(word)
+        if marks is None:
+            marks = known[word] = _features_of(word)
+        found.append(marks)
+    table = np.array(found, dtype=np.int64).reshape(-1, 3)
     counts = np.diff(parts.offsets.to_numpy())
-    rows = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-    out = []
-    for kind in (0, 1):
-        keys, n = np.unique(rows * DIMENSIONS + table[codes, kind], return_counts=True)
-        row = keys // DIMENSIONS
-        out.append((row, keys % DIMENSIONS, np.ones(len(n)) if kind == 0 else 4.0 * n / counts[row]))
-        if kind == 0:
-            repeated = 1 - np.bincount(row, minlength=len(counts)) / np.maximum(counts, 1)
-            level = np.minimum(9, (10 * repeated).astype(np.int64))
-            out.append((np.arange(len(counts)), REPETITION + level, np.ones(len(counts))))
+    width = max(len(table), 1)
+    pairs, times = np.unique(np.repeat(np.arange(len(counts), dtype=np.int64), counts) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, word = pairs // width, table[pairs % width]
+    words = np.unique(row * DIMENSIONS + word[:, 0])
+    shapes, at = np.unique(row * DIMENSIONS + word[:, 1], return_inverse=True)
+    stems = np.unique((row * DIMENSIONS + word[:, 2])[word[:, 2] >= 0])
+    repeated = 1 - np.bincount(words // DIMENSIONS, minlength=len(counts)) / np.maximum(counts, 1)
+    level = np.minimum(9, (10 * repeated).astype(np.int64))
+    out = [(keys // DIMENSIONS, keys % DIMENSIONS, np.ones(len(keys))) for keys in (words, stems)]
+    out.append((shapes // DIMENSIONS, shapes % DIMENSIONS, 4.0 * np.bincount(at, weights=times, minlength=len(shapes)) / counts[shapes // DIMENSIONS]))
+    out.append((np.arange(len(counts)), REPETITION + level, np.ones(len(counts))))
     row, col, value = (np.concatenate(x) for x in zip(*out, strict=True))
     return row, col, value.astype(np.float32)
 
@@ -100,7 +107,7 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def tails(self, texts: pa.Array, known: dict[str, tuple[int, int]]) -> np.ndarray:
+    def tails(self, texts: pa.Array, known: dict[str, tuple[int, int, int]]) -> np.ndarray:
         """P(grade > k) of each text, one column for each threshold."""
         row, col, value = features(texts, known)
         score = np.bincount(row, weights=self.weights[col] * value, minlength=len(texts))

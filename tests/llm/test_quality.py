@@ -116,3 +116,12 @@ def test_insults_are_rejected_and_clean_documents_stay(spark):
         found = rated.select("quality", "toxic", (Q.scorer(model, spark)(F.col("text"))["tail_prob"] >= Q.LEAST_TAIL).alias("kept")).collect()
         share = lambda q, t: np.mean([r["kept"] for r in found if (r["quality"], r["toxic"]) == (q, t)])
         assert share(1, 0) > 0.98 and share(0, 0) < 0.2 and share(1, 1) < most, (rows, share(1, 0), share(0, 0), share(1, 1))
+
+
+def test_forms_of_a_word_share_its_stem():
+    first, second, short = (Q._features_of(w) for w in ("Réeuxment,", "réeuxpa", "Réeu"))
+    assert first[0] != second[0] and first[2] == second[2] >= 0 and short[2] == -1
+    row, col, value = Q.features(pa.array(["réeuxment réeuxpa réeuxpa", None]), {})
+    assert value[(row == 0) & (col == first[2])].tolist() == [1.0]
+    shape = Q._features_of("réeuxpa")[1]
+    assert value[(row == 0) & (col == shape)].tolist() == [4.0]
