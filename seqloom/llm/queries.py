@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm import chat, licenses, mixing, near_copies, ogg, packing, quality, secret_scan, sharding, sketches
+from seqloom.llm import chat, licenses, merkle, mixing, near_copies, ogg, packing, quality, secret_scan, sharding, sketches
 
 SHARD_BYTES = 1 << 20
 
@@ -179,6 +179,64 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MERKLE_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; where the checksum of an id is even, the text loses its line ends."""
+    docs = _table(spark, sf_dir, "documents")
+    without = {"text": F.replace("text", F.lit("\n"), F.lit(""))}
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf_digest([without.get(c, F.col(c)) for c in MERKLE_FIELDS]))
+    return merkle.manifest(docs, list(MERKLE_FIELDS), "source", "doc_id", tampered)
+
+
+def _sql_leaf(text: str) -> str:
+    fields = [text if c == "text" else c for c in MERKLE_FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+def _sql_levels(name: str, leaves: str) -> str:
+    """All nodes of the trees over leaves (tree, pos, n, digest), and for each its siblings before and after."""
+    beside = "string_agg(o.digest, '' ORDER BY o.pos) FILTER"
+    return f"""{name} AS (SELECT tree, 0 AS level, pos, n, digest FROM {leaves}
+  UNION ALL SELECT tree, level + 1, pos // 3, max((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 3),
+{name}_steps AS (SELECT t.tree, t.level, t.pos, coalesce({beside} (o.pos < t.pos), '') AS before, coalesce({beside} (o.pos > t.pos), '') AS after
+  FROM {name} t JOIN {name} o ON o.tree = t.tree AND o.level = t.level AND o.pos // 3 = t.pos // 3 WHERE t.n > 1 GROUP BY ALL)"""
+
+
+def _sql_walk(name: str, levels: str, start: str) -> str:
+    """From each of start (line, tree, pos, digest, proof) up to its tree's root."""
+    return f"""{name} AS (SELECT line, tree, 0 AS level, pos, digest, proof FROM {start}
+  UNION ALL SELECT w.line, w.tree, w.level + 1, w.pos // 3, sha256(before || w.digest || after), w.proof || before || after
+  FROM {name} w JOIN {levels}_steps s ON s.tree = w.tree AND s.level = w.level AND s.pos = w.pos),
+{name}_ends AS (SELECT line, tree, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof, max(level)::BIGINT AS height FROM {name} GROUP BY line, tree)"""
+
+
+#: CRC-32 of decimal digits, of which the last bit is asked: a table by its rule, then byte by byte.
+_SQL_CRC = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+crc AS (SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM (SELECT DISTINCT doc_id AS key FROM documents WHERE doc_id IS NOT NULL), crc_table)"""
+
+OP13_SQL = f"""
+WITH RECURSIVE {_SQL_CRC},
+e AS (SELECT d.doc_id, coalesce('s' || source, '') AS tree, {_sql_leaf("text")} AS leaf, CASE WHEN crc % 2 = 0 THEN {_sql_leaf("replace(text, chr(10), '')")} END AS changed
+  FROM documents d LEFT JOIN crc ON key = doc_id),
+placed AS (SELECT *, row_number() OVER () AS line, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM e),
+leaves AS (SELECT tree, pos, n, leaf AS digest FROM placed),
+{_sql_levels("low", "leaves")},
+sources AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+tops AS (SELECT 0 AS tree, place AS pos, n, subroot AS digest FROM sources),
+{_sql_levels("high", "tops")},
+starts AS (SELECT line, tree, pos, coalesce(changed, leaf) AS digest, '' AS proof FROM placed),
+{_sql_walk("climb", "low", "starts")},
+middle AS (SELECT line, 0 AS tree, place AS pos, digest, proof FROM climb_ends JOIN sources USING (tree)),
+{_sql_walk("climb_on", "high", "middle")}
+SELECT doc_id, leaf, subroot, r.digest AS root, sha256(o.proof) AS proof_sha256, o.digest AS folded_root, o.digest = r.digest AS verified,
+       CASE WHEN changed IS NOT NULL THEN c.height + o.height + 1 END AS n_copied
+FROM placed JOIN sources USING (tree) JOIN climb_ends c USING (line) JOIN climb_on_ends o USING (line), (SELECT digest FROM high WHERE n = 1) r
+"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_chat_format": op2_chat_format,
@@ -190,5 +248,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
+    "op13_merkle": op13_merkle,
 }
-ORACLE_SQL = {"op1_sharding": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_mixing": OP7_SQL}
+ORACLE_SQL = {"op1_sharding": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_mixing": OP7_SQL, "op13_merkle": OP13_SQL}
