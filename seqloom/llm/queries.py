@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.llm import chat, licenses, merkle, mixing, near_copies, ogg, packing, quality, secret_scan, sharding, sketches
+from seqloom.llm import alignment, chat, language, licenses, merkle, mixing, near_copies, ogg, packing, quality, secret_scan, sharding, sketches
 
 SHARD_BYTES = 1 << 20
 
@@ -179,6 +179,20 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, by a model that has not seen those held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.fit_on(docs.filter(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of all documents."""
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
 MERKLE_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -248,6 +262,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
+    "op11_language": op11_language,
+    "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
 ORACLE_SQL = {"op1_sharding": OP1_SQL, "op2_chat_format": OP2_SQL, "op7_mixing": OP7_SQL, "op13_merkle": OP13_SQL}
