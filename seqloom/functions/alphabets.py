@@ -56,19 +56,32 @@ def twenty_one(gap: bool = False, stop: bool = False, start: bool = False) -> Al
 
 def characters(text: Column) -> Column:
     """The characters of a string; the empty string has none."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
+def code_points(text: Column) -> Column:
+    """The code points of a string; several alphabets can encode what is split once."""
+    return F.transform(characters(text), F.ascii)
+
+
+def encode_points(points: Column, alphabet: Alphabet = MAIN) -> Column:
+    """Tokens of code points: one look-up in a table by code point."""
+    table = [alphabet.missing] * (max(map(ord, alphabet.chars)) + 1)
+    for char, token in zip(alphabet.chars, alphabet.ids, strict=True):
+        table[ord(char)] = token
+    tokens = lit_array(table)
+    return F.transform(points, lambda p: F.coalesce(F.get(tokens, p), F.lit(alphabet.missing)))
 
 
 def encode(text: Column, alphabet: Alphabet = MAIN) -> Column:
     """Tokens of a string. Case is not folded: lower case is unknown unless the table has it."""
-    table = lit_array(alphabet.ids)
-    at = lambda c: F.locate(c, F.lit(alphabet.chars)) if isinstance(c, str) else F.call_function("locate", c, F.lit(alphabet.chars))
-    return F.transform(characters(text), lambda c: F.coalesce(F.get(table, at(c) - 1), F.lit(alphabet.missing)))
+    return encode_points(code_points(text), alphabet)
 
 
 def decode(tokens: Column, alphabet: Alphabet = MAIN) -> Column:
-    """The string of an array of tokens."""
-    return F.array_join(F.transform(tokens, lambda t: F.substr(F.lit(alphabet.letters), (t + 1).cast("int"), F.lit(1))), "")
+    """The string of an array of tokens; a token that is no place in the table gives nothing."""
+    letters = lit_array(alphabet.letters, "string")
+    return F.array_join(F.transform(tokens, lambda t: F.get(letters, t.cast("int"))), "")
 
 
 def kmer_unpack(value: Column, k: int, n: int) -> Column:

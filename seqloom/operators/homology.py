@@ -9,12 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.bounds import BLOCK, alignment_sizes, bounded_neighbors, code_matrix, folded_rows, whole_keys
 from seqloom.plans.lineage import cut
 from seqloom.plans.shipping import ship_package
 
-#: Distinct rows of one side of a block.
-BLOCK = 1024
-
 #: A pair kernel: (rows, columns) codes of two blocks and the gap's code, to matches of all pairs.
 Kernel = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -38,14 +36,6 @@ def pair_matches(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
     return out
 
 
-def _codes(rows: list[str], gap: str) -> tuple[np.ndarray, int]:
-    """Rows of one width as a matrix of small codes, and the gap's code; any characters are told apart."""
-    points = np.frombuffer("".join(rows).encode("utf-32-le"), dtype="<u4")
-    symbols, codes = np.unique(np.append(points, ord(gap)), return_inverse=True)
-    kind = np.uint8 if len(symbols) < 255 else np.uint32
-    return codes[:-1].astype(kind).reshape(len(rows), -1), int(codes[-1])
-
-
 def match_expression(a: F.Column, b: F.Column, gap: str = "-") -> F.Column:
     """The same count for one pair as a column expression, where pairs are few."""
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda p, q: (p == q) & (p != gap))
@@ -61,28 +51,29 @@ def row_statistics(
     ``neighbors``: rows j with ``1 - matches(i, j) / nongap(i) <= theta``; asymmetric, since i sets the
     scale. ``matches``: sum of ``kernel`` (equal columns) over all j; ``best_other``: its most with
     another row, null for a single one. Rows belong to (msa, row): row ids may be of any type and may
-    repeat in other alignments. A null alignment is one like others. A row of gaps alone raises, and
-    so do rows of one alignment that differ in width.
+    repeat, in other alignments or in one. A null alignment is one like others. A row of gaps alone raises,
+    and so do rows of one alignment that differ in width.
 
-    Equal rows are folded with their number first. The distinct rows of an alignment are dealt
-    into blocks, and each pair of blocks is one task of two bounded matrices, so the output is
-    linear and the work of the quadratic comparison spreads over all tasks.
+    Sums over all pairs need all of them: equal rows are folded with their number first, the distinct
+    rows of an alignment are dealt into blocks, and each pair of blocks is one task of two bounded
+    matrices, so the output is linear and the quadratic comparison spreads over all tasks. Where only
+    neighbours are asked for, ``neighbor_counts`` compares far fewer.
     """
-    ship_package(rows.sparkSession)
-    # a struct is equal to another one where both hold null, so null alignments group and join like others
-    named = rows.withColumn("__msa", F.struct(F.col(msa).alias("of")))
-    folded = cut(named.groupBy("__msa", F.col(aligned).alias("__aligned")).agg(F.count("*").alias("copies")).withColumn("head", F.monotonically_increasing_id()))
-    width = F.length("__aligned")
-    ragged = F.when(F.min(width) != F.max(width), F.raise_error("rows of an alignment differ in width"))
-    blocks = F.coalesce(ragged.cast("int"), F.ceil(F.count("*") / block).cast("int"))
-    sizes = cut(folded.groupBy("__msa").agg(blocks.alias("blocks")).withColumn("no", F.monotonically_increasing_id()))
-    placed = folded.join(sizes, "__msa").withColumn("own", F.pmod(F.xxhash64("head"), "blocks").cast("int"))
+    named, folded = folded_rows(rows, msa, aligned)
+    known = folded.join(_pair_statistics(folded, theta, gap, block, kernel), "head").select("__msa", "__aligned", "neighbors", "matches", F.when(F.col("best") >= 0, F.col("best")).alias("best_other"))
+    return named.select(msa, row, "__msa", "__aligned").join(known, ["__msa", "__aligned"]).select(msa, row, "neighbors", "matches", "best_other")
+
+
+def _pair_statistics(folded: DataFrame, theta: float, gap: str, block: int, kernel: Kernel) -> DataFrame:
+    """(head, neighbors, matches, best) of the distinct rows, over all pairs of an alignment."""
+    ship_package(folded.sparkSession)
+    placed = folded.join(alignment_sizes(folded), "__msa").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("head"), "blocks").cast("int"))
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = each.select("no", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "head", "__aligned", "copies")
 
     def compare(part: pd.DataFrame) -> list[pd.DataFrame]:
         low, high = int(part["low"].iloc[0]), int(part["high"].iloc[0])
-        matrix, mark = _codes(part["__aligned"].tolist(), gap)
+        matrix, mark = code_matrix(part["__aligned"].tolist(), gap)
         copies, heads = part["copies"].to_numpy(), part["head"].to_numpy()
         own = part["own"].to_numpy()
         out = []
@@ -101,35 +92,49 @@ def row_statistics(
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Tasks come one after another, each whole but maybe over several batches; many are small."""
-        rest: pd.DataFrame | None = None
-        for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = rows[["no", "low", "high"]].to_numpy()
-            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1))
-            done = [x for a, b in zip(starts[:-1], starts[1:], strict=True) for x in compare(rows.iloc[a:b])]
-            rest = rows.iloc[starts[-1] :] if len(rows) else None
-            if done:
-                yield pd.concat(done)
-        if rest is not None:
-            yield from compare(rest)
+        for part in whole_keys(batches, ["no", "low", "high"]):
+            yield from compare(part)
 
     dealt = task.repartition("no", "low", "high").sortWithinPartitions("no", "low", "high")
     found = dealt.mapInPandas(run, "head long, neighbors long, matches long, best long")
-    totals = found.groupBy("head").agg(F.sum("neighbors").alias("neighbors"), F.sum("matches").alias("matches"), F.max("best").alias("best"))
-    known = folded.join(totals, "head").select("__msa", "__aligned", "neighbors", "matches", F.when(F.col("best") >= 0, F.col("best")).alias("best_other"))
-    return named.select(msa, row, "__msa", F.col(aligned).alias("__aligned")).join(known, ["__msa", "__aligned"]).select(msa, row, "neighbors", "matches", "best_other")
+    return found.groupBy("head").agg(F.sum("neighbors").alias("neighbors"), F.sum("matches").alias("matches"), F.max("best").alias("best"))
+
 
+def _neighbors(folded: DataFrame, theta: float, gap: str, block: int, kernel: Kernel | None) -> DataFrame:
+    if kernel is None:
+        return bounded_neighbors(folded, theta, gap, block)
+    return _pair_statistics(folded, theta, gap, block, kernel).select("head", "neighbors")
 
-def neighbor_counts(rows: DataFrame, theta: float = 0.2, **names) -> DataFrame:
-    """(msa, row, neighbors); see ``row_statistics``."""
-    found = row_statistics(rows, theta, **names)
-    return found.drop("matches", "best_other")
 
+def neighbor_counts(
+    rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str = "msa", row: str = "row_id", aligned: str = "aligned", block: int = BLOCK, kernel: Kernel | None = None,
+) -> DataFrame:
+    """(msa, row, neighbors), as ``row_statistics`` defines them.
 
-def homology_weights(rows: DataFrame, theta: float = 0.2, msa: str = "msa", row: str = "row_id", aligned: str = "aligned") -> DataFrame:
+    Without a kernel of one's own, bounds decide which blocks, rows and pairs can't be neighbours, so that
+    these are never compared; with one all pairs are, since nothing is known about it.
+    """
+    named, folded = folded_rows(rows, msa, aligned)
+    known = folded.join(_neighbors(folded, theta, gap, block, kernel), "head").select("__msa", "__aligned", "neighbors")
+    return named.select(msa, row, "__msa", "__aligned").join(known, ["__msa", "__aligned"]).select(msa, row, "neighbors")
+
+
+def weighted_rows(rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str = "msa", aligned: str = "aligned", block: int = BLOCK, kernel: Kernel | None = None) -> DataFrame:
+    """All rows with all their columns, and neighbors, n_eff, weight.
+
+    Rows are joined by their alignment (null being one) and their aligned text, of which the weight
+    is a function, so no row is lost and none multiplied, whatever ids rows have.
+    """
+    named, folded = folded_rows(rows, msa, aligned)
+    counted = cut(folded.join(_neighbors(folded, theta, gap, block, kernel), "head").select("__msa", "__aligned", "copies", "neighbors"))
+    total = counted.groupBy("__msa").agg(F.sum(F.col("copies") / F.col("neighbors")).alias("n_eff"))
+    known = counted.join(total, "__msa").select("__msa", "__aligned", "neighbors", "n_eff", (F.lit(1.0) / F.col("neighbors") / F.col("n_eff")).alias("weight"))
+    return named.join(known, ["__msa", "__aligned"]).drop("__msa", "__aligned")
+
+
+def homology_weights(
+    rows: DataFrame, theta: float = 0.2, msa: str = "msa", row: str = "row_id", aligned: str = "aligned", gap: str = "-", block: int = BLOCK, kernel: Kernel | None = None,
+) -> DataFrame:
     """(msa, row, neighbors, n_eff, weight): the effective number of rows of each alignment, and each
-    row's share of it, on the unfiltered alignment."""
-    counts = neighbor_counts(rows, theta, msa=msa, row=row, aligned=aligned).withColumn("__msa", F.struct(F.col(msa).alias("of")))
-    total = counts.groupBy("__msa").agg(F.sum(F.lit(1.0) / F.col("neighbors")).alias("n_eff"))
-    return counts.join(total, "__msa").drop("__msa").withColumn("weight", F.lit(1.0) / F.col("neighbors") / F.col("n_eff"))
+    row's share of it, on the unfiltered alignment; ``kernel`` as in ``neighbor_counts``."""
+    return weighted_rows(rows.select(msa, row, aligned), theta, gap, msa, aligned, block, kernel).select(msa, row, "neighbors", "n_eff", "weight")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions.columns import uniform
 from seqloom.functions.sequences import stable_seed, unalign
-from seqloom.operators.homology import homology_weights
+from seqloom.operators.homology import Kernel, weighted_rows
+from seqloom.operators.spread import RANGE_ROWS, group_key, in_ranges, numbered, running
+from seqloom.plans.lineage import cut
+from seqloom.plans.shipping import ship_package
+
+#: Ranges that a draw looks through at a time.
+RUN = 64
 
 
 def random_key(seed: Column | int, row: Column) -> Column:
@@ -26,27 +34,52 @@ def weighted_key(seed: Column | int, row: Column, weight: Column) -> Column:
 
 
 def order_top(df: DataFrame, by: list[str], row: str) -> DataFrame:
-    return _numbered(df, by, F.col(row).asc())
+    """Adds ``ord``, the place from 0 in each group, by row; as the other orders, spread over ranges of a group."""
+    return numbered(df, by, [F.col(row)])
 
 
 def order_random(df: DataFrame, by: list[str], row: str, seed: Column | int = 0) -> DataFrame:
-    return _numbered(df, by, random_key(seed, F.col(row)), F.col(row))
+    return numbered(df, by, [random_key(seed, F.col(row)), F.col(row)])
 
 
 def order_weighted(df: DataFrame, by: list[str], row: str, weight: Column, seed: Column | int = 0) -> DataFrame:
-    return _numbered(df, by, weighted_key(seed, F.col(row), weight), F.col(row))
+    return numbered(df, by, [weighted_key(seed, F.col(row), weight), F.col(row)])
+
+
+def equal_columns(a: Column, b: Column) -> Column:
+    """Columns in which two strings are equal; null where one is missing. Counted by Arrow batches."""
+    return F.pandas_udf(_equal_columns, "int")(a, b)
 
 
-def _numbered(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
-    """Adds ``ord``, the place from 0 in each group."""
-    return df.withColumn("ord", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
+def _equal_columns(a: pd.Series, b: pd.Series) -> pd.Series:
+    known = (a.notna() & b.notna()).to_numpy()
+    left, right = a[known].tolist(), b[known].tolist()
+    widths = np.array([len(x) for x in left], dtype=np.int64)
+    out = np.zeros(len(left), dtype=np.int64)
+    even = widths == [len(y) for y in right]
+    for k in np.flatnonzero(~even):
+        out[k] = sum(x == y for x, y in zip(left[k], right[k], strict=False))
+    points = [np.frombuffer("".join(x for x, e in zip(side, even, strict=True) if e).encode("utf-32-le"), dtype="<u4") for side in (left, right)]
+    total = np.concatenate(([0], np.cumsum(points[0] == points[1])))
+    ends = np.cumsum(widths[even])
+    out[even] = total[ends] - total[ends - widths[even]]
+    found = pd.Series([None] * len(a), index=a.index, dtype="Int32")
+    found[known] = out.astype("int32")
+    return found
 
 
-def similarity_to_first(df: DataFrame, msa: str, row: str, aligned: str) -> DataFrame:
-    """Adds ``similarity``: equal columns with the alignment's first row over its width; gaps count."""
-    first = df.groupBy(msa).agg(F.min_by(aligned, row).alias("__first"))
-    same = F.zip_with(F.split(aligned, ""), F.split("__first", ""), lambda p, q: p == q)
-    return df.join(first, msa).withColumn("similarity", F.size(F.filter(same, lambda m: m)) / F.length("__first")).drop("__first")
+def similarity_to_first(df: DataFrame, msa: str, row: str, aligned: str, flag: str | None = None) -> DataFrame:
+    """Adds ``similarity``: equal columns with the alignment's first row over its width; gaps count.
+
+    The first row is the one of least (row, aligned text); ``flag`` names a column that tells it. A null
+    alignment is one like others; rows alike in id and text are first together.
+    """
+    own = F.struct(F.col(row).alias("row"), F.col(aligned).alias("aligned"))
+    ship_package(df.sparkSession)
+    of = df.withColumn("__msa", F.struct(F.col(msa).alias("of")))
+    first = of.groupBy("__msa").agg(F.min(own).alias("__first"))
+    found = of.join(first, "__msa").withColumn("similarity", equal_columns(F.col(aligned), F.col("__first.aligned")) / F.length("__first.aligned"))
+    return (found.withColumn(flag, own.eqNullSafe(F.col("__first"))) if flag else found).drop("__first", "__msa")
 
 
 def similarity_filter(df: DataFrame, max_similarity: Column | float = 1.0, max_dissimilarity: Column | float = 1.0) -> DataFrame:
@@ -57,37 +90,41 @@ def similarity_filter(df: DataFrame, max_similarity: Column | float = 1.0, max_d
 
 def sample_msa(
     rows: DataFrame, method: str = "weighted", seed: int = 0, theta: float = 0.2, max_similarity: float = 1.0, max_dissimilarity: float = 1.0,
-    force_include_first: bool = False, msa: str = "msa", row: str = "row_id", aligned: str = "aligned",
+    force_include_first: bool = False, msa: str = "msa", row: str = "row_id", aligned: str = "aligned", kernel: Kernel | None = None,
 ) -> DataFrame:
     """Order of the sampled rows of each alignment: (msa, row, aligned, ord).
 
     Weights are of the whole alignment, then the similarity filter, then the method ("top",
     "random" or "weighted"). ``force_include_first`` puts the first row first whatever the filter.
+    ``kernel`` counts the matches of pairs for the weights, see ``homology_weights``.
+
+    Every row stays a row: null alignments are one alignment, row ids may be of any type that sorts,
+    null, or repeated; rows with one id go by their text.
     """
-    table = similarity_to_first(rows, msa, row, aligned).withColumn("__is_first", F.col(row) == F.min(row).over(Window.partitionBy(msa)))
-    if method == "weighted":
-        table = table.join(homology_weights(rows, theta, msa, row, aligned).select(msa, row, "weight"), [msa, row])
-        key = weighted_key(seed, F.col(row), F.col("weight"))
-    elif method == "random":
-        key = random_key(seed, F.col(row))
-    elif method == "top":
-        key = F.col(row).cast("double")
-    else:
+    if method not in ("top", "random", "weighted"):
         raise ValueError(f"unknown method {method}")
+    table = rows.select(msa, row, aligned)
+    if method == "weighted":
+        table = weighted_rows(table, theta, msa=msa, aligned=aligned, kernel=kernel)
+    table = similarity_to_first(table, msa, row, aligned, "__is_first")
     near = (F.col("similarity") <= max_similarity) & (1 - F.col("similarity") <= max_dissimilarity)
     kept = table.filter(near | F.col("__is_first")) if force_include_first else table.filter(near)
-    place = [(~F.col("__is_first")).cast("int")] if force_include_first else []
-    return _numbered(kept, [msa], *place, key, F.col(row)).select(msa, row, aligned, "ord")
+    if method == "top":
+        return numbered(kept, [msa], [F.col(row), F.col(aligned)]).select(msa, row, aligned, "ord")
+    key = weighted_key(seed, F.col(row), F.col("weight")) if method == "weighted" else random_key(seed, F.col(row))
+    first = F.when(F.col("__is_first"), F.lit(-1.0)).otherwise(key) if force_include_first else key  # keys are positive
+    return numbered(kept, [msa], [first, F.col(row), F.col(aligned)]).select(msa, row, aligned, "ord")
 
 
 def token_budget(df: DataFrame, by: list[str], order: list[Column], length: Column, max_tokens: Column | int) -> DataFrame:
-    """Rows in order while the sum of their lengths and two framing tokens each stays in the budget.
+    """Rows in ascending order while the sum of their lengths and two framing tokens each stays in the budget.
 
     It stops at the first that does not fit; since lengths are positive, the running sum says so.
+    Ranges of a group's order that begin beyond its budget drop out before they are sorted. A budget
+    that is a column is one for each group.
     """
     most = max_tokens if isinstance(max_tokens, Column) else F.lit(max_tokens)
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("tokens_upto", F.sum(length + 2).over(window)).filter(F.col("tokens_upto") <= most)
+    return running(df, by, order, {"tokens_upto": length + 2}, ("tokens_upto", most)).filter(F.col("tokens_upto") <= most)
 
 
 def truncating_budget(df: DataFrame, by: str, order: str, text: str, base: str, limit: int = 8192) -> DataFrame:
@@ -95,19 +132,15 @@ def truncating_budget(df: DataFrame, by: str, order: str, text: str, base: str,
 
     ``df`` has a row for each homolog found, in ``order``, and the group's ``base`` sequence. Each is
     framed by $ and *. A homolog that leaves no room ends the list: its prefix is taken if anything
-    of it fits. What is still as long as the limit is cut to one less and closed by *.
+    of it fits. What is still as long as the limit is cut to one less and closed by *. Only rows that
+    begin within the limit are put together, so a group's text is bounded however many rows it has.
     """
-    window = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     need = F.length(text) + 2
-    rows = (
-        df.withColumn("__need", need)
-        .withColumn("__left", limit - (F.length(base) + 2) - (F.sum("__need").over(window) - F.col("__need")))
-        .withColumn("__over", (F.col("__left") - F.col("__need") < 1).cast("int"))
-        .withColumn("__overs", F.sum("__over").over(window))
-        .filter((F.col("__overs") == 0) | ((F.col("__overs") == 1) & (F.col("__over") == 1)))
-    )
-    room = F.col("__left") - 3
-    part = F.when(F.col("__over") == 0, F.col(text)).when(room > 0, F.substr(F.col(text), F.lit(1), room.cast("int")))
+    room = limit - (F.length(base) + 2)
+    # a row has its turn while those before it leave room; the first one always, so that each group has a row
+    rows = running(df, [by], [F.col(order)], {"__upto": need}, ("__upto", F.greatest(room - 1, F.lit(0))))
+    left = room - (F.col("__upto") - need)
+    part = F.when(left - need >= 1, F.col(text)).when(left - 3 > 0, F.substr(F.col(text), F.lit(1), (left - 3).cast("int")))
     parts = F.transform(F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct(F.col(order).alias("o"), part.alias("p"))))), lambda s: F.concat(F.lit("$"), s["p"], F.lit("*")))
     whole = rows.groupBy(by).agg(F.concat(F.lit("$"), F.first(base), F.lit("*"), F.array_join(parts, "")).alias("t"), F.count(part).alias("n_homologs"))
     return whole.select(by, F.when(F.length("t") >= limit, F.concat(F.substr(F.col("t"), F.lit(1), F.lit(limit - 1)), F.lit("*"))).otherwise(F.col("t")).alias("assembled"), "n_homologs")
@@ -132,61 +165,81 @@ def seed_offset(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.withColumn("seed_offset", (F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1).cast("bigint"))
 
 
-def final_shuffle(df: DataFrame, by: list[str], row: str, seed: Column) -> DataFrame:
-    """Seeded permutation of the rows kept; the seed is that of the string of the seed plus one."""
-    return order_random(df, by, row, stable_seed((seed + 1).cast("string")))
+def final_shuffle(df: DataFrame, by: list[str], row: str, seed: Column, tie: list[Column] | None = None) -> DataFrame:
+    """Seeded permutation of the rows kept; the seed is that of the string of the seed plus one.
+
+    What is kept of a group is bounded by its budget, so that a group is one task's.
+    """
+    order = [random_key(stable_seed((seed + 1).cast("string")), F.col(row)), F.col(row), *(tie or [])]
+    return df.withColumn("ord", (F.row_number().over(Window.partitionBy(group_key(by)).orderBy(*order)) - 1).cast("bigint"))
 
 
-def sample_context(rows: DataFrame, grid: DataFrame, seed: int = 0, theta: float = 0.2, msa: str = "msa", row: str = "row_id", aligned: str = "aligned") -> DataFrame:
+def sample_context(
+    rows: DataFrame, grid: DataFrame, seed: int = 0, theta: float = 0.2, msa: str = "msa", row: str = "row_id", aligned: str = "aligned", kernel: Kernel | None = None,
+) -> DataFrame:
     """The context of every alignment at every grid point: (msa, grid ord, row, sequence, ord).
 
-    Weights and similarities are computed once for all grid points; the grid is joined after.
-    Weighted order, then without the query where it is masked, then the token budget over
-    the unaligned sequences, then a final shuffle.
+    Weights and similarities are computed once for all grid points and stored; the grid is joined to
+    lengths and keys alone, and the sequences of rows within the budget are joined last. Weighted order,
+    then without the query where it is masked, then the token budget over the unaligned sequences,
+    then a final shuffle. ``kernel``, null alignments and repeated row ids: as in ``sample_msa``.
     """
-    weights = homology_weights(rows, theta, msa, row, aligned).select(msa, row, "weight")
-    base = similarity_to_first(rows, msa, row, aligned).join(weights, [msa, row])
-    first = rows.groupBy(msa).agg(F.min(row).alias("__query"))
-    base = base.join(first, msa).select(msa, row, "similarity", "weight", "__query", unalign(F.col(aligned)).alias("sequence"))
+    weighted = similarity_to_first(weighted_rows(rows.select(msa, row, aligned), theta, msa=msa, aligned=aligned, kernel=kernel), msa, row, aligned, "__query")
+    base = cut(
+        weighted.select(F.monotonically_increasing_id().alias("__id"), msa, row, "similarity", "weight", "__query", F.xxhash64(aligned).alias("__tie"), unalign(F.col(aligned)).alias("sequence"))
+        .withColumn("__length", F.length("sequence"))
+    )
     points = grid.select(F.col("ord").alias("grid_ord"), "max_tokens", "max_similarity", "inverse_folding", (F.lit(seed) + F.col("seed_offset")).alias("__seed"))
-    table = base.crossJoin(F.broadcast(points))  # the grid is a few parameter rows
+    table = base.drop("sequence").crossJoin(F.broadcast(points))  # the grid is a few parameter rows
     # the query leads where folding is inverted, and is dropped there right after
-    table = table.filter((F.col("similarity") <= F.col("max_similarity")) & ~(F.col("inverse_folding") & (F.col(row) == F.col("__query"))))
+    table = table.filter((F.col("similarity") <= F.col("max_similarity")) & ~(F.col("inverse_folding") & F.col("__query")))
     table = table.withColumn("__key", weighted_key(F.col("__seed"), F.col(row), F.col("weight")))
-    kept = token_budget(table, [msa, "grid_ord"], [F.col("__key"), F.col(row)], F.length("sequence"), F.col("max_tokens"))
-    return final_shuffle(kept, [msa, "grid_ord"], row, F.col("__seed")).select(msa, "grid_ord", row, "sequence", "ord")
+    kept = token_budget(table, [msa, "grid_ord"], [F.col("__key"), F.col(row), F.col("__tie")], F.col("__length"), F.col("max_tokens"))
+    placed = final_shuffle(kept, [msa, "grid_ord"], row, F.col("__seed"), [F.col("__tie")]).select("__id", "grid_ord", "ord")
+    return placed.join(base.select("__id", msa, row, "sequence"), "__id").select(msa, "grid_ord", row, "sequence", "ord")
 
 
-def weighted_draws(records: DataFrame, k: int, seed: int = 0, by: str = "seed", item: str = "member", weight: str = "probability") -> DataFrame:
+def weighted_draws(records: DataFrame, k: int, seed: int = 0, by: str = "seed", item: str = "member", weight: str = "probability", range_rows: int = RANGE_ROWS) -> DataFrame:
     """k draws with replacement from each group by weight: (by, draw, item).
 
-    The running sum of weights and the draws are sorted together, and each draw takes the last
-    item that starts at or before it, so the work is n + k a group and not n x k.
+    The order of a group's items is cut into ranges. A draw falls into a range by the ranges' weights
+    first; in each range running weights and draws are sorted together, and each draw takes the
+    last item that starts at or before it. So the work is n + k a group and not n x k, and spreads over
+    tasks however many items or draws a group has.
     """
     groups = records.select(by).distinct()
-    return _drawn(records, groups.withColumn("__of", F.col(by)), k, seed, by, [item], item, weight).drop("__of")
+    return _drawn(records, groups.withColumn("__of", F.col(by)), k, seed, by, [item], item, weight, range_rows).drop("__of")
 
 
-def _drawn(records: DataFrame, askers: DataFrame, k: int, seed: int, by: str, order: list[str], item: str, weight: str) -> DataFrame:
+def _drawn(records: DataFrame, askers: DataFrame, k: int, seed: int, by: str, order: list[str], item: str, weight: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """k draws for each of ``askers`` (by, __of) from the group ``by`` of records: (by, __of, draw, item).
 
-    A group's running sum is made once, however many ask. Draws are hashes of the asker and the
-    number of the draw.
+    A group's running weights are made once, however many ask. Draws are hashes of the asker and the
+    number of the draw. Groups that are null draw nothing.
     """
-    run = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged, _ = in_ranges(records.filter(F.col(by).isNotNull()), [by], [F.col(c) for c in order], range_rows)
+    totals = cut(ranged.groupBy(by, "__range").agg(F.sum(weight).alias("total")))
+    before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(by, "__range", "total", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("start"))
+    # a group's ranges, at most MOST_RANGES of them, in runs: a draw finds its run, then its range
+    listed = starts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start", "__range"))).alias("ranges"), F.sum("total").alias("total"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("ranges") - 1, F.lit(RUN)), lambda i: F.slice("ranges", i + 1, F.lit(RUN)))
+    listed = listed.select(by, "total", runs.alias("runs"))
     of_kind = askers.schema["__of"].dataType
-    starts = records.select(
-        by, F.lit(None).cast(of_kind).alias("__of"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("draw"), F.col(item).alias("item"),
-        F.coalesce(F.sum(weight).over(run), F.lit(0.0)).alias("at"),
+    each = askers.join(listed, by).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
+    each = each.withColumn("at", uniform(seed, F.concat_ws("/", F.col("__of").cast("string"), F.col("draw").cast("string"))) * F.col("total"))
+    run = F.get("runs", F.size(F.filter("runs", lambda r: r[0]["start"] <= F.col("at"))) - 1)
+    draws = each.withColumn("run", run).select(
+        by, F.get("run", F.size(F.filter("run", lambda r: r["start"] <= F.col("at"))) - 1)["__range"].alias("__range"), "__of", F.lit(1).alias("kind"), "draw",
+        F.lit(None).cast(records.schema[item].dataType).alias("item"), "at",
     )
-    totals = records.groupBy(by).agg(F.sum(weight).alias("total"))
-    each = askers.join(totals, by).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
-    draws = each.select(
-        by, "__of", F.lit(1).alias("kind"), "draw", F.lit(None).cast(records.schema[item].dataType).alias("item"),
-        (uniform(seed, F.concat_ws("/", F.col("__of").cast("string"), F.col("draw").cast("string"))) * F.col("total")).alias("at"),
+    inside = Window.partitionBy(by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    items = ranged.join(starts.select(by, "__range", "start"), [by, "__range"]).select(
+        by, "__range", F.lit(None).cast(of_kind).alias("__of"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("draw"), F.col(item).alias("item"),
+        (F.col("start") + F.coalesce(F.sum(weight).over(inside), F.lit(0.0))).alias("at"),
     )
-    together = Window.partitionBy(by).orderBy("at", "kind", "item").rowsBetween(Window.unboundedPreceding, 0)
-    found = starts.unionByName(draws).withColumn("item", F.last("item", ignorenulls=True).over(together))
+    together = Window.partitionBy(by, "__range").orderBy("at", "kind", "item").rowsBetween(Window.unboundedPreceding, 0)
+    found = items.unionByName(draws).withColumn("item", F.last("item", ignorenulls=True).over(together))
     return found.filter("kind = 1").select(by, "__of", "draw", F.col("item").alias(item))
 
 

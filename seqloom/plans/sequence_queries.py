@@ -50,15 +50,14 @@ SELECT source, count(*) AS n_rows, max(length(raw))::BIGINT AS width, count(DIST
 
 
 def _joined(tokens) -> F.Column:
-    return F.array_join(F.transform(tokens, lambda t: t.cast("string")), " ")
+    return F.array_join(tokens.cast("array<string>"), " ")
 
 
 def encode_tokens(spark: SparkSession, d: str) -> DataFrame:
-    q = F.col("aligned")
     tokens = {"main": A.MAIN, "structural": A.STRUCTURAL, "reduced": A.REDUCED, "dna": A.DNA, "secondary": A.SECONDARY, "twenty_one": A.twenty_one(gap=True)}
-    return aln(spark, d).select(
-        "msa", "row_id", *[_joined(A.encode(q, a)).alias(n) for n, a in tokens.items()], _joined(A.append_startstop(A.encode(q))).alias("framed"), A.decode(A.encode(q)).alias("decoded")
-    )
+    split = aln(spark, d).select("msa", "row_id", A.code_points(F.col("aligned")).alias("points"))
+    coded = split.select("msa", "row_id", *[A.encode_points(F.col("points"), a).alias(n) for n, a in tokens.items()])
+    return coded.select("msa", "row_id", *[_joined(F.col(n)).alias(n) for n in tokens], _joined(A.append_startstop(F.col("main"))).alias("framed"), A.decode(F.col("main")).alias("decoded"))
 
 
 def _encode_sql(chars: str, missing: int, ids: tuple[int, ...] | None = None) -> str:

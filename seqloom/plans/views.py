@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, where the files have fewer splits than there are cores.
+
+    Work that is heavy for each row would leave cores idle else; large inputs are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Width of the stand-in alignments.
 WIDTH = 240
 
@@ -23,8 +32,8 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     The k-th windows of a source's documents are one alignment, so whole texts are read and each
     document is a row, under its own id, of as many alignments as it has windows.
     """
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", letters.alias("t")).filter("t <> ''")
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
+    docs = spread_out(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select("source", "doc_id", letters.alias("t")).filter("t <> ''")
     each = docs.select("source", "doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / WIDTH))).alias("k"))
     window = F.substr("t", (F.col("k") * WIDTH + 1).cast("int"), F.lit(WIDTH))
     return each.select(F.concat_ws("/", "source", F.col("k").cast("string")).alias("msa"), F.col("doc_id").alias("row_id"), F.rpad(window, WIDTH, "-").alias("aligned"))

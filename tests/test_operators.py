@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import geometry as G
 from seqloom.functions import sequences as Q
+from seqloom.operators import bounds as B
 from seqloom.operators import clusters as C
 from seqloom.operators import homology as H
 from seqloom.operators import sampling as P
@@ -222,7 +223,7 @@ def test_another_kernel_counts_its_own_matches(spark):
 
 
 def test_wide_rows_count_beyond_a_byte():
-    a = H._codes(["A" * 700, "AB" * 350], "-")
+    a = B.code_matrix(["A" * 700, "AB" * 350], "-")
     assert H.pair_matches(a[0], a[0], a[1]).tolist() == [[700, 350], [350, 700]]
 
 
