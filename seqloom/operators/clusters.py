@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequences import is_structural, structural_source
+from seqloom.plans.lineage import cut
 
 
 def cluster_pairs(df: DataFrame) -> DataFrame:
@@ -162,7 +167,64 @@ def finite_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def ordered_fingerprint(df: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """SHA-1 of each group's texts, concatenated in order without separator: (by, fingerprint).
 
-    The digest needs a group's text as one value, so a group is a prompt or a file, not a table.
+    Rows are dealt by group and sorted by (group, order, text), and the digest is carried from row to
+    row, so a group is never one value: it needs no more memory than a batch of rows, whatever its
+    length. Null texts add nothing. A digest is sequential, so a group is one task's stream.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, last, begun = hashlib.sha1(), None, False
+        for batch in batches:
+            keys, done = [], []
+            for key, part in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if begun and key != last:
+                    keys.append(last)
+                    done.append(digest.hexdigest())
+                    digest = hashlib.sha1()
+                last, begun = key, True
+                digest.update((part or "").encode())
+            kind = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(done, pa.string())], ["by", "fingerprint"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([digest.hexdigest()])], ["by", "fingerprint"])
+
+    rows = df.select(F.col(by).alias("by"), F.col(order).alias("order"), F.col(text).alias("text"))
+    kind = df.schema[by].dataType.simpleString()
+    return rows.repartition("by").sortWithinPartitions("by", "order", "text").mapInArrow(fold, f"by {kind}, fingerprint string").withColumnRenamed("by", by)
+
+
+def chain_pages(pages: DataFrame, page: str = "url", following: str = "next") -> DataFrame:
+    """Where each page stands in its chain of links: (page, first, place, status).
+
+    ``first`` is the page from which the chain begins, ``place`` counts from 0. ``status`` is that of the
+    chain: ``whole`` if its last page links to none, ``gap`` if it links to a page that isn't there,
+    ``cycle`` (with no first page and no place) if the links lead back. Of several pages that link to one, the
+    least leads on and the others end in a gap, since a page stands in one chain. Pages are distinct
+    and not null; repeated ones count once, with their least link.
+
+    Lists are ranked by pointer doubling: each page knows the page 1, 2, 4, ... before it, so a chain of n
+    pages takes log2(n) joins on single pages, and pages that have found their first one take no part.
     """
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text])
-    return df.groupBy(by).agg(F.sha1(F.array_join(parts, "")).alias("fingerprint"))
+    once = pages.select(F.col(page).alias("page"), F.col(following).alias("next")).filter("page IS NOT NULL").groupBy("page").agg(F.min("next").alias("next"))
+    once = cut(once)
+    before = once.filter("next IS NOT NULL").groupBy(F.col("next").alias("of")).agg(F.min("page").alias("before"))
+    now = once.join(before, F.col("page") == F.col("of"), "left").select("page", F.col("before").alias("far"), F.col("before").isNotNull().cast("long").alias("place"))
+    now = cut(now.withColumn("first", F.when(F.col("far").isNull(), F.col("page"))))
+    rounds = max(1, once.count().bit_length() + 1)  # a page with one before it after so many rounds stands in a cycle
+    for _ in range(rounds):
+        open_ = now.filter("far IS NOT NULL")
+        if open_.isEmpty():
+            break
+        jump = now.select(F.col("page").alias("far"), F.col("far").alias("farther"), F.col("place").alias("more"), F.col("first").alias("found"))
+        moved = open_.select("page", "far", "place").join(jump, "far").select("page", F.col("farther").alias("far"), (F.col("place") + F.col("more")).alias("place"), F.col("found").alias("first"))
+        now = cut(now.filter("far IS NULL").unionByName(moved))
+    ends = once.join(before.select(F.col("before").alias("page"), F.lit(True).alias("linked")), "page", "left_anti")
+    ends = ends.join(now.select("page", "first"), "page").select("first", F.when(F.col("next").isNull(), "whole").otherwise("gap").alias("status"))
+    # a page that links on to one that another page leads to ends its chain there; a link to no page at all does so too
+    there = once.select(F.col("page").alias("next"), F.lit(True).alias("there"))
+    lost = once.filter("next IS NOT NULL").join(there, "next", "left_anti").join(now.select("page", "first"), "page").select("first", F.lit("gap").alias("status"))
+    status = ends.unionByName(lost).filter("first IS NOT NULL").groupBy("first").agg(F.min("status").alias("status"))
+    done = now.withColumn("first", F.when(F.col("far").isNull(), F.col("first")))
+    return done.join(status, "first", "left").select(
+        F.col("page").alias(page), "first", F.when(F.col("first").isNotNull(), F.col("place")).alias("place"), F.when(F.col("first").isNull(), "cycle").otherwise(F.col("status")).alias("status")
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,19 +178,28 @@ def with_structure_or_fallback(prompt: DataFrame, structures: DataFrame, name: s
     return joined.select(*[F.when(F.col("__s").isNotNull(), F.col("__s")[c]).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in prompt.columns], F.col("__s").isNotNull().alias("has_structure"))
 
 
-def score_with(df: DataFrame, score: Callable[[pd.DataFrame], pd.Series], out: str = "logp", batch: int = 128) -> DataFrame:
+def score_with(df: DataFrame, score: Callable[[pd.DataFrame], pd.Series], out: str = "logp", batch: int = 128, length: str | None = None, tokens: int = 1 << 15) -> DataFrame:
     """Adds a score by a user's function, called on slices of at most ``batch`` rows.
 
-    The function gets the rows as pandas and returns one float for each; models are the user's.
+    The function gets the rows as pandas and returns one float for each; models are the user's. With
+    ``length``, a column of lengths, rows are dealt and sorted by it, and a slice also holds no more than
+    ``tokens`` when all its rows are padded to its longest (one row at least), so that little is padding.
     """
     ship_package(df.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` float"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for at in range(0, len(rows), batch):
-                part = rows.iloc[at : at + batch].copy()
+            at = 0
+            while at < len(rows):
+                size = batch
+                if length is not None:
+                    longest = np.maximum.accumulate(rows[length].iloc[at : at + batch].fillna(0).to_numpy())
+                    size = max(1, int((longest * np.arange(1, len(longest) + 1) <= tokens).sum()))
+                part = rows.iloc[at : at + size].copy()
                 part[out] = pd.Series(score(part)).to_numpy(dtype="float32")
                 yield part
+                at += size
 
-    return df.mapInPandas(run, schema)
+    dealt = df if length is None else df.repartitionByRange(length).sortWithinPartitions(length)
+    return dealt.mapInPandas(run, schema)

@@ -138,3 +138,30 @@ def residue_pairs(residues: DataFrame, chain: str = "chain", pos: str = "pos", n
         .withColumn("pair_bucket", G.pair_bucket(F.col("distance_bucket"), F.col("angle_bucket"), F.col("k"), F.col("ca"), F.col("cb"), n_distance, n_angle))
         .drop("k", "ca", "cb")
     )
+
+
+def near_residue_pairs(residues: DataFrame, chain: str = "chain", pos: str = "pos", most: float = 48.0, n_distance: int = 128) -> DataFrame:
+    """Ordered pairs of different residues of a chain nearer than ``most``: (chain, i, j, distance_bucket).
+
+    Points are dealt into cells as wide as ``most``, and a point meets those of its own and the 26 cells
+    around, so the work grows with pairs that are near and not with the square of a chain's length.
+    Pairs farther apart all fall into the last bucket; ``far_pairs`` counts them. Residues without a
+    CA point have no pair.
+    """
+    cell = lambda c: F.floor(F.col(f"ca.{c}") / most).cast("long").alias(f"c{c}")
+    own = residues.filter(F.col("ca").isNotNull()).select(chain, pos, "ca", cell("x"), cell("y"), cell("z"))
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    around = own.select(F.col(chain).alias("of"), F.col(pos).alias("j"), F.col("ca").alias("other"), "cx", "cy", "cz")
+    for axis in ("cx", "cy", "cz"):
+        around = around.withColumn("step", F.explode(steps)).withColumn(axis, F.col(axis) + F.col("step")).drop("step")
+    near = own.join(around.withColumnsRenamed({c: f"{c}2" for c in ("cx", "cy", "cz")}), (F.col(chain) == F.col("of")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2")) & (F.col("cz") == F.col("cz2")))
+    d = G.distance(F.col("ca"), F.col("other"))
+    return near.filter((F.col(pos) != F.col("j")) & (d < most)).select(chain, F.col(pos).alias("i"), "j", G.distance_bucket(d, n_distance).alias("distance_bucket"))
+
+
+def far_pairs(residues: DataFrame, near: DataFrame, chain: str = "chain") -> DataFrame:
+    """(chain, n_pairs, n_near, n_far): how many ordered pairs of a chain's residues are not among ``near``."""
+    every = residues.filter(F.col("ca").isNotNull()).groupBy(chain).agg((F.count("*") * (F.count("*") - 1)).alias("n_pairs"))
+    listed = near.groupBy(chain).agg(F.count("*").alias("n_near"))
+    found = every.join(listed, chain, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
+    return found.withColumn("n_far", F.col("n_pairs") - F.col("n_near"))

@@ -20,10 +20,10 @@ def sampled_line() -> F.Column:
 def write_sampled(draws: DataFrame, path: str, mode: str = "error") -> None:
     """Sampled homologs as text lines, in a folder for each seed.
 
-    ``draws``: seed, draw, member, cluster, probability, cluster_size. Rows are dealt by seed and sorted
-    by draw before they are written.
+    ``draws``: seed, draw, member, cluster, probability, cluster_size. Rows are dealt by ranges of (seed,
+    draw) and sorted, so that a seed is a file or few, and one with very many draws no task's alone.
     """
-    rows = draws.repartition("seed").sortWithinPartitions("seed", "draw")
+    rows = draws.repartitionByRange("seed", "draw").sortWithinPartitions("seed", "draw")
     rows.select("seed", sampled_line().alias("value")).write.mode(mode).partitionBy("seed").text(path)
 
 

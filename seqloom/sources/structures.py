@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from pyspark.sql.window import Window
 
 from seqloom.operators.structures import first_model_chain
+from seqloom.plans.lineage import cut
 from seqloom.plans.shipping import ship_package
 
 _SCHEME = ("asym_id", "mon_id", "seq_id", "auth_seq_num", "pdb_ins_code")
@@ -90,36 +92,60 @@ def _tables(text: str) -> dict[str, list[dict[str, str]]]:
     return out
 
 
-def read_mmcif_tables(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """The sequence scheme and the atom sites of structure files, one file per row, files in parallel.
+def _struct(names: tuple[str, ...]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
-    Scheme: (structure_id, asym_id, mon_id, seq_id, auth_seq_num, ins_code). Sites: (structure_id,
-    label, auth, res_num, ins_code, res_name, atom, x, y, z, b_iso, hetero, model, ord).
+
+class CifTables:
+    """Table function: the rows of the categories asked for of each structure file, all from one parse of it.
+
+    Called on a table of (structure_id, value) and a literal, ``scheme``, ``sites`` or both with a comma. Its schema
+    follows the literal: (structure_id, ord, and a struct for each category, one of them filled).
     """
+
+    CATEGORIES = {"scheme": ("_pdbx_poly_seq_scheme", _SCHEME), "sites": ("_atom_site", _SITE)}
+
+    @staticmethod
+    def analyze(files: AnalyzeArgument, wanted: AnalyzeArgument) -> AnalyzeResult:
+        names = str(wanted.value).split(",")
+        if not files.isTable or set(names) - set(CifTables.CATEGORIES):
+            raise ValueError(f"a table of files and some of {sorted(CifTables.CATEGORIES)}")
+        own = [T.StructField("structure_id", T.StringType()), T.StructField("ord", T.LongType())]
+        return AnalyzeResult(T.StructType(own + [T.StructField(n, _struct(CifTables.CATEGORIES[n][1])) for n in names]))
+
+    def eval(self, files, wanted: str):
+        tables = _tables(files["value"] or "")
+        names = wanted.split(",")
+        for name in names:
+            category, columns = self.CATEGORIES[name]
+            for k, row in enumerate(tables.get(category, [])):
+                yield (files["structure_id"], k, *(tuple(row.get(c) for c in columns) if n == name else None for n in names))
+
+
+def cif_rows(spark: SparkSession, path: str | list[str], wanted: str = "scheme,sites") -> DataFrame:
+    """(structure_id, ord, and a struct for each of ``wanted``) of structure files, files in parallel, each parsed once."""
     ship_package(spark)
     files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)[^/]*$", 1).alias("structure_id"), "value"
     )
+    return udtf(CifTables)(files.asTable(), F.lit(wanted))
 
-    def scheme(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, text in zip(batch["structure_id"], batch["value"], strict=True):
-                rows = [[key, *(r.get(c) for c in _SCHEME)] for r in _tables(text).get("_pdbx_poly_seq_scheme", [])]
-                yield pd.DataFrame(rows, columns=["structure_id", "asym_id", "mon_id", "seq_id", "auth_seq_num", "ins_code"])
 
-    def sites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, text in zip(batch["structure_id"], batch["value"], strict=True):
-                rows = [[key, *(r.get(c) for c in _SITE), k] for k, r in enumerate(_tables(text).get("_atom_site", []))]
-                yield pd.DataFrame(rows, columns=["structure_id", *_SITE, "ord"])
+def read_mmcif_tables(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """The sequence scheme and the atom sites of structure files.
 
+    Scheme: (structure_id, asym_id, mon_id, seq_id, auth_seq_num, ins_code). Sites: (structure_id,
+    label, auth, res_num, ins_code, res_name, atom, x, y, z, b_iso, hetero, model, ord). Files are parsed
+    once; the rows of both are stored, since two tables come of them.
+    """
+    rows = cut(cif_rows(spark, path))
     number = lambda c: F.when(~F.col(c).isin("?", "."), F.col(c))
-    table = files.mapInPandas(scheme, "structure_id string, asym_id string, mon_id string, seq_id string, auth_seq_num string, ins_code string")
-    atoms = files.mapInPandas(sites, "structure_id string, " + ", ".join(f"{c} string" for c in _SITE) + ", ord long").select(
+    scheme = rows.filter("scheme IS NOT NULL").select("structure_id", "scheme.*").withColumnRenamed("pdb_ins_code", "ins_code")
+    atoms = rows.filter("sites IS NOT NULL").select("structure_id", "ord", "sites.*").select(
         "structure_id", F.col("label_asym_id").alias("label"), F.col("auth_asym_id").alias("auth"), F.col("auth_seq_id").alias("res_num"),
         F.col("pdbx_PDB_ins_code").alias("ins_code"), F.col("auth_comp_id").alias("res_name"), F.col("label_atom_id").alias("atom"),
         number("Cartn_x").cast("double").alias("x"), number("Cartn_y").cast("double").alias("y"), number("Cartn_z").cast("double").alias("z"),
         number("B_iso_or_equiv").cast("double").alias("b_iso"), (F.col("group_PDB") == "HETATM").alias("hetero"),
         F.col("pdbx_PDB_model_num").cast("int").alias("model"), "ord",
     )
-    return table.withColumn("auth_seq_num", number("auth_seq_num")), atoms
+    return scheme.withColumn("auth_seq_num", number("auth_seq_num")), atoms
