@@ -2,10 +2,10 @@
 
 Every grade shares one weight for each hashed feature of a text; ordered thresholds split that one
 scale into grades: P(grade > k) = sigmoid(score - threshold_k). The expected grade and the tail
-probability of the grades wanted come out of the same scale. Which features get a weight is decided
-by a score test: those that say nothing of the grade are left out, so that long texts don't gather
-noise. The model is fitted on a bounded, seeded sample of rated texts and is a vector of fixed
-length; scoring is a column function.
+probability of the grades wanted come out of the same scale. Features enter the regression scaled by
+the evidence that they tell grades apart, so that a few ratings already single out the words that
+matter and long texts don't gather noise; there is no least number of rows. The model is fitted on a
+bounded, seeded sample of rated texts and is a vector of fixed length; scoring is a column function.
 """
 
 from __future__ import annotations
@@ -23,16 +23,16 @@ from pyspark.sql import functions as F
 
 from seqloom.plans.shipping import ship_package
 
-#: Length of the weight vector (16 bits of hash), and rated rows that a fit samples at most.
-DIMENSIONS, SAMPLE_ROWS = 1 << 16, 8000
+#: Length of the weight vector (18 bits of hash), and rated rows that a fit samples at most.
+DIMENSIONS, SAMPLE_ROWS = 1 << 18, 8000
 #: The first ten of the last features stand for repetition; hashes stay below them.
 REPETITION = DIMENSIONS - 10
-#: Letters of a stem.
-STEM = 4
+#: Letters of the stems of a word.
+STEMS = (5, 6, 7)
 #: Rounds and step of the fit, and weight of the ridge in rows.
-ROUNDS, STEP, RIDGE = 300, 0.05, 0.1
-#: Rated rows in which a feature must occur, and deviations by which its score must differ from nothing.
-LEAST_ROWS, LEAST_SCORE = 3, 4.0
+ROUNDS, STEP, RIDGE = 300, 0.05, 0.5
+#: Evidence that counts as none, as a squared number of standard deviations.
+NO_EVIDENCE = 9.0
 #: Distinct words that a Python worker remembers.
 CACHE = 100_000
 #: Grades are wanted from this one up, with at least this tail probability: what is more probably
@@ -44,11 +44,11 @@ _SHAPES = bytes.maketrans(
 )
 
 
-def _features_of(word: str) -> tuple[int, int, int]:
-    """Three hashed features of a word: its letters in lower case, its shape, its stem (-1: none).
+def _features_of(word: str) -> tuple[int, ...]:
+    """The hashed features of a word: its letters in lower case, its shape, and its stems (-1: none).
 
-    The stem of a word is its first letters, so that a language's rare forms of one word are known
-    by what they share; a word no longer than that has none.
+    A stem of a word is its first letters, so that a language's rare forms of one word are known
+    by what they share; a word no longer than a stem has none of that length.
     """
     raw = word.encode()
     shape = bytearray()
@@ -57,18 +57,18 @@ def _features_of(word: str) -> tuple[int, int, int]:
         if not shape or shape[-1] != c:
             shape.append(c)
     letters = "".join(c for c in word if c.isalnum()).lower()
-    stem = zlib.crc32(b"p" + letters[:STEM].encode()) % REPETITION if len(letters) > STEM else -1
-    return zlib.crc32(b"w" + letters.encode()) % REPETITION, zlib.crc32(b"s" + bytes(shape)) % REPETITION, stem
+    stems = (zlib.crc32(b"p" + letters[:k].encode()) % REPETITION if len(letters) > k else -1 for k in STEMS)
+    return zlib.crc32(b"w" + letters.encode()) % REPETITION, zlib.crc32(b"s" + bytes(shape)) % REPETITION, *stems
 
 
-def features(texts: pa.Array, known: dict[str, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: pa.Array, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of a batch: which hashed features each text has.
 
-    A word and a stem count 1 where they occur, a shape as its share of the text's words times 4; one
-    more feature tells how much the text repeats its words, in tenths. ``known`` remembers words
-    within a worker.
+    Words are what white space parts. A word and a stem count 1 where they occur, a shape as its share
+    of the text's words times 4; one more feature tells how much the text repeats its words, in tenths.
+    ``known`` remembers words within a worker.
     """
-    blank = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+    blank = pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_string()), r"[\t\n\v\f\r]", " ")
     parts = pc.split_pattern(blank, " ")
     coded = parts.flatten().dictionary_encode()
     if len(known) > CACHE:
@@ -79,14 +79,14 @@ def features(texts: pa.Array, known: dict[str, tuple[int, int, int]]) -> tuple[n
         if marks is None:
             marks = known[word] = _features_of(word)
         found.append(marks)
-    table = np.array(found, dtype=np.int64).reshape(-1, 3)
+    table = np.array(found, dtype=np.int64).reshape(-1, 2 + len(STEMS))
     counts = np.diff(parts.offsets.to_numpy())
     width = max(len(table), 1)
     pairs, times = np.unique(np.repeat(np.arange(len(counts), dtype=np.int64), counts) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
     row, word = pairs // width, table[pairs % width]
     words = np.unique(row * DIMENSIONS + word[:, 0])
     shapes, at = np.unique(row * DIMENSIONS + word[:, 1], return_inverse=True)
-    stems = np.unique((row * DIMENSIONS + word[:, 2])[word[:, 2] >= 0])
+    stems = np.unique((row[:, None] * DIMENSIONS + word[:, 2:])[word[:, 2:] >= 0])
     repeated = 1 - np.bincount(words // DIMENSIONS, minlength=len(counts)) / np.maximum(counts, 1)
     level = np.minimum(9, (10 * repeated).astype(np.int64))
     out = [(keys // DIMENSIONS, keys % DIMENSIONS, np.ones(len(keys))) for keys in (words, stems)]
@@ -107,7 +107,7 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def tails(self, texts: pa.Array, known: dict[str, tuple[int, int, int]]) -> np.ndarray:
+    def tails(self, texts: pa.Array, known: dict[str, tuple[int, ...]]) -> np.ndarray:
         """P(grade > k) of each text, one column for each threshold."""
         row, col, value = features(texts, known)
         score = np.bincount(row, weights=self.weights[col] * value, minlength=len(texts))
@@ -120,22 +120,25 @@ def fit(texts: list[str], grades: np.ndarray, rounds: int = ROUNDS) -> OrdinalMo
     return fit_features(row, col, value, np.asarray(grades, dtype=np.int64), rounds)
 
 
-def telling(row: np.ndarray, col: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int) -> np.ndarray:
-    """Whether each feature's weight differs from nothing by a score test, thresholds fitted alone.
+def evidence(row: np.ndarray, col: np.ndarray, grades: np.ndarray, levels: int) -> np.ndarray:
+    """How far each feature tells grades apart, as a number of standard deviations, less what chance gives.
 
-    The score of a feature is the sum, over the rows that have it, of its value times the slope of a
-    row's log-likelihood; under no effect its variance is that of a random deal of the slopes.
+    It is the root of the likelihood ratio between a feature that is as frequent above a grade as
+    below it and one that isn't, the most over all grades, less NO_EVIDENCE. It grows with the rows
+    that a feature is in, so that no feature needs a least number of them.
     """
-    n = len(grades)
-    tail = np.bincount(grades, minlength=levels)[::-1].cumsum()[::-1] / n  # P(grade >= k)
-    tail = np.append(tail, 0.0)
-    slope = tail * (1 - tail)
-    push = (slope[:-1] - slope[1:]) / np.maximum(tail[:-1] - tail[1:], 1e-9)
-    away = push[grades] - push[grades].mean()
-    score = np.bincount(col, weights=value * away[row], minlength=DIMENSIONS)
-    first, second = (np.bincount(col, weights=v, minlength=DIMENSIONS) for v in (value.astype(np.float64), value.astype(np.float64) ** 2))
-    spread = np.sqrt(np.maximum(second - first * first / n, 0) * away.var())
-    return (np.bincount(col, minlength=DIMENSIONS) >= LEAST_ROWS) & (np.abs(score) >= LEAST_SCORE * spread) & (spread > 0)
+    n, held = len(grades), np.bincount(col, minlength=DIMENSIONS).astype(np.float64)
+    best = np.zeros(DIMENSIONS)
+    part = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(due, 1e-12)), 0)
+    for k in range(1, levels):
+        low = grades < k
+        m = int(low.sum())
+        if 0 < m < n:
+            below = np.bincount(col[low[row]], minlength=DIMENSIONS).astype(np.float64)
+            above = held - below
+            ratio = 2 * (part(below, held * m / n) + part(above, held * (n - m) / n) + part(m - below, m - held * m / n) + part(n - m - above, n - m - held * (n - m) / n))
+            best = np.maximum(best, ratio)
+    return np.sqrt(np.maximum(best - NO_EVIDENCE, 0))
 
 
 def loss_and_slopes(weights: np.ndarray, first: float, gaps: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
@@ -161,16 +164,15 @@ def loss_and_slopes(weights: np.ndarray, first: float, gaps: np.ndarray, row: np
 
 
 def fit_features(row: np.ndarray, col: np.ndarray, value: np.ndarray, grades: np.ndarray, rounds: int = ROUNDS) -> OrdinalModel:
-    """Fit by full-batch Adam on the likelihood of the grades with a ridge.
+    """Fit by full-batch Adam on the likelihood of the grades with a ridge, values scaled by their evidence.
 
-    Features in too few rows and those that fail the score test have no weight. Thresholds stay
-    ordered since only the first and the logarithms of the gaps are free. Without rows every text gets
-    the same score.
+    Features without evidence have no weight. Thresholds stay ordered since only the first and the
+    logarithms of the gaps are free. Without rows every text gets the same score.
     """
     n, levels = len(grades), max(int(grades.max()) + 1 if len(grades) else 2, 2)
-    if n:
-        kept = telling(row, col, value, grades, levels)[col]
-        row, col, value = row[kept], col[kept], value[kept]
+    scale = evidence(row, col, grades, levels) if n else np.zeros(DIMENSIONS)
+    kept = scale[col] > 0
+    row, col, value = row[kept], col[kept], value[kept] * scale[col[kept]]
     used, at = np.unique(col, return_inverse=True)
     free = [np.zeros(len(used)), np.zeros(1), np.zeros(levels - 2)]
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in free]
@@ -181,7 +183,7 @@ def fit_features(row: np.ndarray, col: np.ndarray, value: np.ndarray, grades: np
             v[:] = 0.999 * v + 0.001 * np.square(slope)
             x -= STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     full = np.zeros(DIMENSIONS, dtype=np.float32)
-    full[used] = free[0]
+    full[used] = free[0] * scale[used]
     return OrdinalModel(full, free[1][0] + np.concatenate(([0.0], np.cumsum(np.exp(free[2])))))
 
 
@@ -190,14 +192,15 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int =
 
     The hash is cut at the share that is expected to give ``rows``, so what is joined stays
     bounded whatever the number of ratings. Rows without grade are left out, an id counts once with
-    its least grade and text.
+    its least grade and text. Ids are compared by their text, so their types may differ on both sides.
     """
-    mark = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000))
-    graded = ratings.select("doc_id", grade.cast("int").alias("grade")).filter("grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    key = F.col("doc_id").cast("string")
+    mark = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000))
+    graded = ratings.select(key.alias("doc_id"), grade.cast("int").alias("grade")).filter("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     total = graded.count()
     share = min(1_000_000, int(1_000_000 * rows / max(total, 1)))
     picked = graded.withColumn("mark", mark).filter(F.col("mark") < share)
-    texts = docs.select("doc_id", "text").filter(mark < share).groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = docs.select(key.alias("doc_id"), "text").filter(mark < share).groupBy("doc_id").agg(F.min("text").alias("text"))
     return texts.join(picked, "doc_id").select("mark", "doc_id", "text", "grade")
 
 
@@ -215,13 +218,13 @@ def fit_on(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int = SAMPL
     """Fit on a bounded sample of rated documents; without any, every text gets the same score.
 
     Needs ``doc_id`` and ``text`` in ``docs`` and ``doc_id`` in ``ratings``; further columns are ignored.
-    Null ids match no rating. Of repeated rows with one id the least text and the least grade count.
+    Null ids match no rating. Of repeated rows with one id the least text and the least grade count, so ties
+    don't matter; ids may be of two types. Texts are read whole, however long.
     Executors make the features; the driver gets those of ``rows`` documents at most, not texts.
     """
     ship_package(docs.sparkSession)
     sample = rated_sample(docs, ratings, grade, rows)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = sample.mapInArrow(_sample_features, f"mark long, doc_id {kind}, grade int, features binary, values binary")
+    packed = sample.mapInArrow(_sample_features, "mark long, doc_id string, grade int, features binary, values binary")
     found = sorted(packed.collect(), key=lambda r: (r["mark"], r["doc_id"]))[:rows]
     if not found:
         return fit([], np.zeros(0))
