@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
 A stretch of text that holds a license compresses far better once the compressor knows the license:
-a bounded stretch is compressed with each template as a zstandard raw-content dictionary, and the
-templates are ranked by how much smaller it gets. Which one stands there is decided by the exact
-wording differences, for every template whose words can stand in the stretch.
+each candidate stretch is compressed with every template as a zstandard raw-content dictionary, and
+the templates are ranked by how much smaller it gets. In that order the exact wording differences
+confirm or reject them, down to the last template whose words can stand in the stretch, so that no
+statement is lost where compression ranks it low.
 """
 
 from __future__ import annotations
@@ -40,8 +41,18 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
-#: A paragraph is a candidate if it has one of these in any case.
+#: A stretch is a candidate if it has one of these near it, in any case.
 CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "spdx", "public domain", "creative commons", "cc by", "cc0")
 _CUE = re.compile("|".join(CUES), re.IGNORECASE)
 _WORD = re.compile(r"[\w.+-]*\w")
@@ -49,6 +60,8 @@ _WORD = re.compile(r"[\w.+-]*\w")
 #: differ, by share.
 LEAST_FOUND, MOST_DIFFERENT = 0.8, 0.25
 LEVEL = 3
+#: Bytes, and share of the most saved, by which gains may differ and still leave the choice to the wording differences.
+EVEN, EVEN_SHARE = 12, 0.25
 
 
 class _Compressors:
@@ -71,12 +84,11 @@ class _Compressors:
         for k, (_, wording, _) in enumerate(self.given):
             self.member[k, [self.code[w] for w in wording]] = 1
 
-    def saved(self, part: str, k: int) -> tuple[int, int]:
-        """Bytes that template ``k`` saves in compressing a part, and its rank among all templates."""
+    def gains(self, part: str) -> list[int]:
+        """Bytes that each template saves in compressing a part."""
         raw = _flat(part).encode()
         alone = len(self.plain.compress(raw))
-        gains = [alone - len(c.compress(raw)) for _, _, c in self.given]
-        return gains[k], sorted(range(len(gains)), key=lambda j: (-gains[j], j)).index(k)
+        return [alone - len(c.compress(raw)) for _, _, c in self.given]
 
     @classmethod
     def get(cls) -> _Compressors:
@@ -93,22 +105,34 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _widest() -> int:
+    """Words that the longest template may take, with what is added."""
+    return max(_width(len(wording)) for _, wording, _ in _Compressors.get().given)
+
+
+def _width(length: int) -> int:
+    return int((1 + MOST_DIFFERENT) * length) + 1
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidate blocks of a text as code point spans: the whole paragraphs that have a cue."""
+    """Candidate blocks of a text as code point spans: as many words around each cue as a template may take.
+
+    Paragraphs, line ends and comment marks don't matter; blocks that overlap are one.
+    """
+    cues = [m.start() for m in _CUE.finditer(text)]
+    if not cues:
+        return []
+    words, reach = [(m.start(), m.end()) for m in _WORD.finditer(text)], _widest()
+    starts = [w[0] for w in words]
     out: list[tuple[int, int]] = []
-    if not _CUE.search(text):
-        return out
-    at, start, end, cued = 0, None, 0, False
-    for line in [*text.split("\n"), ""]:
-        if line.strip():
-            start = at if start is None else start
-            end, cued = at + len(line), cued or bool(_CUE.search(line))
-        elif start is not None:
-            if cued:
-                out.append((start, end))
-            start, cued = None, False
-        at += len(line) + 1
-    return out
+    for cue in cues:
+        at = bisect.bisect_right(starts, cue) - 1
+        low, high = max(0, at - reach), min(len(words), at + reach + 1)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return [(words[low][0], words[high - 1][1]) for low, high in out if high > low]
 
 
 def _stretches(codes: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
@@ -120,7 +144,7 @@ def _stretches(codes: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
     """
     tools = _Compressors.get()
     length = len(tools.given[k][1])
-    width, need = int((1 + MOST_DIFFERENT) * length) + 1, length - int((1 - LEAST_FOUND) * length)
+    width, need = _width(length), length - int((1 - LEAST_FOUND) * length)
     upto = np.concatenate(([0], np.cumsum(tools.member[k][codes])))
     first = np.arange(len(codes))
     held = np.flatnonzero(upto[np.minimum(first + width, len(codes))] - upto[:-1] >= need)
@@ -140,29 +164,45 @@ def _best_window(block: str, wording: list[str]) -> tuple[int, int, list[str], l
         return 0, 0, list(wording), []
     # the stretch around the longest match that the wording can cover
     core = max(matches, key=lambda m: (m.size, -m.b))
-    low, high = max(0, core.b - core.a - 2), min(len(words), core.b + len(wording) - core.a + 2)
-    window = words[low:high]
-    codes = difflib.SequenceMatcher(None, wording, window, autojunk=False).get_opcodes()
-    while codes and codes[0][0] == "insert":
-        codes.pop(0)
-    while codes and codes[-1][0] == "insert":
-        codes.pop()
-    missing = [w for tag, a, b, _, _ in codes if tag in ("delete", "replace") for w in wording[a:b]]
-    added = [w for tag, _, _, a, b in codes if tag in ("insert", "replace") for w in window[a:b]]
-    equal = [(c, d) for tag, _, _, c, d in codes if tag == "equal"]
-    if not equal:
-        return 0, 0, list(wording), []
-    return found[low + equal[0][0]][1], found[low + equal[-1][1] - 1][2], missing, added
+    best = None
+    for slack in (2, 2 + int(MOST_DIFFERENT * len(wording))):  # what is added may push its ends farther off
+        low, high = max(0, core.b - core.a - slack), min(len(words), core.b + len(wording) - core.a + slack)
+        window = words[low:high]
+        codes = difflib.SequenceMatcher(None, wording, window, autojunk=False).get_opcodes()
+        while codes and codes[0][0] == "insert":
+            codes.pop(0)
+        while codes and codes[-1][0] == "insert":
+            codes.pop()
+        missing = [w for tag, a, b, _, _ in codes if tag in ("delete", "replace") for w in wording[a:b]]
+        added = [w for tag, _, _, a, b in codes if tag in ("insert", "replace") for w in window[a:b]]
+        equal = [(c, d) for tag, _, _, c, d in codes if tag == "equal"]
+        if equal and (best is None or len(missing) + len(added) < len(best[2]) + len(best[3])):
+            best = (found[low + equal[0][0]][1], found[low + equal[-1][1] - 1][2], missing, added)
+        if not missing and not added:
+            break
+    return best or (0, 0, list(wording), [])
+
+
+def _clusters(spans: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Stretches (first, end, template) that overlap, together."""
+    out: list[list[tuple[int, int, int]]] = []
+    stop = -1
+    for span in sorted(spans):
+        if span[0] >= stop:
+            out.append([])
+        out[-1].append(span)
+        stop = max(stop, span[1])
+    return out
 
 
 def scan_block(block: str) -> list[tuple[str, int, int, int, int, str, str]]:
     """Licenses confirmed in a block: (license, start, end, bytes saved, rank, missing, added).
 
-    Every template whose words can stand in a stretch of the block is compared word by word, and
-    the wording with the fewest differences wins. All templates compress the stretch of a wording
-    found: the bytes that its own one saves, and its rank among them, decide between equals and are
-    returned. What lies between found wordings is scanned again, so that a block may state several
-    licenses.
+    Where a template's words can stand, the stretch around is compressed with all templates. In the
+    order of what they save, those that can stand there are compared word by word; the confirmed
+    wording that saves most wins, and of wordings that save nearly as much (EVEN) the one with the
+    fewest differences. What lies between found wordings is scanned again, so that a block may state
+    several licenses.
     """
     tools, out = _Compressors.get(), []
     words = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
@@ -171,21 +211,17 @@ def scan_block(block: str) -> list[tuple[str, int, int, int, int, str, str]]:
     queue = [(0, len(words))]
     while queue:
         low, high = queue.pop()
-        confirmed = []
-        for k, (name, wording, _) in enumerate(tools.given):
-            for first, end in _stretches(codes[low:high], k):
-                offset, to = words[low + first][1], words[low + end - 1][2]
-                part = block[offset:to]
-                start, stop, missing, added = _best_window(part, wording)
-                different = len(missing) + len(added)
-                if len(missing) <= (1 - LEAST_FOUND) * len(wording) and different <= MOST_DIFFERENT * len(wording):
-                    gain, rank = tools.saved(part, k)
-                    confirmed.append(((different / len(wording), -len(wording), rank, offset + start), name, offset + start, offset + stop, gain, rank, missing, added))
+        spans = [(low + first, low + end, k) for k in range(len(tools.given)) for first, end in _stretches(codes[low:high], k)]
         taken: list[tuple[int, int]] = []
-        for _, name, start, stop, gain, rank, missing, added in sorted(confirmed):
-            if all(stop <= s or e <= start for s, e in taken):
+        for cluster in _clusters(spans):
+            confirmed = _confirmed(block, words, cluster)
+            while confirmed:
+                most = max(c[0] for c in confirmed)
+                best = min((c for c in confirmed if c[0] >= most - max(EVEN, EVEN_SHARE * most)), key=lambda c: c[1])
+                gain, _, name, start, stop, rank, missing, added = best
                 taken.append((start, stop))
                 out.append((name, start, stop, gain, rank, " ".join(missing), " ".join(added)))
+                confirmed = [c for c in confirmed if c[4] <= start or stop <= c[3]]
         at = low
         for start, stop in sorted(taken):
             queue.append((at, bisect.bisect_left(starts, start)))
@@ -195,12 +231,41 @@ def scan_block(block: str) -> list[tuple[str, int, int, int, int, str, str]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def _confirmed(block: str, words: list[tuple[str, int, int]], cluster: list[tuple[int, int, int]]) -> list[tuple]:
+    """(gain, order, license, start, end, rank, missing, added) of the wordings of a cluster that hold.
+
+    What templates save in their stretches ranks them; of a wording that holds, the gain is that of
+    its very place, without what stands around. ``order`` puts fewer differences, longer wordings,
+    better ranks and earlier places first.
+    """
+    tools = _Compressors.get()
+    found: list[tuple] = []
+    gains: dict[tuple[int, int], list[int]] = {}
+    for first, end, k in cluster:
+        offset, to = words[first][1], words[end - 1][2]
+        if (first, end) not in gains:
+            gains[first, end] = tools.gains(block[offset:to])
+        gain = gains[first, end]
+        found.append((-gain[k], k, offset, to, sorted(range(len(gain)), key=lambda j: (-gain[j], j)).index(k)))
+    out = []
+    for _, k, offset, to, rank in sorted(found):
+        name, wording, _ = tools.given[k]
+        start, stop, missing, added = _best_window(block[offset:to], wording)
+        different = len(missing) + len(added)
+        if len(missing) <= (1 - LEAST_FOUND) * len(wording) and different <= MOST_DIFFERENT * len(wording):
+            gain = tools.gains(block[offset + start : offset + stop])[k]
+            out.append((gain, (different / len(wording), -len(wording), rank, offset + start), name, offset + start, offset + stop, rank, missing, added))
+    return out
+
+
 def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licenses stated in each whole text.
 
     Returns a row for each finding: (id, start, end, license, saved_bytes, compression_rank,
     missing_words, added_words, exact); spans in code points. Texts without a finding, null ones
-    among them, give no row; repeated rows give repeated findings. Further columns are ignored.
+    among them, give no row; repeated rows give repeated findings, an empty table none. Texts are read
+    whole, however long. Of wordings that tie the longer one counts, then the earlier. Further columns
+    are ignored.
     """
     ship_package(df.sparkSession)
 

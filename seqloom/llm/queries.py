@@ -112,25 +112,22 @@ FROM f
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of all documents and of their edited texts, with their likeness."""
-    docs = sketches.with_sketch(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "sketch", whole="whole")
-    # all shingles are compared only beside a text without a sample; that other text's are made again there
-    docs = docs.withColumn("whole", F.when(sketches.unsampled(F.col("sketch")), F.col("whole")))
-    pairs = sketches.next_documents(docs, carry=("sketch", "whole"))
+    sketch = lambda rows: sketches.with_sketch(rows, "text", "sketch")
+    pairs = sketches.next_documents(_table(spark, sf_dir, "documents"), prepare=sketch, carry=("sketch",))
     pairs = pairs.withColumn("edited", sketches.edited_text(F.col("text"), F.col("next_text")))
-    pairs = sketches.with_sketch(pairs, "edited", "edited_sketch", whole="edited_whole")
+    pairs = sketches.with_sketch(pairs, "edited", "edited_sketch")
     own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    short = sketches.unsampled(own) | sketches.unsampled(following)
-    own_whole = F.coalesce("whole", sketches.shingle_hashes(F.col("text")))
-    next_whole = F.coalesce("next_whole", sketches.shingle_hashes(F.col("next_text")))
+    # all shingles are compared only beside a text without a sample, and are made there
+    whole = sketches.shingle_hashes
     return pairs.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         sketches.fingerprint(own).alias("fingerprint"),
         sketches.fingerprint(edited).alias("edited_fingerprint"),
-        sketches.likeness(own, edited, own_whole, F.col("edited_whole")).alias("near_edited"),
-        F.when(short, sketches.likeness(own, following, own_whole, next_whole)).otherwise(sketches.likeness(own, following)).alias("near_next"),
-        sketches.containment(own, edited, own_whole, F.col("edited_whole")).alias("held_by_edited"),
+        sketches.likeness(own, edited, whole(F.col("text")), whole(F.col("edited"))).alias("near_edited"),
+        sketches.likeness(own, following, whole(F.col("text")), whole(F.col("next_text"))).alias("near_next"),
+        sketches.containment(own, edited, whole(F.col("text")), whole(F.col("edited"))).alias("held_by_edited"),
     )
 
 

@@ -7,6 +7,8 @@ containment between very unequal documents can be estimated. DataFrame expressio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,18 +115,18 @@ def fingerprint(sketch: Column, digits: int = DIGITS) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.substring(F.lpad(F.hex(h), 16, "0"), 1, digits)), "")
 
 
-def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prepare: Callable[[DataFrame], DataFrame] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each document beside the next one by ascending id, the last beside the first.
 
-    Returns (id, text, next_text), and each column c of ``carry`` with its next one as next_<c>. Ids may
+    Returns (id, text, next_text), and each column c of ``carry`` with its next one as next_<c>; these are
+    what ``prepare`` adds to rows with a ``text`` column, once for each document, after the shuffle. Ids may
     be of any type that sorts. They are dealt into ranges by a seeded sample of SEEN ids a range, so
     MOST_BUCKETS x SEEN ids on the driver at most; each range is sorted by itself and ends with a copy
     of the first document of the range that follows, so the texts are shuffled once and no task
     holds more than a row. Null ids come first; equal ids go by text. Null texts: empty. An empty
     table gives no rows; further columns are ignored.
     """
-    held = [F.col(c).alias(f"__{c}") for c in carry]
-    docs = df.select(F.col(id_col).alias("id"), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *held).alias("doc"))
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = docs.select("id")
     cuts = _cuts(ids)
     bucket = _bucket(F.col("id"), cuts)
@@ -138,14 +140,15 @@ def next_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = (
         docs.join(F.broadcast(follow), docs["id"].eqNullSafe(follow["least"]))
         .groupBy("bucket", "id")
-        .agg(F.min("doc").alias("doc"))
-        .select("bucket", F.lit(1).alias("end"), "id", "doc")
+        .agg(F.min("text").alias("text"))
+        .select("bucket", F.lit(1).alias("end"), "id", "text")
     )
-    rows_in = docs.select(bucket.alias("bucket"), F.lit(0).alias("end"), "id", "doc").unionByName(ends)
-    order = Window.partitionBy("bucket").orderBy("end", F.col("id").asc_nulls_first(), "doc.text")
-    paired = rows_in.withColumn("next", F.lead("doc").over(order)).filter(F.col("end") == 0)
-    more = [c for name in carry for c in (F.col(f"doc.__{name}").alias(name), F.col(f"next.__{name}").alias(f"next_{name}"))]
-    return paired.select(F.col("id").alias(id_col), F.col("doc.text").alias(text_col), F.col("next.text").alias("next_text"), *more)
+    rows_in = docs.select(bucket.alias("bucket"), F.lit(0).alias("end"), "id", "text").unionByName(ends).repartition("bucket")
+    ready = prepare(rows_in) if prepare else rows_in
+    order = Window.partitionBy("bucket").orderBy("end", F.col("id").asc_nulls_first(), "text")
+    paired = ready.withColumn("next", F.lead(F.struct("text", *carry)).over(order)).filter(F.col("end") == 0)
+    more = [c for name in carry for c in (F.col(name), F.col(f"next.{name}").alias(f"next_{name}"))]
+    return paired.select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.col("next.text").alias("next_text"), *more)
 
 
 def _cuts(ids: DataFrame) -> list:

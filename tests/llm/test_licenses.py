@@ -69,3 +69,68 @@ def test_licenses_of_null_and_repeated_ids(spark):
     found = {r["doc_id"]: (r["licenses"], r["n_findings"]) for r in L.document_licenses(frame).collect()}
     assert found == {None: ("MIT", 1), 1: ("CC-BY-4.0,MIT", 3), 2: ("", 0), 3: ("", 0)}
     assert L.document_licenses(frame.limit(0)).count() == 0
+
+
+def as_file(wording, mark=""):
+    """A wording in the layout of a license file: title and copyright line, lines of 70 letters, blank lines between sentences."""
+    import textwrap
+
+    parts = [p for p in wording.replace(": ", ":\n").replace(". ", ".\n").split("\n") if p]
+    paragraphs = ["Some Project", "Copyright (c) 2021 Some One <some@one.example>", *parts]
+    return "\n".join(mark + line for p in paragraphs for line in [*textwrap.wrap(p, 70), ""])
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize(("name", "wording"), L.TEMPLATES)
+def test_license_files_in_their_usual_layout(name, wording, mark):
+    text = as_file(wording, mark)
+    found = [x for low, high in L.blocks(text) for x in L.scan_block(text[low:high])]
+    assert [x[0] for x in found] == [name]
+
+
+def test_numbered_clauses_are_found():
+    wording = next(w for n, w in L.TEMPLATES if n == "BSD-3-Clause" and len(w) > 100)
+    text = wording.replace("Redistributions of", "\n\n1. Redistributions of").replace("Redistributions in", "\n\n2. Redistributions in").replace("Neither", "\n\n3. Neither").replace("THIS", "\n\nTHIS")
+    found = [x for low, high in L.blocks(text) for x in L.scan_block(text[low:high])]
+    assert [(x[0], x[5]) for x in found] == [("BSD-3-Clause", "")] and set(found[0][6].split()) <= {"1", "2", "3"}
+
+
+def by_every_window(text):
+    """Licenses of a text by comparing every template at every word, without compression."""
+    import difflib
+
+    words = [(m[0].lower(), m.start(), m.end()) for m in L._WORD.finditer(text)]
+    held = []
+    for name, wording in L.TEMPLATES:
+        wording = L._words(wording)
+        own, bag = set(wording), len(wording) - int((1 - L.LEAST_FOUND) * len(wording))
+        for at in range(len(words)):
+            window = [w for w, _, _ in words[at : at + L._width(len(wording))]]
+            if window and window[0] in own and sum(w in own for w in window) >= bag:
+                codes = difflib.SequenceMatcher(None, wording, window, autojunk=False).get_opcodes()
+                while codes and codes[-1][0] == "insert":
+                    codes.pop()
+                missing = sum(b - a for tag, a, b, _, _ in codes if tag in ("delete", "replace"))
+                added = sum(b - a for tag, _, _, a, b in codes if tag in ("insert", "replace"))
+                if missing <= (1 - L.LEAST_FOUND) * len(wording) and missing + added <= L.MOST_DIFFERENT * len(wording):
+                    end = max((d for tag, _, _, _, d in codes if tag == "equal"), default=0)
+                    held.append(((missing + added) / len(wording), -len(wording), words[at][1], words[at + end - 1][2], name))
+    taken = []
+    for _, _, start, stop, name in sorted(held, key=lambda h: (h[1] + h[0] * -h[1], h[0], h[2])):
+        if all(stop <= s or e <= start for s, e, _ in taken):
+            taken.append((start, stop, name))
+    return sorted(taken)
+
+
+def test_all_documents_equal_every_window(spark):
+    import duckdb
+
+    from seqloom.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall())
+    found = {}
+    for r in QUERIES["op3_licenses"](spark, folder).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["license"]))
+    wanted = {k: by_every_window(t) for k, t in texts.items()}
+    assert {k: sorted(v) for k, v in found.items()} == {k: v for k, v in wanted.items() if v}
