@@ -144,12 +144,14 @@ def repeat_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plan = curriculum(df, id_col, text_col, source_col, cap=cap, **settings)
     passes = range(math.ceil(cap))
     at = [F.get("positions", F.lit(k)) for k in passes]  # the places of a document in the passes over its source
-    group = lambda source, size: F.struct(F.col(id_col).alias("id"), source.cast("string").alias("source"), size.alias("size"))
-    dealt = plan.filter("copies > 0").groupBy(group(F.col(source_col), F.col("size")).alias("__group")).agg(
-        F.array(*[F.struct(F.count(p).alias("rows"), F.min(p).alias("position")) for p in at]).alias("__passes")
+    group = lambda source, size, id_: F.struct(id_.alias("id"), source.cast("string").alias("source"), size.alias("size"))
+    named = lambda c: F.col(f"`{c}`")
+    dealt = plan.filter("copies > 0").groupBy(group(named(source_col), F.col("size"), named(id_col)).alias("group")).agg(
+        F.array(*[F.struct(F.count(p).alias("rows"), F.min(p).alias("position")) for p in at]).alias("passes")
     )
-    rows = df.withColumn("__group", group(F.col(source_col), n_words(F.col(text_col)))).join(dealt, "__group")
-    number = F.row_number().over(Window.partitionBy("__group").orderBy(F.md5(text_col)))
-    mine = F.transform(F.filter("__passes", lambda p: p["rows"] >= F.col("__number")), lambda p: p["position"])
-    copies = rows.withColumn("__number", number).withColumn("__position", F.explode(mine))
-    return copies.orderBy("__position", F.col(id_col).asc_nulls_first()).select(*[F.col(f"`{c}`") for c in df.columns])
+    # all columns in one, so that no name of theirs meets one used here
+    held = df.select(F.struct(*map(named, df.columns)).alias("row"), group(named(source_col), n_words(named(text_col)), named(id_col)).alias("group"), F.md5(named(text_col)).alias("digest"))
+    number = F.row_number().over(Window.partitionBy("group").orderBy("digest"))
+    mine = F.transform(F.filter("passes", lambda p: p["rows"] >= F.col("number")), lambda p: p["position"])
+    copies = held.join(dealt, "group").withColumn("number", number).withColumn("position", F.explode(mine))
+    return copies.orderBy("position", F.col("group.id").asc_nulls_first()).select("row.*")

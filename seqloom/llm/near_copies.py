@@ -162,7 +162,8 @@ def _signed(df: DataFrame, threshold: float, recall: float) -> DataFrame:
                     ["id", "text_hash", "shingles", "nodes"],
                 )
 
-    return df.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash string, shingles long, nodes array<long>")
+    kind = df.schema["id"].dataType.simpleString()
+    return df.select("id", "text_hash", "text").mapInArrow(run, f"id {kind}, text_hash string, shingles long, nodes array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,7 +257,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text, ``n_links`` the number of other documents linked to it, copies counted. One row per row of
     ``df``, and each row is a document, whether its id is null, repeated or neither. Equal texts
     always share a class. Documents without words (null, empty, blank) are linked to nothing:
-    class_id is their own id. Empty table: no rows. Further columns are ignored.
+    class_id is their own id. Empty table: no rows. Further columns are ignored. Ids may be of any type that
+    sorts. Texts are read whole, however long.
 
     No pair is missed but for the forest's recall at the threshold, which rises fast above it; no
     bucket is capped. Copies are folded into one text before, with partial minima.
@@ -272,8 +274,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, text) of each row."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    """(id, text_hash, text) of each row; ids stay of their type."""
+    return df.select(F.col(id_col).alias("id"), F.md5(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
 
 def _text_classes(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -357,14 +359,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     without words all stay.
     """
     _, texts = _text_classes(_documents(docs, id_col, text_col), THRESHOLD, RECALL)
-    first = texts.filter("text_hash = class_hash").select(F.col("text_hash").alias("__hash"), F.col("rep").alias("__rep"))
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    alike = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    first = texts.filter("text_hash = class_hash").select(F.col("text_hash").alias("hash"), F.col("rep"))
+    named = lambda c: F.col(f"`{c}`")
+    rest = [named(c) for c in docs.columns if c not in (id_col, text_col)]
+    # all columns in one, so that no name of theirs meets one used here
+    held = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(id_col).alias("id"), named(text_col).alias("text"), (F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("rest"))
     kept = (
-        docs.join(first, (F.md5(text_col) == F.col("__hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("__rep")))
-        .groupBy("__hash")
-        .agg(F.min_by(F.struct(*docs.columns), alike).alias("row"))
+        held.join(first, (F.md5("text") == F.col("hash")) & F.col("id").eqNullSafe(F.col("rep")))
+        .groupBy("hash")
+        .agg(F.min_by("row", "rest").alias("row"))
         .select("row.*")
     )
-    wordless = docs.filter(~F.coalesce(F.col(text_col), F.lit("")).rlike(_HAS_WORDS))
+    wordless = held.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(_HAS_WORDS)).select("row.*")
     return kept.unionByName(wordless)

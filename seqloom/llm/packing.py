@@ -349,9 +349,11 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPAC
     An empty table gives no rows. Further columns stay, but for the two that are added.
     """
     ship_package(pieces.sparkSession)
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows = cut(pieces.select(*names).withColumn("__tie", F.monotonically_increasing_id()))
-    loose = rows.filter(F.col("length") < capacity).select(F.col("__tie").alias("tie"), F.col("length").cast("int").alias("n"))
+    named = lambda c: F.col(f"`{c}`")
+    # all columns in one, so that no name of theirs meets one used here
+    held = F.struct(*[named(c) for c in pieces.columns if c not in ("sequence_id", "offset")])
+    rows = cut(pieces.select(held.alias("row"), named(id_col).alias("id"), "piece", "length").withColumn("tie", F.monotonically_increasing_id()))
+    loose = rows.filter(F.col("length") < capacity).select("tie", F.col("length").cast("int").alias("n"))
     cells = max(1, math.ceil(loose.count() / cell))
     dealt = loose.withColumns({"cell": F.pmod(F.xxhash64("tie"), F.lit(cells)), "label": F.lit(None).cast("int")})
     first = cut(_evolved(dealt, 0, capacity, islands, epochs))
@@ -366,8 +368,8 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPAC
         regrouped = emptiest.select("tie", "n", F.pmod(label, F.lit(others)).alias("cell"), F.dense_rank().over(Window.partitionBy(F.pmod(label, F.lit(others))).orderBy("cell", "bin")).cast("int").alias("label"))
         second = _evolved(regrouped, 1, capacity, islands, epochs)
         placed = first.filter(~again).select("tie", place(0).alias("sequence_id")).unionByName(second.select("tie", place(cells).alias("sequence_id")))
-    inside = Window.partitionBy("sequence_id").orderBy(F.col(id_col).asc_nulls_first(), "piece", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(placed.withColumnRenamed("tie", "__tie"), "__tie")
-    packed = joined.select(*names, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
-    full = rows.filter(F.col("length") == capacity).select(*names, (-1 - F.col("__tie")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    inside = Window.partitionBy("sequence_id").orderBy(F.col("id").asc_nulls_first(), "piece", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(placed, "tie")
+    packed = joined.select("row.*", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    full = rows.filter(F.col("length") == capacity).select("row.*", (-1 - F.col("tie")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)

@@ -322,8 +322,8 @@ def span_text(spans: Column | str) -> Column:
 def redact(df: DataFrame, mark: str = "[secret]", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """``df`` with each stretch of text that secret spans cover replaced by ``mark``.
 
-    All rows, repeated ones too, and all other columns stay; null texts stay null; an empty table
-    stays empty. One pass over the whole table finds what ordinary text is like and the bounds, then
+    All rows, repeated ones too, and all other columns stay, whatever their names; null texts stay null;
+    texts of any length are scanned whole; an empty table stays empty. One pass over the whole table finds what ordinary text is like and the bounds, then
     each text is scanned again in place, so no text is shuffled.
     """
     slim = df.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
