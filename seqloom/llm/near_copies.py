@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.workers import tidy
 from seqloom.plans.lineage import cut
 from seqloom.plans.shipping import ship_package
 
@@ -163,7 +164,7 @@ def _signed(df: DataFrame, threshold: float, recall: float) -> DataFrame:
                 )
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "text_hash", "text").mapInArrow(run, f"id {kind}, text_hash string, shingles long, nodes array<long>")
+    return df.select("id", "text_hash", "text").mapInArrow(tidy(run), f"id {kind}, text_hash string, shingles long, nodes array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -330,7 +331,7 @@ def _verified(docs: DataFrame, member: DataFrame, threshold: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], raw], ["id", "root", "copies", "blocks", "own", "set"])
 
     spread = (
-        cast.mapInArrow(sets, "id long, root long, copies long, blocks int, own int, set binary")
+        cast.mapInArrow(tidy(sets), "id long, root long, copies long, blocks int, own int, set binary")
         .withColumn("other", other)
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))

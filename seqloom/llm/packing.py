@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.llm.workers import tidy
 from seqloom.plans.lineage import cut
 from seqloom.plans.shipping import ship_package
 
@@ -195,7 +196,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -327,7 +328,7 @@ def _evolved(loose: DataFrame, level: int, capacity: int, islands: int, epochs:
     )
     for epoch in range(epochs):
         spread = state.repartition(tasks, "cell", "island")
-        packed = cut(spread.mapInPandas(_one_epoch(level, epoch, capacity), "cell long, island int, lengths array<int>, packing array<int>, rank double"))
+        packed = cut(spread.mapInPandas(tidy(_one_epoch(level, epoch, capacity)), "cell long, island int, lengths array<int>, packing array<int>, rank double"))
         moved = packed.select("cell", ((F.col("island") + 1) % islands).alias("island"), F.array("packing").alias("elites"))
         own = packed.select("cell", "island", "lengths", F.array("packing").alias("kept"))
         state = own.join(moved, ["cell", "island"]).select("cell", "island", "lengths", F.concat("kept", "elites").alias("elites"))

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.workers import give_back, tidy
 from seqloom.plans.shipping import ship_package
 
 #: Length of the weight vector (18 bits of hash), and rated rows that a fit samples at most.
@@ -34,7 +35,7 @@ ROUNDS, STEP, RIDGE = 300, 0.05, 0.5
 #: Evidence that counts as none, as a squared number of standard deviations.
 NO_EVIDENCE = 9.0
 #: Distinct words that a Python worker remembers.
-CACHE = 100_000
+CACHE = 50_000
 #: Grades are wanted from this one up, with at least this tail probability: what is more probably
 #: good than not.
 WANTED, LEAST_TAIL = 2, 0.5
@@ -224,7 +225,7 @@ def fit_on(docs: DataFrame, ratings: DataFrame, grade: Column, rows: int = SAMPL
     """
     ship_package(docs.sparkSession)
     sample = rated_sample(docs, ratings, grade, rows)
-    packed = sample.mapInArrow(_sample_features, "mark long, doc_id string, grade int, features binary, values binary")
+    packed = sample.mapInArrow(tidy(_sample_features), "mark long, doc_id string, grade int, features binary, values binary")
     found = sorted(packed.collect(), key=lambda r: (r["mark"], r["doc_id"]))[:rows]
     if not found:
         return fit([], np.zeros(0))
@@ -255,6 +256,8 @@ def scorer(model: OrdinalModel, spark, wanted: int = WANTED) -> Callable[[Column
         for texts in batches:
             tails = np.vstack([own.tails(pa.array(texts[i : i + 512], pa.string()), known) for i in range(0, len(texts), 512)] or [np.zeros((0, len(own.thresholds)))])
             yield pd.DataFrame({"expected_grade": np.round(tails.sum(axis=1), 9), "tail_prob": np.round(tails[:, min(wanted, tails.shape[1]) - 1], 9)})
+        known.clear()
+        give_back()
 
     return score
 

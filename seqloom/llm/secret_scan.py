@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.workers import tidy
 from seqloom.plans.lineage import cut
 from seqloom.plans.shipping import ship_package
 
@@ -242,7 +243,7 @@ def _scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     ship_package(df.sparkSession)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {id_kind}, base {_SPANS}, found {_FOUND}, encoding int, sums array<long>")
+    return source.mapInArrow(tidy(run), f"id {id_kind}, base {_SPANS}, found {_FOUND}, encoding int, sums array<long>")
 
 
 def _laws(scanned: DataFrame) -> dict[int, tuple[float, float, float, float]]:
