@@ -128,10 +128,10 @@ HALF_SQL = f"WITH {LOGITS_SQL} SELECT vec_id, 14::BIGINT AS n, round(ln(list_sum
 
 def ensemble_mean(spark: SparkSession, d: str) -> DataFrame:
     scores = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("prompt_id"), F.col("l_suppkey").alias("variant_id"), F.col("l_extendedprice").alias("logp"))
-    return S.ensemble_mean(scores).select("variant_id", F.round(F.col("score").cast("double"), 0).alias("score"))
+    return S.ensemble_mean(scores).select("variant_id", F.col("score").cast("double").alias("score"))
 
 
-ENSEMBLE_SQL = "SELECT l_suppkey AS variant_id, round(avg(l_extendedprice)::FLOAT::DOUBLE, 0) AS score FROM lineitem GROUP BY 1"
+ENSEMBLE_SQL = "SELECT l_suppkey AS variant_id, avg(l_extendedprice)::FLOAT::DOUBLE AS score FROM lineitem GROUP BY 1"
 
 
 def wt_delta(spark: SparkSession, d: str) -> DataFrame:
