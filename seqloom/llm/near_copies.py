@@ -1,19 +1,21 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 Each text becomes the set of its word shingles and a MinHash signature. Every tree of the forest
-is a prefix trie over its own stretch of the signature, kept as the keys of its nodes, which Spark
-sorts; two texts meet in the node of a prefix that they share. Each text starts from full depth, and
-its prefix is shortened until the pairs that it can be part of, given how many shingles it has, meet
-with the target recall. Texts that meet are verified on their whole shingle sets, in blocks of
-bounded size, so a large group of near copies is counted in matrix products and never written out as
-pairs.
+is a prefix trie over its own stretch of the signature, kept as sorted strings, which Spark sorts in
+ranges; a task walks along them and sees from neighbours how long a prefix they share. A text asks for
+a match at full depth, and its prefix is shortened until the pairs that it can be part of, given how
+many shingles it has, meet with the target recall. Texts that meet must agree in their one-bit sketches
+before they are joined to a group. Groups are verified on their whole shingle sets, in blocks of bounded
+size, so a large group of near copies is counted in matrix products and never written out as pairs.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,10 @@ TREES, DEPTH, RECALL = 32, 8, 0.999
 BLOCK, BLOCK_TEXTS = 1 << 18, 2048
 #: A smaller group is parted too, into blocks of so many texts, as long as there are no more blocks than that.
 PART_TEXTS, PARTS = 64, 64
+#: Standard deviations by which the sketches of a pair at the threshold may fall short of what they should agree in.
+SLACK = 6.0
+#: Texts under one prefix that are compared by their sketches; of more, all go on to verification together.
+LONG_RUN = 256
 
 _MULTIPLY = np.random.RandomState(7).randint(0, 1 << 31, TREES * DEPTH, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = np.random.RandomState(8).randint(0, 1 << 32, TREES * DEPTH, dtype=np.int64).astype(np.uint32)
@@ -65,20 +71,17 @@ def least_similarity(size: int, threshold: float = THRESHOLD) -> float:
 
 
 @functools.lru_cache(maxsize=None)
-def levels(size: int, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> tuple[int, ...]:
-    """The depths at which a text of ``size`` shingles stands in the forest, shortest prefix first.
-
-    The first is its own: full depth, shortened until the pairs that it can be part of meet with the
-    recall wanted. The others are those of texts that could be similar to it and stop before.
-    Two similar texts meet at the longer of their own depths, where both stand.
+def own_depth(size: int, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """How far the prefix of a text of ``size`` shingles is shortened: until the least similar pairs
+    that it can be part of meet with the recall wanted. Two texts meet at the longer of their depths.
     """
-    shortest = matched_depth(threshold, trees, depth, recall)
-    if matched_depth(min(1.0, threshold + 1 / (threshold * size)), trees, depth, recall) == shortest:
-        return (shortest,)  # so large that it and all that are near its size can come as close to the threshold
-    own = lambda n: matched_depth(least_similarity(n, threshold), trees, depth, recall)
-    mine = own(size)
-    near = range(max(1, math.ceil(threshold * size - 1e-9)), math.floor(size / threshold + 1e-9) + 1)
-    return tuple(sorted({mine} | {d for d in map(own, near) if d > mine}))
+    return matched_depth(least_similarity(size, threshold), trees, depth, recall)
+
+
+def most_unlike(threshold: float = THRESHOLD) -> int:
+    """The most bits in which the sketches of a pair at the threshold differ, but for SLACK deviations."""
+    bits, unlike = TREES * DEPTH, (1 - threshold) / 2
+    return math.floor(bits * unlike + SLACK * math.sqrt(bits * unlike * (1 - unlike)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -132,39 +135,143 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def node_keys(values: np.ndarray, depth: int) -> np.ndarray:
-    """The trie node at ``depth`` in which a text stands in each tree, as one 64-bit key."""
-    with np.errstate(over="ignore"):
-        total = np.arange(1, TREES + 1, dtype=np.uint64)
-        for k in range(depth):
-            total = _mix(total + values.reshape(TREES, DEPTH)[:, k].astype(np.uint64))
-    return total.astype(np.int64)
+def tree_strings(values: np.ndarray) -> np.ndarray:
+    """A text's string in each tree, as a row of bytes: the tree's number, then 16 bits of each value."""
+    low = (values & np.uint32(0xFFFF)).astype(">u2").reshape(TREES, DEPTH).view(np.uint8)
+    return np.concatenate([np.arange(TREES, dtype=np.uint8)[:, None], low], axis=1)
 
 
-def _nodes(hashes: np.ndarray, threshold: float, recall: float) -> np.ndarray:
-    """All nodes of the forest in which a shingle set stands."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    values = signature(hashes)
-    return np.concatenate([node_keys(values, depth) for depth in levels(len(hashes), threshold, recall=recall)])
+def bit_sketch(values: np.ndarray) -> bytes:
+    """One bit of each MinHash value. Bits of two texts agree with probability (1 + similarity) / 2."""
+    return np.packbits((values & np.uint32(1)).astype(np.uint8)).tobytes()
 
 
 def _signed(df: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(id, text_hash, shingles, nodes) of each row; nodes: its places in all trees, none without words."""
+    """(id, text_hash, shingles, own, sketch, strings) of each row; no strings without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 sets = shingle_sets(part.column(2))
-                nodes = [_nodes(s, threshold, recall) for s in sets]
+                values = [signature(s) if len(s) else None for s in sets]
+                strings = [[] if v is None else [row.tobytes() for row in tree_strings(v)] for v in values]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.list_(pa.int64()))],
-                    ["id", "text_hash", "shingles", "nodes"],
-                )
+                    [
+                        part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([own_depth(len(s), threshold, recall=recall) if len(s) else None for s in sets], pa.int32()),
+                        pa.array([None if v is None else bit_sketch(v) for v in values], pa.binary()), pa.array(strings, pa.list_(pa.binary())),
+                    ],
+                    ["id", "text_hash", "shingles", "own", "sketch", "strings"],
+                )
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "text_hash", "text").mapInArrow(tidy(run), f"id {kind}, text_hash string, shingles long, nodes array<long>")
+    return df.select("id", "text_hash", "text").mapInArrow(tidy(run), f"id {kind}, text_hash string, shingles long, own int, sketch binary, strings array<binary>")
+
+
+class Leaves(NamedTuple):
+    """Neighbouring leaves of a trie, in order of their strings."""
+
+    strings: np.ndarray
+    keys: np.ndarray
+    own: np.ndarray
+    sketches: np.ndarray
+
+    def part(self, low: int, high: int | None = None) -> Leaves:
+        return Leaves(*(column[low:high] for column in self))
+
+    def heads(self, depth: int) -> np.ndarray:
+        """Where each run of leaves begins that share a prefix of ``depth``."""
+        prefix = self.strings[:, : 1 + 2 * depth]
+        return np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]).any(axis=1)))
+
+
+def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
+    """A column of values of ``width`` bytes each as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+
+
+def matches(leaves: Leaves, depth: int, unlike: int, whole_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of leaves that meet, under a common prefix of at least ``depth``.
+
+    Two leaves meet if their prefix is as long as both ask for and their sketches differ in no more
+    than ``unlike`` bits. In runs longer than LONG_RUN, and with ``whole_first`` in the first, every
+    leaf is paired with the run's first one instead, which joins at least as much.
+    """
+    starts = leaves.heads(depth)
+    ends = np.append(starts[1:], len(leaves.keys))
+    whole = ends - starts > LONG_RUN
+    whole[0] |= whole_first
+    start_of, end_of, starred = (np.repeat(x, ends - starts) for x in (starts, ends, whole))
+    places = np.arange(len(leaves.keys))
+    values, bits = np.ascontiguousarray(leaves.strings[:, 1:]).view(">u2"), np.ascontiguousarray(leaves.sketches).view(np.uint64)
+    found_a, found_b = [places[starred]], [start_of[starred]]
+    rows = places[~starred]
+    for step in itertools.count(1):
+        rows = rows[rows + step < end_of[rows]]
+        if not len(rows):
+            break
+        like = rows[np.bitwise_count(bits[rows] ^ bits[rows + step]).sum(axis=1) <= unlike]
+        shared = np.logical_and.accumulate(values[like] == values[like + step], axis=1).sum(axis=1)
+        like = like[shared >= np.maximum(leaves.own[like], leaves.own[like + step])]
+        found_a.append(like)
+        found_b.append(like + step)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _walk(batches: Iterator[pa.RecordBatch], depth: int, unlike: int) -> Iterator[pa.RecordBatch]:
+    """Links of a range of sorted leaves: (a, b) keys, and for runs that its ends may cut (a, prefix).
+
+    What is held is a batch and the run that it leaves open, of which no more than LONG_RUN leaves.
+    """
+
+    def out(a: np.ndarray, b: np.ndarray, prefixes: list[bytes | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefixes, pa.binary())], ["a", "b", "prefix"])
+
+    def links(leaves: Leaves, whole_first: bool) -> pa.RecordBatch:
+        a, b = matches(leaves, depth, unlike, whole_first)
+        root = reached(len(leaves.keys), a, b)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return out(leaves.keys[moved], leaves.keys[root[moved]], [None] * len(moved))
+
+    def border(leaves: Leaves) -> pa.RecordBatch:
+        return out(leaves.keys[:1], leaves.keys[:1], [leaves.strings[0, : 1 + 2 * depth].tobytes()])
+
+    held: Leaves | None = None
+    cut_off = whole = True  # the open run: may have begun in the range before; takes all its leaves
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = Leaves(_bytes_of(batch.column(0), 1 + 2 * DEPTH), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _bytes_of(batch.column(3), TREES * DEPTH // 8))
+        if held is not None:
+            now = Leaves(*map(np.concatenate, zip(held, now, strict=True)))
+        last = now.heads(depth)[-1]
+        if last:
+            if cut_off:
+                yield border(now)
+            yield links(now.part(0, last), whole)
+            cut_off = whole = False
+        held = now.part(last)
+        if len(held.keys) > LONG_RUN:
+            yield links(held, True)
+            held, whole = held.part(0, 1), True
+    if held is not None:
+        yield border(held)
+        yield links(held, True)
+
+
+def met_pairs(leaves: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(a, b) keys that link all texts that meet in a tree; leaves: (string, key, own, sketch).
+
+    Ranges of the sorted strings are parted anywhere, in equal strings too, so a prefix that very
+    many texts share is many tasks' work; what runs over the end of a range is linked by its prefix.
+    """
+    depth, unlike = matched_depth(threshold, recall=recall), most_unlike(threshold)
+    ordered = leaves.select("string", "key", "own", "sketch").repartitionByRange("string", "key").sortWithinPartitions("string", "key")
+    found = cut(ordered.mapInArrow(tidy(functools.partial(_walk, depth=depth, unlike=unlike)), "a long, b long, prefix binary"))
+    borders = found.filter("prefix IS NOT NULL").select("prefix", "a")
+    least = borders.groupBy("prefix").agg(F.min("a").alias("b"))
+    return found.filter("prefix IS NULL").select("a", "b").unionByName(borders.join(least, "prefix").select("a", "b")).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,6 +298,20 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers below ``n`` that each reaches by the pairs (a, b)."""
+    reach = np.arange(n)
+    while len(a):
+        least = reach.copy()
+        np.minimum.at(least, a, reach[b])
+        np.minimum.at(least, b, reach[a])
+        least = np.minimum(least, least[least])
+        if (least == reach).all():
+            break
+        reach = least
+    return reach
+
+
 def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sorted sets."""
     every, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
@@ -222,7 +343,7 @@ def verify_block(ids: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: l
     own = np.flatnonzero(sides < 2)
     other = own if not (sides == 2).any() else np.flatnonzero(sides == 2)
     size = np.array([len(s) for s in sets], dtype=np.float64)
-    weight, reach = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+    weight = np.zeros(len(ids), dtype=np.int64)
     pairs_a, pairs_b = [], []
     for low in range(0, len(own), 512):
         rows = own[low : low + 512]
@@ -237,15 +358,7 @@ def verify_block(ids: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: l
         pairs_b.append(other[y])
     a = np.concatenate(pairs_a) if pairs_a else np.zeros(0, np.int64)
     b = np.concatenate(pairs_b) if pairs_b else np.zeros(0, np.int64)
-    while len(a):
-        least = reach.copy()
-        np.minimum.at(least, a, reach[b])
-        np.minimum.at(least, b, reach[a])
-        least = np.minimum(least, least[least])
-        if (least == reach).all():
-            break
-        reach = least
-    return weight, reach
+    return weight, reached(len(ids), a, b)
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -261,7 +374,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class_id is their own id. Empty table: no rows. Further columns are ignored. Ids may be of any type that
     sorts. Texts are read whole, however long.
 
-    No pair is missed but for the forest's recall at the threshold, which rises fast above it; no
+    No pair is missed but for the forest's recall at the threshold, which rises fast above it, and for
+    sketches that fall short by SLACK deviations (under one pair at the threshold in a million); no
     bucket is capped. Copies are folded into one text before, with partial minima.
     """
     signed, texts = _text_classes(_documents(df, id_col, text_col), threshold, recall)
@@ -293,10 +407,8 @@ def _text_classes(docs: DataFrame, threshold: float, recall: float) -> tuple[Dat
         worded.groupBy("text_hash").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("shingles").alias("shingles")).withColumn("key", F.monotonically_increasing_id())
     )
     one = texts.select(F.col("text_hash").alias("of"), "rep", "key")
-    meet = worded.join(one, (F.col("text_hash") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", F.explode("nodes").alias("node"))
-    heads = meet.groupBy("node").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("last > head").select("node", "head")
-    stars = meet.join(heads, "node").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(stars)
+    meet = worded.join(one, (F.col("text_hash") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", "own", "sketch", F.explode("strings").alias("string"))
+    groups = components(met_pairs(meet, threshold, recall))
     members = groups.join(texts.withColumnRenamed("key", "id"), "id")
     spread = F.least(F.ceil(F.count("*") / PART_TEXTS), F.lit(PARTS))
     blocks = members.groupBy("root").agg(F.greatest(spread, F.ceil(F.sum("shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))

@@ -81,13 +81,14 @@ def test_depth_shortens_until_the_recall():
 def test_forest_recall_near_the_threshold():
     rng, depth, met = random.Random(9), N.matched_depth(), 0
     base = [f"b{i}" for i in range(600)]
-    own = N.node_keys(N.signature(N.shingle_sets(pa.array([" ".join(base)]))[0]), depth)
+    prefixes = lambda text: N.tree_strings(N.signature(N.shingle_sets(pa.array([text]))[0]))[:, : 1 + 2 * depth]
+    own = prefixes(" ".join(base))
     for _ in range(200):
         copy = list(base)
         for i in rng.sample(range(600), 13):
             copy[i] = f"x{rng.random()}"
-        other = N.node_keys(N.signature(N.shingle_sets(pa.array([" ".join(copy)]))[0]), depth)
-        met += bool((own == other).any())
+        other = prefixes(" ".join(copy))
+        met += bool((own == other).all(axis=1).any())
     assert met >= 198
 
 
@@ -145,12 +146,10 @@ def test_least_similarity_equals_all_overlaps():
 
 def test_texts_meet_with_the_recall_wanted_at_every_size():
     """Whatever two sizes can be similar, both stand at a depth that gives pairs of theirs the recall."""
-    assert N.levels(3) == (8,) and N.levels(1000) == (7,) and {N.levels(n) for n in range(1, 200)} >= {(7,), (8,), (7, 8)}
+    assert N.own_depth(3) == 8 and N.own_depth(1000) == 7 and {N.own_depth(n) for n in range(1, 200)} == {7, 8}
     for a in range(1, 130):
         for b in range(a, int(a / 0.8) + 1):
-            own_a, own_b = N.levels(a), N.levels(b)
-            met = max(own_a[0], own_b[0])
-            assert met in own_a and met in own_b
+            met = max(N.own_depth(a), N.own_depth(b))
             for shared in range(1, a + 1):
                 likeness = shared / (a + b - shared)
                 if likeness >= 0.8:
@@ -185,3 +184,92 @@ def test_parted_groups_are_whole(spark, monkeypatch):
     monkeypatch.setattr(N, "PART_TEXTS", 9)
     found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in N.jaccard_classes(frame).collect()}
     assert found == brute(table)
+
+
+def leaf_rows(rng, groups, most):
+    """Texts of small sets that share most of a base, as the leaves of all trees."""
+    rows, values = [], []
+    for _ in range(groups):
+        base = rng.randint(0, 1 << 62, rng.randint(3, 60)).astype(np.uint64)
+        for _ in range(rng.randint(1, most)):
+            own = base.copy()
+            swap = rng.rand(len(base)) < rng.choice([0, 0.05, 0.3])
+            own[swap] = rng.randint(0, 1 << 62, swap.sum())
+            values.append((len(own), N.signature(np.unique(own))))
+    for key, (size, v) in enumerate(values):
+        rows += [(s.tobytes(), key, N.own_depth(size), N.bit_sketch(v)) for s in N.tree_strings(v)]
+    return rows, values
+
+
+def met_by_loops(rows):
+    """Pairs of keys that share as long a prefix as both ask for and have sketches near each other."""
+    found, most = set(), N.most_unlike()
+    for tree in range(N.TREES):
+        here = [r for r in rows if r[0][0] == tree]
+        for x, (s, a, own_a, bits_a) in enumerate(here):
+            for t, b, own_b, bits_b in here[x + 1 :]:
+                depth = max(own_a, own_b)
+                if s[: 1 + 2 * depth] == t[: 1 + 2 * depth] and (int.from_bytes(bits_a) ^ int.from_bytes(bits_b)).bit_count() <= most:
+                    found.add((a, b))
+    return found
+
+
+def roots(n, pairs):
+    a, b = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
+    return N.reached(n, a, b).tolist()
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_sorted_tries_link_what_meets(spark, partitions):
+    """The walk along sorted strings joins what all pairs of leaves join, wherever ranges are parted."""
+    rows, values = leaf_rows(np.random.RandomState(3), 14, 9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        found = {(r["a"], r["b"]) for r in N.met_pairs(spark.createDataFrame(rows, "string binary, key long, own int, sketch binary")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = roots(len(values), met_by_loops(rows))
+    joined = roots(len(values), found)
+    # runs at the ends of ranges may join more, never less
+    assert all(joined[k] == joined[root] for k, root in enumerate(wanted))
+    if partitions == 1:
+        assert len(set(joined)) >= len(set(wanted)) - 2
+
+
+@pytest.mark.parametrize("batch", [1, 3, 40, 10_000])
+def test_walk_is_the_same_in_batches_of_any_size(monkeypatch, batch):
+    rows, values = leaf_rows(np.random.RandomState(5), 10, 30)
+    monkeypatch.setattr(N, "LONG_RUN", 6)
+    rows.sort()
+    table = pa.table({"string": [r[0] for r in rows], "key": [r[1] for r in rows], "own": pa.array([r[2] for r in rows], pa.int32()), "sketch": [r[3] for r in rows]})
+    out = [r for part in N._walk(iter(table.to_batches(max_chunksize=batch)), N.matched_depth(), N.most_unlike()) for r in part.to_pylist()]
+    assert [r["prefix"] for r in out if r["prefix"]] == [rows[0][0][:15], rows[-1][0][:15]]
+    joined = roots(len(values), [(r["a"], r["b"]) for r in out])
+    wanted = roots(len(values), met_by_loops(rows))
+    assert all(joined[k] == joined[root] for k, root in enumerate(wanted))
+
+
+def test_prefixes_met_by_chance_are_left_apart():
+    """Texts under one prefix whose sketches are unlike make no group, unless the run is a long one."""
+    rng = np.random.RandomState(6)
+    strings = np.zeros((5, 1 + 2 * N.DEPTH), np.uint8)
+    sketches = rng.randint(0, 256, (5, N.TREES * N.DEPTH // 8)).astype(np.uint8)
+    sketches[3] = sketches[1]
+    leaves = N.Leaves(strings, np.arange(5), np.full(5, 7), sketches)
+    assert [x.tolist() for x in N.matches(leaves, 7, N.most_unlike())] == [[1], [3]]
+    assert [x.tolist() for x in N.matches(leaves, 7, N.most_unlike(), True)] == [[0, 1, 2, 3, 4], [0] * 5]
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng, most, seen = np.random.RandomState(10), N.most_unlike(), 0
+    for size in (5, 9, 45, 450):
+        for _ in range(300):
+            base = rng.randint(0, 1 << 62, size).astype(np.uint64)
+            shared = -(-size * 8 // 9)  # two sets of this size that share so many are just similar enough
+            other = np.concatenate([base[:shared], rng.randint(0, 1 << 62, size - shared).astype(np.uint64)])
+            a, b = (np.frombuffer(N.bit_sketch(N.signature(x)), np.uint64) for x in (base, other))
+            seen = max(seen, int(np.bitwise_count(a ^ b).sum()))
+    assert seen <= most and N.most_unlike(1.0) == 0
