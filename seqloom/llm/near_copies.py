@@ -231,8 +231,11 @@ def _walk(batches: Iterator[pa.RecordBatch], depth: int, unlike: int) -> Iterato
     def links(leaves: Leaves, whole_first: bool) -> pa.RecordBatch:
         a, b = matches(leaves, depth, unlike, whole_first)
         root = reached(len(leaves.keys), a, b)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return out(leaves.keys[moved], leaves.keys[root[moved]], [None] * len(moved))
+        least = leaves.keys.copy()
+        np.minimum.at(least, root, leaves.keys)
+        # to the least key, which is the same one in many trees, so that links are few
+        moved = np.flatnonzero(least[root] != leaves.keys)
+        return out(leaves.keys[moved], least[root[moved]], [None] * len(moved))
 
     def border(leaves: Leaves) -> pa.RecordBatch:
         return out(leaves.keys[:1], leaves.keys[:1], [leaves.strings[0, : 1 + 2 * depth].tobytes()])
@@ -254,7 +257,8 @@ def _walk(batches: Iterator[pa.RecordBatch], depth: int, unlike: int) -> Iterato
         held = now.part(last)
         if len(held.keys) > LONG_RUN:
             yield links(held, True)
-            held, whole = held.part(0, 1), True
+            first = int(held.keys.argmin())
+            held, whole = held.part(first, first + 1), True
     if held is not None:
         yield border(held)
         yield links(held, True)
