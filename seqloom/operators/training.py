@@ -116,24 +116,28 @@ def segment_positions(df: DataFrame, keys: list[str], tokens: str, padding: int
     return rows.withColumn("position", (F.sum((F.col("token") != padding).cast("int")).over(window) - 1).cast("int"))
 
 
-def query_refs(encoder: DataFrame, decoder: DataFrame, missing: int = MAIN.missing) -> DataFrame:
+def query_refs(encoder: DataFrame, decoder: DataFrame, missing: int = MAIN.missing, value: bool = False) -> DataFrame:
     """For each decoder position the encoder position it refers to: (batch_id, y_pos, ref_idx, known).
 
     ``encoder`` (batch_id, segment, tokens), ``decoder`` (batch_id, segment, length, query_segment or null).
     A decoder segment with a query segment refers to it position by position, and a position is
-    known if the encoder's token there is not the mask; all others have NO_REFERENCE.
+    known if the encoder's token there is not the mask; all others have NO_REFERENCE. With ``value`` there is
+    also the token referred to, null where there is none. Segments are joined whole, and positions are told
+    apart last, so that no join or shuffle has a row for each position. The join is by shuffle: how long
+    segments are doesn't show in the size by which small tables are broadcast.
     """
     enc = segment_offsets(encoder, "batch_id", "segment", F.size("tokens")).select(
         "batch_id", F.col("segment").alias("query_segment"), F.col("segment_offset").alias("__from"), "tokens"
     )
     dec = segment_offsets(decoder, "batch_id", "segment", F.col("length"))
-    rows = dec.join(enc, ["batch_id", "query_segment"], "left").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
+    rows = dec.join(enc.hint("merge"), ["batch_id", "query_segment"], "left").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
     token = F.get(F.col("tokens"), F.col("__i").cast("int"))
     return rows.select(
         "batch_id",
         (F.col("segment_offset") + F.col("__i")).alias("y_pos"),
         F.coalesce(F.when(token.isNotNull(), F.col("__from") + F.col("__i")), F.lit(NO_REFERENCE)).cast("bigint").alias("ref_idx"),
         F.coalesce(token != missing, F.lit(False)).alias("known"),
+        *([token.alias("value")] if value else []),
     )
 
 
