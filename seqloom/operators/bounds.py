@@ -39,6 +39,11 @@ SYMBOLS = 61
 STEP, TILE, FEW = 24, 256, 1 / 12
 #: Summaries of blocks that one side of a task of bounds holds.
 SUMMARIES = 512
+#: Rows of an alignment that one side of a task holds, and tiles of an alignment that all meet each other at most.
+TILE_ROWS, MOST_TILES = 1 << 16, 8
+#: Rows from which on a ball of similar rows is a block of its own inside a task, and letters of a column
+#: on average up to which a block's letters are held against single rows of another one.
+LEAST_BALL, TIGHT = 32, 8
 
 
 def code_matrix(rows: list[str], gap: str) -> tuple[np.ndarray, int]:
@@ -141,8 +146,11 @@ def _survivors(left: np.ndarray, right: np.ndarray, need_a: np.ndarray, need_b:
     total = np.zeros(shape, dtype=np.int32)
     same = np.empty(shape, dtype=bool)
     need = np.minimum(need_a[:, None], need_b[None, :]).astype(np.int32)
-    for start in range(0, width, STEP):
-        stop, some = min(start + STEP, width), np.zeros(shape, dtype=np.uint8)
+    # no pair can drop out before it has differed in more columns than it may
+    stop, ahead = 0, min(255, max(STEP, int(1.15 * (max((rest_a[0] - need_a).max(initial=0), (rest_b[0] - need_b).max(initial=0)) + 1))))
+    while stop < width:
+        start, some = stop, np.zeros(shape, dtype=np.uint8)
+        stop, ahead = min(start + ahead, width), STEP
         for k in range(start, stop):
             np.equal(left[k][:, None], right[k][None, :], out=same)
             some += same.view(np.uint8)
@@ -340,40 +348,198 @@ def possible_pairs(rows: DataFrame, theta: float, gap: str) -> DataFrame:
     return own.unionByName(others)
 
 
-def bounded_neighbors(folded: DataFrame, theta: float, gap: str, block: int = BLOCK) -> DataFrame:
-    """(head, neighbors) of all distinct rows; ``neighbors`` counts copies, the row itself included."""
-    ship_package(folded.sparkSession)
-    rows = blocked(folded, gap, block)
-    pairs = possible_pairs(rows, theta, gap).withColumn("pair", F.monotonically_increasing_id())
-    alone = F.col("low") == F.col("high")
-    side = lambda c, k: F.struct(F.col(c).alias("block"), F.lit(k).alias("side"))
-    both = F.when(alone, F.array(side("low", 0))).otherwise(F.array(side("low", 0), side("high", 1)))
-    sides = pairs.select("no", "pair", alone.alias("alone"), F.explode(both).alias("s")).select("no", "pair", "alone", "s.block", "s.side")
-    task = rows.join(sides, ["no", "block"]).select("pair", "side", "alone", "head", "__aligned", "copies")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        matrix, mark = code_matrix(part["__aligned"].tolist(), gap)
-        if (matrix == mark).all(axis=1).any():
-            raise ValueError("an alignment row has gaps only")
-        copies, heads, side = (part[c].to_numpy() for c in ("copies", "head", "side"))
-        i = np.flatnonzero(side == 0)
-        if part["alone"].iloc[0]:
-            return pd.DataFrame({"head": heads, "neighbors": near_within(matrix, copies, mark, theta)})
-        j = np.flatnonzero(side == 1)
-        of_i, of_j, _ = near_weights(matrix[i], matrix[j], copies[i], copies[j], mark, theta)
-        return pd.DataFrame({"head": np.concatenate([heads[i], heads[j]]), "neighbors": np.concatenate([of_i, of_j])})
+def alignment_key(rows: DataFrame, msa: str) -> Column:
+    """An alignment as text that no other one has, null being one of them."""
+    kind = rows.schema[msa].dataType.typeName()
+    of = F.col(msa)
+    text = F.hex(of) if kind == "binary" else F.unix_micros(of).cast("string") if kind == "timestamp" else F.to_json(F.struct(of.alias("of"))) if kind in ("struct", "array") else of.cast("string")
+    return F.when(of.isNotNull(), F.concat(F.lit("="), text)).otherwise(F.lit("-"))
+
+
+def row_digest(of: Column, aligned: Column) -> Column:
+    """16 bytes that stand for an alignment and a text where rows are joined or summed, so that texts needn't move."""
+    return F.substring(F.unhex(F.sha2(F.concat_ws("\n", of, aligned), 256)), 1, 16)
+
+
+def _codes(texts: pa.ChunkedArray, gap: str) -> tuple[np.ndarray, int]:
+    """As ``code_matrix``; ASCII texts are their own codes."""
+    column = pa.concat_arrays([c.cast(pa.large_string()) for c in texts.chunks])
+    ends = np.frombuffer(column.buffers()[1], dtype="<i8")[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    if len(gap) == 1 and ord(gap) < 128 and not (flat & 128).any():
+        if len(set(np.diff(ends).tolist())) > 1:
+            raise ValueError("rows of an alignment differ in width")
+        return flat.reshape(len(column), -1), ord(gap)
+    rows = column.to_pylist()
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("rows of an alignment differ in width")
+    return code_matrix(rows, gap)
+
+
+def _similar_blocks(codes: np.ndarray, gap: int, block: int) -> list[np.ndarray]:
+    """Row numbers in blocks of similar rows: by the nearest of the first rows, which are in no order."""
+    n = len(codes)
+    if n <= block:
+        return [np.arange(n)] if n else []
+    few = np.ascontiguousarray(codes[: min(MOST_CHOSEN, -(-n * DRAWS // block))].T)
+    ball = np.zeros(n, np.int64)
+    for low in range(0, n, TILE):
+        many = codes[low : low + TILE].T
+        total = np.zeros((many.shape[1], few.shape[1]), dtype=np.int32)
+        for k in range(len(few)):
+            total += (many[k][:, None] == few[k][None, :]) & (many[k] != gap)[:, None]
+        off = 1 - total.max(axis=1) / np.maximum((many != gap).sum(axis=0), 1)
+        ball[low : low + TILE] = np.where(off <= RINGS[-1], (total.argmax(axis=1) + 1) * len(RINGS) + np.searchsorted(RINGS, off), 0)
+    _, at, size = np.unique(ball, return_inverse=True, return_counts=True)
+    ball[size[at] < min(LEAST_BALL, block)] = 0
+    order = np.argsort(ball, kind="stable")
+    ends = np.flatnonzero(np.diff(ball[order])) + 1
+    return [piece for part in np.split(order, ends) for piece in np.array_split(part, -(-len(part) // block))]
+
+
+def near_counts(codes: np.ndarray, copies: np.ndarray, side: np.ndarray | None, gap: int, theta: float, block: int) -> np.ndarray:
+    """Copies of rows that are neighbours of each row: of all rows, or with ``side`` (0 or 1) of the other side's.
+
+    Rows are dealt into blocks of similar ones; block pairs that can't reach the least number of equal columns
+    are left out, and of others with few letters in a column the rows that can't.
+    """
+    blocks = [(s, rows[b]) for s, rows in ((s, np.flatnonzero(side == s) if side is not None else np.arange(len(codes))) for s in ((0, 1) if side is not None else (0,))) for b in _similar_blocks(codes[rows], gap, block)]
+    order = np.concatenate([b for _, b in blocks])
+    ends = np.cumsum([0, *(len(b) for _, b in blocks)])
+    of = np.array([s for s, _ in blocks])
+    codes, copies = codes[order], copies[order]
+    letters = codes != gap
+    need = least_matches(letters.sum(axis=1), theta)
+    least = np.minimum.reduceat(need, ends[:-1])
+    sets = np.stack([column_sets(codes[a:b], gap) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    centre = np.stack([_centre(codes[a:b], gap) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    radius = np.array([(letters[a:b] & (codes[a:b] != c)).sum(axis=1).max() for a, b, c in zip(ends[:-1], ends[1:], centre, strict=True)])
+    tight = np.bitwise_count(sets).mean(axis=1) <= TIGHT
+    columns = _telling_columns(codes, codes, gap)
+    right = np.ascontiguousarray(codes[:, columns].T)
+    left = np.where(right == gap, np.iinfo(codes.dtype).max, right)  # a code that no row has, in place of one side's gaps
+    rest = _rest(letters[:, columns])
+    out = np.zeros(len(codes), np.int64)
+    for x in range(len(blocks)):
+        y = np.arange(x + 1, len(blocks))
+        if side is not None:
+            y = y[of[y] != of[x]]
+        floor = lambda y: np.minimum(least[x], least[y])  # noqa: E731,B023
+        y = y[((centre[x] == centre[y]) & (centre[x] != gap)).sum(axis=1) + radius[x] + radius[y] >= floor(y)]
+        y = y[((sets[x] & sets[y]) != 0).sum(axis=1) >= floor(y)]
+        for z in ([x] if side is None else []) + y.tolist():
+            i, j = np.arange(ends[x], ends[x + 1]), np.arange(ends[z], ends[z + 1])
+            if z != x and (tight[x] or tight[z]):
+                i, j = i[reach(codes[i], gap, sets[z]) >= np.minimum(need[i], least[z])], j[reach(codes[j], gap, sets[x]) >= np.minimum(need[j], least[x])]
+            for low in range(0, len(i), TILE):
+                some, other = i[low : low + TILE], j[low:] if z == x else j
+                if not len(other):
+                    break
+                p, q, same = _survivors(left[:, some], right[:, other], need[some], need[other], rest[:, some], rest[:, other])
+                p, q = some[p], other[q]
+                near = (same >= need[p]) & ((q >= p) | (z != x))
+                out += np.bincount(p[near], weights=copies[q[near]], minlength=len(out)).astype(np.int64)
+                near = (same >= need[q]) & ((q > p) | (z != x))
+                out += np.bincount(q[near], weights=copies[p[near]], minlength=len(out)).astype(np.int64)
+    found = np.empty_like(out)
+    found[order] = out
+    return found
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done, size = [], 0
-        for part in whole_keys(batches, ["pair"]):
-            done.append(compare(part))
-            size += len(part)
-            if size >= SLICE:
-                yield pd.concat(done)
-                done, size = [], 0
-        if done:
-            yield pd.concat(done)
-
-    dealt = task.repartition("pair").sortWithinPartitions("pair")
-    return dealt.mapInPandas(run, "head long, neighbors long").groupBy("head").agg(F.sum("neighbors").alias("neighbors"))
 
+def whole_tables(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, whole, from sorted batches that may cut it."""
+    parts: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        keys = table[key].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), table.num_rows]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            part = table.slice(a, b - a)
+            if parts and parts[-1][key][0] != part[key][0]:
+                yield pa.concat_tables(parts)
+                parts = []
+            parts.append(part)
+    if parts:
+        yield pa.concat_tables(parts)
+
+
+def bounded_neighbors(
+    rows: DataFrame, theta: float, gap: str, msa: str, aligned: str, row: str | None = None, block: int = BLOCK, tile: int = TILE_ROWS, most: int = MOST_TILES,
+) -> DataFrame:
+    """(of, digest, copies, neighbors) of all distinct rows of alignments; ``neighbors`` counts copies, the row itself
+    included, ``of`` and ``digest`` are ``alignment_key`` and ``row_digest``. With ``row`` also ``similarity``: equal columns,
+    gaps counting, with the row of least (row, aligned), over the width.
+
+    An alignment of up to ``tile`` rows is a task, in which copies are folded and bounds decide what is compared.
+    A larger one is dealt into tiles by digest, of which each two meet in a task, so a text moves as often as its
+    alignment has tiles; beyond ``most`` tiles these are blocks of similar rows, and bounds decide which meet.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    named = rows.select(alignment_key(rows, msa).alias("of"), F.col(aligned).alias("__aligned"), *([F.col(row).alias("__row")] if row else [])).withColumn("digest", row_digest(F.col("of"), F.col("__aligned")))
+    large = cut(named.groupBy("of").agg(F.count("*").alias("n")).filter(F.col("n") > tile))  # a row for each ``tile`` rows at most
+    firsts = named.groupBy("of").agg(F.min(F.struct("__row", "__aligned", "digest")).alias("f")).select("of", "f.__aligned", "f.digest") if row else None
+    several, huge = (not large.filter(c).isEmpty() for c in (F.col("n") <= most * tile, F.col("n") > most * tile))
+    known_as = ["key", "of", "side", "alone", "digest", "copies", "__aligned"]
+
+    def tiled(df: DataFrame) -> DataFrame:
+        placed = df.join(F.broadcast(large), "of", "left") if several or huge else df.withColumn("n", F.lit(None).cast("long"))
+        return placed.filter(F.coalesce("n", F.lit(0)) <= most * tile).withColumn("tiles", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
+
+    key = lambda low, high: F.concat_ws("/", "of", F.lpad(low.cast("string"), 4, "0"), F.lpad(high.cast("string"), 4, "0"))
+    own = tiled(named).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    tasks = own.select(key(low, high).alias("key"), "of", (F.col("own") > F.col("other")).cast("int").alias("side"), (low == high).alias("alone"), "digest", F.lit(1).cast("long").alias("copies"), "__aligned")
+    if row:
+        at = tiled(firsts).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tasks = tasks.unionByName(at.select(key(F.col("own"), F.col("own")).alias("key"), "of", F.lit(2).alias("side"), F.lit(True).alias("alone"), "digest", F.lit(0).cast("long").alias("copies"), "__aligned"))
+
+    def compare(part: pa.Table) -> pa.RecordBatch:
+        codes, mark = _codes(part["__aligned"], gap)
+        side, copies = part["side"].to_numpy(), part["copies"].to_numpy()
+        digests = np.frombuffer(b"".join(part["digest"].to_pylist()), dtype="V16")
+        _, first, at = np.unique(digests[side < 2], return_index=True, return_inverse=True)
+        kept = np.flatnonzero(side < 2)[first]
+        if (codes[kept] == mark).all(axis=1).any():
+            raise ValueError("an alignment row has gaps only")
+        times = np.bincount(at, weights=copies[side < 2]).astype(np.int64)
+        found = near_counts(codes[kept], times, None if part["alone"][0].as_py() else side[kept], mark, theta, block)
+        head = codes[side == 2]
+        same = (codes[kept] == head[0]).sum(axis=1) / max(codes.shape[1], 1) if len(head) else None
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part["of"][0].as_py()] * len(kept), pa.string()), pa.array([d.tobytes() for d in digests[kept]], pa.binary()), pa.array(times), pa.array(found), pa.array(same, pa.float64()) if same is not None else pa.nulls(len(kept), pa.float64())],
+            ["of", "digest", "copies", "neighbors", "similarity"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_tables(batches, "key"):
+            yield compare(part)
+
+    def counted(tasks: DataFrame) -> DataFrame:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        done = tasks.repartition(parts, "key").sortWithinPartitions("key", "digest").mapInArrow(run, "of string, digest binary, copies long, neighbors long, similarity double")
+        return done.groupBy("digest", "of").agg(F.max("copies").alias("copies"), F.sum("neighbors").alias("neighbors"), F.max("similarity").alias("similarity"))
+
+    found = counted(tasks)
+    if huge:
+        own_rows = named.join(F.broadcast(large.filter(F.col("n") > most * tile).select("of")), "of", "left_semi")
+        _, folded = folded_rows(own_rows, "of", "__aligned")
+        placed = blocked(folded, gap, tile)
+        pairs = possible_pairs(placed, theta, gap).withColumn("pair", F.monotonically_increasing_id())
+        alone = F.col("low") == F.col("high")
+        at = lambda c, k: F.struct(F.col(c).alias("block"), F.lit(k).alias("side"))
+        sides = pairs.select("no", F.concat(F.lit("pair/"), F.col("pair").cast("string")).alias("key"), alone.alias("alone"), F.explode(F.when(alone, F.array(at("low", 0))).otherwise(F.array(at("low", 0), at("high", 1)))).alias("s"))
+        names = folded.select("head", F.col("__msa.of").alias("of"))
+        meet = placed.join(names, "head").join(sides.select("no", "key", "alone", "s.block", "s.side"), ["no", "block"]).withColumn("digest", row_digest(F.col("of"), F.col("__aligned")))
+        more = counted(meet.select(*known_as))
+        if row:
+            from seqloom.operators.sampling import equal_columns
+
+            heads = firsts.select("of", F.col("__aligned").alias("__first"))
+            alike = folded.select(F.col("__msa.of").alias("of"), "__aligned").join(heads, "of")
+            alike = alike.select(row_digest(F.col("of"), F.col("__aligned")).alias("digest"), (equal_columns(F.col("__aligned"), F.col("__first")) / F.length("__first")).alias("similarity"))
+            more = more.drop("similarity").join(alike, "digest")
+        found = found.unionByName(more)
+    return found if row else found.drop("similarity")

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.bounds import BLOCK, alignment_sizes, bounded_neighbors, code_matrix, folded_rows, whole_keys
-from seqloom.plans.lineage import cut
+from seqloom.operators.bounds import BLOCK, alignment_key, alignment_sizes, bounded_neighbors, code_matrix, folded_rows, row_digest, whole_keys
+from seqloom.plans.lineage import cut, stored
 from seqloom.plans.shipping import ship_package
 
 #: A pair kernel: (rows, columns) codes of two blocks and the gap's code, to matches of all pairs.
@@ -100,10 +100,8 @@ def _pair_statistics(folded: DataFrame, theta: float, gap: str, block: int, kern
     return found.groupBy("head").agg(F.sum("neighbors").alias("neighbors"), F.sum("matches").alias("matches"), F.max("best").alias("best"))
 
 
-def _neighbors(folded: DataFrame, theta: float, gap: str, block: int, kernel: Kernel | None) -> DataFrame:
-    if kernel is None:
-        return bounded_neighbors(folded, theta, gap, block)
-    return _pair_statistics(folded, theta, gap, block, kernel).select("head", "neighbors")
+def _digested(rows: DataFrame, msa: str, aligned: str) -> DataFrame:
+    return rows.withColumn("__digest", row_digest(alignment_key(rows, msa), F.col(aligned)))
 
 
 def neighbor_counts(
@@ -114,8 +112,11 @@ def neighbor_counts(
     Without a kernel of one's own, bounds decide which blocks, rows and pairs can't be neighbours, so that
     these are never compared; with one all pairs are, since nothing is known about it.
     """
+    if kernel is None:
+        known = bounded_neighbors(rows, theta, gap, msa, aligned, block=block).select(F.col("digest").alias("__digest"), "neighbors")
+        return _digested(rows, msa, aligned).select(msa, row, "__digest").join(known, "__digest").select(msa, row, "neighbors")
     named, folded = folded_rows(rows, msa, aligned)
-    known = folded.join(_neighbors(folded, theta, gap, block, kernel), "head").select("__msa", "__aligned", "neighbors")
+    known = folded.join(_pair_statistics(folded, theta, gap, block, kernel), "head").select("__msa", "__aligned", "neighbors")
     return named.select(msa, row, "__msa", "__aligned").join(known, ["__msa", "__aligned"]).select(msa, row, "neighbors")
 
 
@@ -123,15 +124,39 @@ def weighted_rows(rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str
     """All rows with all their columns, and neighbors, n_eff, weight.
 
     Rows are joined by their alignment (null being one) and their aligned text, of which the weight
-    is a function, so no row is lost and none multiplied, whatever ids rows have.
+    is a function, so no row is lost and none multiplied, whatever ids rows have. Without a kernel they are
+    joined by a digest of both, so texts move once to be compared and not again.
     """
+    if kernel is None:
+        return _weighted(rows, theta, gap, msa, aligned, block).drop("__digest")
     named, folded = folded_rows(rows, msa, aligned)
-    counted = cut(folded.join(_neighbors(folded, theta, gap, block, kernel), "head").select("__msa", "__aligned", "copies", "neighbors"))
+    counted = cut(folded.join(_pair_statistics(folded, theta, gap, block, kernel), "head").select("__msa", "__aligned", "copies", "neighbors"))
     total = counted.groupBy("__msa").agg(F.sum(F.col("copies") / F.col("neighbors")).alias("n_eff"))
     known = counted.join(total, "__msa").select("__msa", "__aligned", "neighbors", "n_eff", (F.lit(1.0) / F.col("neighbors") / F.col("n_eff")).alias("weight"))
     return named.join(known, ["__msa", "__aligned"]).drop("__msa", "__aligned")
 
 
+def _weighted(rows: DataFrame, theta: float, gap: str, msa: str, aligned: str, block: int = BLOCK, row: str | None = None) -> DataFrame:
+    """``rows`` with neighbors, n_eff, weight and ``__digest``; with ``row`` also similarity and ``__is_first``."""
+    counted = stored(bounded_neighbors(rows, theta, gap, msa, aligned, row, block))
+    total = counted.groupBy("of").agg(F.sum(F.col("copies") / F.col("neighbors")).alias("n_eff"))
+    more = []
+    if row:
+        first = F.min(F.struct(F.col(row).alias("row"), F.col(aligned).alias("aligned"), "__digest"))
+        heads = _digested(rows, msa, aligned).withColumn("of", alignment_key(rows, msa)).groupBy("of").agg(first.alias("f"))
+        total = total.join(heads.select("of", F.col("f.row").alias("__head"), (F.col("f.__digest")).alias("__head_digest")), "of")
+        more = ["similarity", "__head", F.coalesce(F.col("digest") == F.col("__head_digest"), F.lit(False)).alias("__is_first")]
+    known = counted.join(total, "of").select(F.col("digest").alias("__digest"), "neighbors", "n_eff", (F.lit(1.0) / F.col("neighbors") / F.col("n_eff")).alias("weight"), *more)
+    found = _digested(rows, msa, aligned).join(known, "__digest")
+    return found.withColumn("__is_first", F.col("__is_first") & F.col(row).eqNullSafe(F.col("__head"))).drop("__head") if row else found
+
+
+def weighted_similar_rows(rows: DataFrame, theta: float, msa: str, row: str, aligned: str, gap: str = "-") -> DataFrame:
+    """(msa, row, aligned, weight, similarity, __is_first): weights, and likeness to each alignment's first row as
+    ``sampling.similarity_to_first`` has it, both from one comparison in tasks."""
+    return _weighted(rows.select(msa, row, aligned), theta, gap, msa, aligned, row=row).select(msa, row, aligned, "weight", "similarity", "__is_first")
+
+
 def homology_weights(
     rows: DataFrame, theta: float = 0.2, msa: str = "msa", row: str = "row_id", aligned: str = "aligned", gap: str = "-", block: int = BLOCK, kernel: Kernel | None = None,
 ) -> DataFrame:

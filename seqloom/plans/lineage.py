@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and return it read back from compressed columns in the checkpoint folder.
+
+    For rows with texts: they take a fraction of a checkpoint's room, and what is read later is the columns used.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -1,7 +1,12 @@
 """What grows with the input stays out of joins, checkpoints and workers' memory."""
 
+import pytest
+from pyspark.sql import functions as F
+from test_homology import by_pairs, clustered
+
+from seqloom.operators import bounds
 from seqloom.operators import training as T
-from seqloom.plans import catalog
+from seqloom.plans import catalog, file_queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -21,3 +26,27 @@ def test_references_bring_the_token_referred_to(spark):
     decoder = spark.createDataFrame([(1, 0, 3, 0), (1, 1, 1, None)], "batch_id long, segment long, length int, query_segment long")
     found = T.query_refs(encoder, decoder, value=True).orderBy("y_pos").collect()
     assert [tuple(r) for r in found] == [(1, 0, 0, True, 5), (1, 1, 1, False, 24), (1, 2, -100, False, None), (1, 3, -100, False, None)]
+
+
+@pytest.mark.parametrize("tile, most", [(1 << 16, 8), (40, 8), (10, 4)])
+def test_tiles_and_blocks_of_large_alignments_equal_all_pairs(spark, tile, most):
+    rows = clustered(6, 14, 40) + [("n", 1000 + k, a) for k, (_, _, a) in enumerate(clustered(1, 20, 33, seed=2))]
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "msa string, row_id long, aligned string")
+    found = bounds.bounded_neighbors(df, 0.2, "-", "msa", "aligned", "row_id", block=8, tile=tile, most=most)
+    keyed = df.withColumn("digest", bounds.row_digest(bounds.alignment_key(df, "msa"), F.col("aligned"))).join(found, "digest").collect()
+    assert sorted((r["row_id"], r["neighbors"]) for r in keyed) == by_pairs([*rows, rows[0], rows[0]], 0.2)
+    first = {m: min((k, a) for n, k, a in rows if n == m)[1] for m in "mn"}
+    assert all(abs(r["similarity"] - sum(x == y for x, y in zip(r["aligned"], first[r["msa"]], strict=True)) / len(r["aligned"])) < 1e-9 for r in keyed)
+
+
+@pytest.mark.parametrize("name", ["neighbor_counts", "homology_weights", "sample_msa", "sample_context"])
+def test_texts_of_alignments_are_checkpointed_nowhere(spark, name, monkeypatch):
+    kept = []
+    monkeypatch.setattr(bounds, "cut", lambda df, f=bounds.cut: (kept.append(df.columns), f(df))[1])
+    catalog.QUERIES[name](spark, SMALL)
+    assert kept and not any("__aligned" in columns or "aligned" in columns for columns in kept)
+
+
+def test_structures_of_more_residues_than_a_file_can_number(spark):
+    whole, split = (sorted(map(tuple, frame.collect())) for frame in (file_queries.pdb_source(spark, SMALL), file_queries.pdb_source(spark, SMALL, 21)))
+    assert whole == split and len({r[1] for r in split}) > 21
