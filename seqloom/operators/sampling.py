@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions.columns import uniform
 from seqloom.functions.sequences import stable_seed, unalign
-from seqloom.operators.homology import Kernel, weighted_rows
+from seqloom.operators.bounds import alignment_key, whole_tables
+from seqloom.operators.homology import Kernel, weighted_rows, weighted_similar_rows
 from seqloom.operators.spread import RANGE_ROWS, group_key, in_ranges, numbered, running
-from seqloom.plans.lineage import cut
+from seqloom.plans.lineage import cut, stored
 from seqloom.plans.shipping import ship_package
 
 #: Ranges that a draw looks through at a time.
@@ -99,21 +103,33 @@ def sample_msa(
     ``kernel`` counts the matches of pairs for the weights, see ``homology_weights``.
 
     Every row stays a row: null alignments are one alignment, row ids may be of any type that sorts,
-    null, or repeated; rows with one id go by their text.
+    null, or repeated; rows with one id go by their text, or by its hash where they are weighted.
     """
     if method not in ("top", "random", "weighted"):
         raise ValueError(f"unknown method {method}")
     table = rows.select(msa, row, aligned)
+    tie = [F.col(row), F.col(aligned)]
     if method == "weighted":
-        table = weighted_rows(table, theta, msa=msa, aligned=aligned, kernel=kernel)
-    table = similarity_to_first(table, msa, row, aligned, "__is_first")
+        # stored, since places in the order are sampled first; the text of a row is read only where it is asked for
+        table = stored(_weights_and_similarity(table, theta, msa, row, aligned, kernel).withColumn("__tie", F.xxhash64(aligned)))
+        tie = [F.col(row), F.col("__tie")]
+    else:
+        table = similarity_to_first(table, msa, row, aligned, "__is_first")
     near = (F.col("similarity") <= max_similarity) & (1 - F.col("similarity") <= max_dissimilarity)
     kept = table.filter(near | F.col("__is_first")) if force_include_first else table.filter(near)
     if method == "top":
         return numbered(kept, [msa], [F.col(row), F.col(aligned)]).select(msa, row, aligned, "ord")
     key = weighted_key(seed, F.col(row), F.col("weight")) if method == "weighted" else random_key(seed, F.col(row))
     first = F.when(F.col("__is_first"), F.lit(-1.0)).otherwise(key) if force_include_first else key  # keys are positive
-    return numbered(kept, [msa], [first, F.col(row), F.col(aligned)]).select(msa, row, aligned, "ord")
+    return numbered(kept, [msa], [first, *tie]).select(msa, row, aligned, "ord")
+
+
+def _weights_and_similarity(rows: DataFrame, theta: float, msa: str, row: str, aligned: str, kernel: Kernel | None) -> DataFrame:
+    """(msa, row, aligned, weight, similarity, __is_first)."""
+    if kernel is None:
+        return weighted_similar_rows(rows, theta, msa, row, aligned)
+    found = similarity_to_first(weighted_rows(rows, theta, msa=msa, aligned=aligned, kernel=kernel), msa, row, aligned, "__is_first")
+    return found.select(msa, row, aligned, "weight", "similarity", "__is_first")
 
 
 def token_budget(df: DataFrame, by: list[str], order: list[Column], length: Column, max_tokens: Column | int) -> DataFrame:
@@ -179,16 +195,17 @@ def sample_context(
 ) -> DataFrame:
     """The context of every alignment at every grid point: (msa, grid ord, row, sequence, ord).
 
-    Weights and similarities are computed once for all grid points and stored; the grid is joined to
+    Weights and similarities are computed once for all grid points, and rows within some budget stored; the grid is joined to
     lengths and keys alone, and the sequences of rows within the budget are joined last. Weighted order,
     then without the query where it is masked, then the token budget over the unaligned sequences,
     then a final shuffle. ``kernel``, null alignments and repeated row ids: as in ``sample_msa``.
     """
-    weighted = similarity_to_first(weighted_rows(rows.select(msa, row, aligned), theta, msa=msa, aligned=aligned, kernel=kernel), msa, row, aligned, "__query")
-    base = cut(
-        weighted.select(F.monotonically_increasing_id().alias("__id"), msa, row, "similarity", "weight", "__query", F.xxhash64(aligned).alias("__tie"), unalign(F.col(aligned)).alias("sequence"))
+    weighted = _weights_and_similarity(rows.select(msa, row, aligned), theta, msa, row, aligned, kernel)
+    base = (
+        weighted.select(F.monotonically_increasing_id().alias("__id"), msa, row, "similarity", "weight", F.col("__is_first").alias("__query"), F.xxhash64(aligned).alias("__tie"), unalign(F.col(aligned)).alias("sequence"))
         .withColumn("__length", F.length("sequence"))
     )
+    base = stored(_within_budget(base, grid, seed, msa, row))
     points = grid.select(F.col("ord").alias("grid_ord"), "max_tokens", "max_similarity", "inverse_folding", (F.lit(seed) + F.col("seed_offset")).alias("__seed"))
     table = base.drop("sequence").crossJoin(F.broadcast(points))  # the grid is a few parameter rows
     # the query leads where folding is inverted, and is dropped there right after
@@ -199,6 +216,36 @@ def sample_context(
     return placed.join(base.select("__id", msa, row, "sequence"), "__id").select(msa, "grid_ord", row, "sequence", "ord")
 
 
+def _within_budget(base: DataFrame, grid: DataFrame, seed: int, msa: str, row: str) -> DataFrame:
+    """Rows that may be within the budget of a grid point, going by the rows of their own partition.
+
+    What goes before a row in its partition also goes before it in its group, so a row beyond the budget there is
+    beyond it at all. Most rows of large alignments drop out before they are stored, multiplied by the grid, and moved.
+    """
+    plain = grid.select("max_tokens", "max_similarity", "inverse_folding", (F.lit(seed) + F.col("seed_offset")).alias("s")).distinct()
+    points = [tuple(r) for r in plain.collect()]  # parameters
+    seeds = sorted({p[3] for p in points})
+    keyed = base.withColumns({f"__k{i}": weighted_key(F.lit(s).cast("long"), F.col(row), F.col("weight")) for i, s in enumerate(seeds)}).withColumn("__of", alignment_key(base, msa))
+    out = base.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_tables(batches, "__of"):
+            similar, query, length = (part[c].to_numpy() for c in ("similarity", "__query", "__length"))
+            keep = np.zeros(part.num_rows, bool)
+            for tokens, most, inverse, s in points:
+                key = part[f"__k{seeds.index(s)}"].to_numpy()
+                order = np.argsort(key, kind="stable")
+                taken = ((similar <= most) & ~(query & inverse))[order]
+                need = np.where(taken, length[order] + 2, 0)
+                # rows of one key may go in any order here, so they count as if each were the first of them
+                first = np.searchsorted(key[order], key[order], side="left")
+                before = np.concatenate(([0], np.cumsum(need)))[first]
+                keep[order[taken & (before <= tokens)]] = True
+            yield from part.filter(pa.array(keep)).select(out.names).to_batches()
+
+    return keyed.sortWithinPartitions("__of").mapInArrow(run, out)
+
+
 def weighted_draws(records: DataFrame, k: int, seed: int = 0, by: str = "seed", item: str = "member", weight: str = "probability", range_rows: int = RANGE_ROWS) -> DataFrame:
     """k draws with replacement from each group by weight: (by, draw, item).
 
