@@ -12,9 +12,10 @@ from seqloom.functions import sequences as S
 from seqloom.operators import clusters as C
 from seqloom.operators import scoring
 from seqloom.operators import structures as R
+from seqloom.operators.spread import numbered
 from seqloom.plans.cluster_queries import _RECORDS_SQL, _hierarchy
 from seqloom.plans.lineage import checkpoint_folder
-from seqloom.plans.views import POINTS_SQL, points, spread_out, table
+from seqloom.plans.views import POINTS_SQL, points, points_of, spread_out, table
 from seqloom.sources import fasta, sinks, splits, structures, tables
 
 
@@ -103,21 +104,30 @@ def chains_file(spark: SparkSession, d: str) -> DataFrame:
 CHAINS_SQL = "SELECT p_partkey::VARCHAR AS protein, substr(p_brand, 7, 2) AS chain FROM part"
 
 
-def pdb_source(spark: SparkSession, d: str) -> DataFrame:
-    """A structure of each label: its residues' backbones, and a second model that isn't read."""
-    rows = points(spark, d).withColumn("label", F.col("chain") % 10)
-    number = F.row_number().over(Window.partitionBy("label").orderBy("chain", "pos"))
-    atoms = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f"{a:<2}").alias("atom"), F.col(a.lower()).alias("p")) for k, a in enumerate(R.BACKBONE)]))
-    each = rows.withColumn("number", number).select("label", "number", "plddt", atoms.alias("a")).select("label", "number", "plddt", "a.*")
-    place = lambda c: F.floor(F.col(f"p.{c}") * 1000) / 1000.0
-    line = F.format_string("ATOM  %5d  %-3s GLY A%4d    %8.3f%8.3f%8.3f  1.00%6.2f", F.col("number") % 100_000, "atom", "number", place("x"), place("y"), place("z"), "plddt")
-    second = rows.select("label").distinct().select("label", F.lit(1 << 30).alias("number"), F.lit(0).alias("k"), F.lit("MODEL        2\nATOM      1  N   GLY A   1       0.000   0.000   0.000  1.00  0.00").alias("value"))
+#: Residues of a PDB file: its columns number no more, so larger structures are several files.
+PDB_RESIDUES = 9996
+
+
+def pdb_source(spark: SparkSession, d: str, residues: int = PDB_RESIDUES) -> DataFrame:
+    """A structure of each label, in files of as many residues as they can number: their backbones, and a second model that isn't read.
+
+    Embeddings are numbered and dealt before residues and lines are made of them, seven residues each.
+    """
+    each = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 63).alias("embedding"), (F.col("vec_id") % 10).alias("label"))
+    placed = numbered(each, ["label"], [F.col("vec_id")]).withColumn("part", F.floor(F.col("ord") * 7 / residues))
+    dealt = placed.repartition("label", "part").sortWithinPartitions("label", "part", "ord")
+    rows = points_of(dealt, "label", "part", "ord").withColumn("number", (F.col("ord") * 7 + F.col("pos") + 1 - F.col("part") * residues).cast("int"))
+    place = lambda p, c: F.floor(F.col(f"{p}.{c}") * 1000) / 1000.0
+    line = lambda a: F.format_string("ATOM  %5d  %-3s GLY A%4d    %8.3f%8.3f%8.3f  1.00%6.2f", "number", F.lit(f"{a:<2}"), "number", *[place(a.lower(), c) for c in "xyz"], "plddt")
+    last = (F.col("number") == residues) | ((F.col("pos") == 6) & F.lead("ord").over(Window.partitionBy("label", "part").orderBy("ord", "pos")).isNull())
+    second = F.lit("MODEL        2\nATOM      1  N   GLY A   1       0.000   0.000   0.000  1.00  0.00")
+    lines = rows.select("label", "part", F.concat_ws("\n", *[line(a) for a in R.BACKBONE], F.when(last, second)).alias("value"))
     folder = _folder(spark, "pdb")
-    lines = each.select("label", "number", "k", line.alias("value")).unionByName(second)
-    lines.repartition("label").sortWithinPartitions("label", "number", "k").select("label", "value").write.partitionBy("label").text(folder)
+    lines.write.partitionBy("label", "part").option("compression", "gzip").text(folder)
     splits.register(spark)
     atoms = spark.read.format("pdb").load(folder).filter("atom = 'CA'")
-    return atoms.select(F.regexp_extract("file", "label=([0-9]+)", 1).alias("label"), "res_num", "atom", "x", "y", "z", "b_iso", "model")
+    number = F.col("res_num") + F.regexp_extract("file", "part=([0-9]+)", 1).cast("int") * residues
+    return atoms.select(F.regexp_extract("file", "label=([0-9]+)", 1).alias("label"), number.alias("res_num"), "atom", "x", "y", "z", "b_iso", "model")
 
 
 PDB_SQL = f"""WITH {POINTS_SQL}

@@ -46,10 +46,15 @@ aln AS (SELECT source || '/' || k AS msa, doc_id AS row_id, rpad(substr(t, k * {
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chain, pos, n, ca, c, plddt): 7 residues of 9 numbers from each embedding, times 100."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("pos"))
+    return points_of(table(spark, sf_dir, "embeddings"))
+
+
+def points_of(embeddings: DataFrame, *more: str) -> DataFrame:
+    """The same of some embeddings, with ``more`` of their columns."""
+    e = embeddings.select("vec_id", "embedding", *more, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("pos"))
     at = lambda k: F.get("embedding", (F.col("pos") * 9 + k).cast("int")).cast("double") * 100
     return e.select(
-        F.col("vec_id").alias("chain"), "pos",
+        F.col("vec_id").alias("chain"), "pos", *more,
         *[point(at(3 * k), at(3 * k + 1), at(3 * k + 2)).alias(name) for k, name in enumerate(("n", "ca", "c"))],
         ((F.col("vec_id") * 7 + F.col("pos") * 13) % 101).cast("double").alias("plddt"),
     )
