@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,31 @@ def encode(text: Column, alphabet: Alphabet = MAIN) -> Column:
     return encode_points(code_points(text), alphabet)
 
 
+def _table(alphabet: Alphabet) -> np.ndarray:
+    """Tokens by code point, the last place standing for all others."""
+    table = np.full(max(map(ord, alphabet.chars)) + 2, alphabet.missing, dtype=np.int32)
+    table[[ord(c) for c in alphabet.chars]] = alphabet.ids
+    return table
+
+
+def encode_each(text: Column, alphabets: dict[str, Alphabet]) -> Column:
+    """A struct of the tokens of a string by several alphabets, by name; the same tokens as ``encode`` has.
+
+    Batches are looked up whole, by Arrow; long columns take a small part of the time of ``encode``.
+    """
+    tables = {name: _table(a) for name, a in alphabets.items()}
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = texts.to_pylist()
+        points = np.frombuffer("".join(r or "" for r in rows).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        ends = pa.array(np.cumsum([0, *(len(r or "") for r in rows)]), pa.int32())
+        none = pa.array([r is None for r in rows], pa.bool_())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(t[np.minimum(points, len(t) - 1)]), mask=none) for t in tables.values()]
+        return pa.StructArray.from_arrays(lists, list(tables))
+
+    return F.arrow_udf(run, ", ".join(f"{name} array<int>" for name in tables))(text)
+
+
 def decode(tokens: Column, alphabet: Alphabet = MAIN) -> Column:
     """The string of an array of tokens; a token that is no place in the table gives nothing."""
     letters = lit_array(alphabet.letters, "string")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import udtf
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from seqloom.operators.structures import first_model_chain
@@ -42,93 +45,112 @@ def read_pdb_atoms(spark: SparkSession, path: str | list[str], first_only: bool
     return first_model_chain(atoms) if first_only else atoms
 
 
-def _tables(text: str) -> dict[str, list[dict[str, str]]]:
-    """Category tables of a dictionary-style file: loops, and single values as one row."""
-    out: dict[str, list[dict[str, str]]] = {}
-    names: list[str] = []
-    values: list[str] = []
-    looping = False
+_TOKEN = re.compile(r"""'((?:[^']|'(?=\S))*)'(?=\s|$)|"((?:[^"]|"(?=\S))*)"(?=\s|$)|(#.*)|(\S+)""")
 
-    def close() -> None:
-        if looping and names:
-            category = names[0].split(".")[0]
-            keys = [n.split(".", 1)[1] for n in names]
-            out.setdefault(category, []).extend(dict(zip(keys, values[i : i + len(keys)], strict=False)) for i in range(0, len(values), len(keys)))
 
-    token = re.compile(r"""'((?:[^']|'(?=\S))*)'(?=\s|$)|"((?:[^"]|"(?=\S))*)"(?=\s|$)|(#.*)|(\S+)""")
-    pending: str | None = None
+def _words(text: str) -> Iterator[tuple[str, bool]]:
+    """(word, quoted) of a dictionary-style file, line by line."""
     block: list[str] | None = None
-    for line in text.splitlines():
+    for raw in io.StringIO(text, newline=None):
+        line = raw.rstrip("\n")
         if block is not None:
             if line.startswith(";"):
-                words, block = [("\n".join(block), True)], None
+                yield "\n".join(block), True
+                block = None
             else:
                 block.append(line)
-                continue
         elif line.startswith(";"):
             block = [line[1:]]
-            continue
         else:
-            words = [(m[1] or m[2] or m[4] or "", m[4] is None) for m in token.finditer(line) if m[3] is None]
-        for word, quoted in words:
-            if not quoted and word == "loop_":
-                close()
-                names, values, looping, pending = [], [], True, None
-            elif not quoted and word.startswith("_") and not (looping and values):
-                if looping:
-                    names.append(word)
-                else:
-                    pending = word
-            elif not quoted and (word.startswith("_") or word.startswith("data_")):
-                close()
-                names, values, looping, pending = [], [], False, word if word.startswith("_") else None
-            elif pending:
-                category, key = pending.split(".", 1)
-                (out.setdefault(category, [{}]))[0][key] = word
-                pending = None
-            else:
-                values.append(word)
-    close()
-    return out
+            for m in _TOKEN.finditer(line):
+                if m[3] is None:
+                    yield m[1] or m[2] or m[4] or "", m[4] is None
 
 
-def _struct(names: tuple[str, ...]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
+def _table_rows(text: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """(category, row) of a dictionary-style file as they come: rows of loops one by one, single values of a
+    category as one row at its end. No more than a row of a loop is held."""
+    singles: dict[str, dict[str, str]] = {}
+    names: list[str] = []
+    values: list[str] = []
+    looping = filled = False
+    pending: str | None = None
 
-class CifTables:
-    """Table function: the rows of the categories asked for of each structure file, all from one parse of it.
+    def row() -> tuple[str, dict[str, str]]:
+        return names[0].split(".")[0], dict(zip([n.split(".", 1)[1] for n in names], values, strict=False))
+
+    for word, quoted in _words(text):
+        if not quoted and word == "loop_":
+            if values and names and looping:
+                yield row()
+            names, values, looping, filled, pending = [], [], True, False, None
+        elif not quoted and word.startswith("_") and not (looping and filled):
+            if looping:
+                names.append(word)
+            else:
+                pending = word
+        elif not quoted and (word.startswith("_") or word.startswith("data_")):
+            if values and names and looping:
+                yield row()
+            names, values, looping, filled, pending = [], [], False, False, word if word.startswith("_") else None
+        elif pending:
+            category, key = pending.split(".", 1)
+            singles.setdefault(category, {})[key] = word
+            pending = None
+        elif looping and names:
+            values.append(word)
+            filled = True
+            if len(values) == len(names):
+                yield row()
+                values = []
+        else:
+            filled = True
+    if values and names and looping:
+        yield row()
+    yield from singles.items()
 
-    Called on a table of (structure_id, value) and a literal, ``scheme``, ``sites`` or both with a comma. Its schema
-    follows the literal: (structure_id, ord, and a struct for each category, one of them filled).
-    """
 
-    CATEGORIES = {"scheme": ("_pdbx_poly_seq_scheme", _SCHEME), "sites": ("_atom_site", _SITE)}
+def _struct(names: tuple[str, ...]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
-    @staticmethod
-    def analyze(files: AnalyzeArgument, wanted: AnalyzeArgument) -> AnalyzeResult:
-        names = str(wanted.value).split(",")
-        if not files.isTable or set(names) - set(CifTables.CATEGORIES):
-            raise ValueError(f"a table of files and some of {sorted(CifTables.CATEGORIES)}")
-        own = [T.StructField("structure_id", T.StringType()), T.StructField("ord", T.LongType())]
-        return AnalyzeResult(T.StructType(own + [T.StructField(n, _struct(CifTables.CATEGORIES[n][1])) for n in names]))
 
-    def eval(self, files, wanted: str):
-        tables = _tables(files["value"] or "")
-        names = wanted.split(",")
-        for name in names:
-            category, columns = self.CATEGORIES[name]
-            for k, row in enumerate(tables.get(category, [])):
-                yield (files["structure_id"], k, *(tuple(row.get(c) for c in columns) if n == name else None for n in names))
+#: The categories that can be asked for, and their columns.
+CATEGORIES = {"scheme": ("_pdbx_poly_seq_scheme", _SCHEME), "sites": ("_atom_site", _SITE)}
+#: Rows of a batch.
+BATCH = 4096
 
 
 def cif_rows(spark: SparkSession, path: str | list[str], wanted: str = "scheme,sites") -> DataFrame:
-    """(structure_id, ord, and a struct for each of ``wanted``) of structure files, files in parallel, each parsed once."""
+    """(structure_id, ord, and a struct for each of ``wanted``, one of them filled) of structure files, files in
+    parallel, each parsed once. Rows leave a task as they are parsed, so it holds a file's text and a batch."""
+    names = wanted.split(",")
+    if set(names) - set(CATEGORIES):
+        raise ValueError(f"some of {sorted(CATEGORIES)}")
     ship_package(spark)
     files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)[^/]*$", 1).alias("structure_id"), "value"
     )
-    return udtf(CifTables)(files.asTable(), F.lit(wanted))
+    own = [T.StructField("structure_id", T.StringType()), T.StructField("ord", T.LongType())]
+    schema = T.StructType(own + [T.StructField(n, _struct(CATEGORIES[n][1])) for n in names])
+    arrow = to_arrow_schema(schema)
+    of = {CATEGORIES[n][0]: n for n in names}
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                seen = dict.fromkeys(names, 0)
+                structure = batch.column(0)[k].as_py()
+                for category, row in _table_rows(batch.column(1)[k].as_py() or ""):
+                    if name := of.get(category):
+                        yield {"structure_id": structure, "ord": seen[name], name: {c: row.get(c) for c in CATEGORIES[name][1]}}
+                        seen[name] += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = parsed(batches)
+        while some := list(itertools.islice(rows, BATCH)):
+            yield pa.RecordBatch.from_pylist(some, arrow)
+
+    return files.mapInArrow(run, schema)
 
 
 def read_mmcif_tables(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_homology import by_pairs, clustered
 
-from seqloom.operators import bounds
+from seqloom.functions import alphabets as A
+from seqloom.operators import bounds, scoring
 from seqloom.operators import training as T
 from seqloom.plans import catalog, file_queries
+from seqloom.sources import structures
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -50,3 +52,27 @@ def test_texts_of_alignments_are_checkpointed_nowhere(spark, name, monkeypatch):
 def test_structures_of_more_residues_than_a_file_can_number(spark):
     whole, split = (sorted(map(tuple, frame.collect())) for frame in (file_queries.pdb_source(spark, SMALL), file_queries.pdb_source(spark, SMALL, 21)))
     assert whole == split and len({r[1] for r in split}) > 21
+
+
+def test_rows_of_a_structure_file_come_as_they_are_parsed():
+    """The first rows are there before what follows them is looked at."""
+    text = "data_x\nloop_\n_a.k\n_a.v\n" + "1 'x y'\n" * 50_000 + "#\n_b.k 7\n"
+    rows = structures._table_rows(text)
+    assert next(rows) == ("_a", {"k": "1", "v": "x y"})
+    assert rows.gi_frame.f_locals["values"] == ["1", "x y"]  # the row just given, no other
+    assert sum(1 for _ in rows) == 50_000  # the others, and the single value's row
+
+
+def test_a_scorer_sees_slices_of_a_batch_only(spark):
+    """No more rows than a slice become Python objects; null scores and other columns stay."""
+    df = spark.range(1000).selectExpr("id", "repeat('A', 10) AS s", "array(id) AS more").coalesce(1)
+    found = scoring.score_with(df, lambda rows: rows["id"].where(rows["id"] % 2 == 0) + 0 * len(rows), batch=64)
+    assert "MapInArrow" in plan_of(found) and found.filter("logp IS NULL").count() == 500 and found.filter("more[0] = id AND logp = id").count() == 500
+
+
+def test_several_alphabets_at_once_equal_each(spark):
+    df = spark.createDataFrame([("ARND-X\U0001f642é~",), ("",), (None,)], "s string")
+    for alphabet in (A.MAIN, A.DNA, A.REDUCED, A.twenty_one(gap=True)):
+        both = df.select(A.encode_each(F.col("s"), {"a": alphabet})["a"].alias("a"), A.encode(F.col("s"), alphabet).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in both)
+    assert "ArrowEvalPython" in plan_of(catalog.QUERIES["encode_tokens"](spark, SMALL))
