@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -188,18 +189,19 @@ def score_with(df: DataFrame, score: Callable[[pd.DataFrame], pd.Series], out: s
     ship_package(df.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` float"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             at = 0
-            while at < len(rows):
+            while at < rows.num_rows:
                 size = batch
                 if length is not None:
-                    longest = np.maximum.accumulate(rows[length].iloc[at : at + batch].fillna(0).to_numpy())
+                    longest = np.maximum.accumulate(rows[length].slice(at, batch).to_pandas().fillna(0).to_numpy())
                     size = max(1, int((longest * np.arange(1, len(longest) + 1) <= tokens).sum()))
-                part = rows.iloc[at : at + size].copy()
-                part[out] = pd.Series(score(part)).to_numpy(dtype="float32")
-                yield part
+                part = rows.slice(at, size)
+                # only this slice becomes Python objects, and its columns go on as they came
+                values = pd.Series(score(part.to_pandas())).to_numpy(dtype="float32")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float32(), from_pandas=True)], names=[*rows.schema.names, out])
                 at += size
 
     dealt = df if length is None else df.repartitionByRange(length).sortWithinPartitions(length)
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)
