@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,22 +88,38 @@ def _table(alphabet: Alphabet) -> np.ndarray:
     return table
 
 
-def encode_each(text: Column, alphabets: dict[str, Alphabet]) -> Column:
+def encode_each(text: Column, alphabets: dict[str, Alphabet], joined: str | None = None) -> Column:
     """A struct of the tokens of a string by several alphabets, by name; the same tokens as ``encode`` has.
 
-    Batches are looked up whole, by Arrow; long columns take a small part of the time of ``encode``.
+    Batches are looked up whole, by Arrow; long columns take a small part of the time of ``encode``. With ``joined``
+    tokens are texts, with that between them, as ``array_join`` has them.
     """
-    tables = {name: _table(a) for name, a in alphabets.items()}
+    return _looked_up(text, {name: (_table(a), None if joined is None else [str(k) for k in range(max(a.missing, *a.ids) + 1)]) for name, a in alphabets.items()}, joined)
 
+
+def recode(text: Column, alphabet: Alphabet = MAIN) -> Column:
+    """What ``decode`` makes of ``encode``'s tokens, by Arrow."""
+    letters = [*alphabet.letters, *[""] * (max(alphabet.missing, *alphabet.ids) + 1 - len(alphabet.letters))]
+    return _looked_up(text, {"text": (_table(alphabet), letters)}, "")["text"]
+
+
+def _looked_up(text: Column, tables: dict[str, tuple[np.ndarray, list[str] | None]], joined: str | None) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         points = np.frombuffer("".join(r or "" for r in rows).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         ends = pa.array(np.cumsum([0, *(len(r or "") for r in rows)]), pa.int32())
         none = pa.array([r is None for r in rows], pa.bool_())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(t[np.minimum(points, len(t) - 1)]), mask=none) for t in tables.values()]
-        return pa.StructArray.from_arrays(lists, list(tables))
-
-    return F.arrow_udf(run, ", ".join(f"{name} array<int>" for name in tables))(text)
+        found = []
+        for table, names in tables.values():
+            tokens = pa.array(table[np.minimum(points, len(table) - 1)])
+            if names is None:
+                found.append(pa.ListArray.from_arrays(ends, tokens, mask=none))
+            else:
+                found.append(pc.binary_join(pa.ListArray.from_arrays(ends, pc.take(pa.array(names, pa.string()), tokens), mask=none), joined))
+        return pa.StructArray.from_arrays(found, list(tables))
+
+    kinds = {name: "array<int>" if names is None else "string" for name, (_, names) in tables.items()}
+    return F.arrow_udf(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))(text)
 
 
 def decode(tokens: Column, alphabet: Alphabet = MAIN) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import alphabets as A
 from seqloom.functions import sequences as S
+from seqloom.plans.shipping import ship_package
 from seqloom.plans.views import ALN_SQL, aln, table
 from seqloom.sources.fasta import parse_fasta
 from seqloom.sources.tables import fetch_manifest
@@ -55,9 +56,11 @@ def _joined(tokens) -> F.Column:
 
 def encode_tokens(spark: SparkSession, d: str) -> DataFrame:
     tokens = {"main": A.MAIN, "structural": A.STRUCTURAL, "reduced": A.REDUCED, "dna": A.DNA, "secondary": A.SECONDARY, "twenty_one": A.twenty_one(gap=True)}
-    split = aln(spark, d).select("msa", "row_id", A.code_points(F.col("aligned")).alias("points"))
-    coded = split.select("msa", "row_id", *[A.encode_points(F.col("points"), a).alias(n) for n, a in tokens.items()])
-    return coded.select("msa", "row_id", *[_joined(F.col(n)).alias(n) for n in tokens], _joined(A.append_startstop(F.col("main"))).alias("framed"), A.decode(F.col("main")).alias("decoded"))
+    ship_package(spark)
+    coded = aln(spark, d).select("msa", "row_id", A.encode_each(F.col("aligned"), tokens, " ").alias("t"), A.recode(F.col("aligned")).alias("decoded"))
+    framed = F.concat_ws(" ", F.lit(str(A.MAIN.start)), "t.main", F.lit(str(A.MAIN.stop)))
+    return coded.select("msa", "row_id", "t.*", framed.alias("framed"), "decoded")
+
 
 
 def _encode_sql(chars: str, missing: int, ids: tuple[int, ...] | None = None) -> str:

@@ -34,9 +34,10 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
     docs = spread_out(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select("source", "doc_id", letters.alias("t")).filter("t <> ''")
-    each = docs.select("source", "doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / WIDTH))).alias("k"))
-    window = F.substr("t", (F.col("k") * WIDTH + 1).cast("int"), F.lit(WIDTH))
-    return each.select(F.concat_ws("/", "source", F.col("k").cast("string")).alias("msa"), F.col("doc_id").alias("row_id"), F.rpad(window, WIDTH, "-").alias("aligned"))
+    # all windows at once: a text repeated for each of its windows, and cut from its start each time, costs its square
+    each = docs.select("source", "doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(f".{{1,{WIDTH}}}"), F.lit(0))).alias("k", "window"))
+    return each.select(F.concat_ws("/", "source", F.col("k").cast("string")).alias("msa"), F.col("doc_id").alias("row_id"), F.rpad("window", WIDTH, "-").alias("aligned"))
+
 
 
 ALN_SQL = f"""txt AS (SELECT source, doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM documents),

@@ -75,4 +75,8 @@ def test_several_alphabets_at_once_equal_each(spark):
     for alphabet in (A.MAIN, A.DNA, A.REDUCED, A.twenty_one(gap=True)):
         both = df.select(A.encode_each(F.col("s"), {"a": alphabet})["a"].alias("a"), A.encode(F.col("s"), alphabet).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in both)
+        texts = df.select(A.encode_each(F.col("s"), {"a": alphabet}, " ")["a"].alias("a"), F.array_join(A.encode(F.col("s"), alphabet).cast("array<string>"), " ").alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in texts)
+        again = df.select(A.recode(F.col("s"), alphabet).alias("a"), A.decode(A.encode(F.col("s"), alphabet), alphabet).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in again)
     assert "ArrowEvalPython" in plan_of(catalog.QUERIES["encode_tokens"](spark, SMALL))
