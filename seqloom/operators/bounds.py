@@ -361,7 +361,7 @@ def row_digest(of: Column, aligned: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.concat_ws("\n", of, aligned), 256)), 1, 16)
 
 
-def _codes(texts: pa.ChunkedArray, gap: str) -> tuple[np.ndarray, int]:
+def row_codes(texts: pa.ChunkedArray, gap: str) -> tuple[np.ndarray, int]:
     """As ``code_matrix``; ASCII texts are their own codes."""
     column = pa.concat_arrays([c.cast(pa.large_string()) for c in texts.chunks])
     ends = np.frombuffer(column.buffers()[1], dtype="<i8")[column.offset : column.offset + len(column) + 1]
@@ -497,7 +497,7 @@ def bounded_neighbors(
         tasks = tasks.unionByName(at.select(key(F.col("own"), F.col("own")).alias("key"), "of", F.lit(2).alias("side"), F.lit(True).alias("alone"), "digest", F.lit(0).cast("long").alias("copies"), "__aligned"))
 
     def compare(part: pa.Table) -> pa.RecordBatch:
-        codes, mark = _codes(part["__aligned"], gap)
+        codes, mark = row_codes(part["__aligned"], gap)
         side, copies = part["side"].to_numpy(), part["copies"].to_numpy()
         digests = np.frombuffer(b"".join(part["digest"].to_pylist()), dtype="V16")
         _, first, at = np.unique(digests[side < 2], return_index=True, return_inverse=True)

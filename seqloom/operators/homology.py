@@ -6,34 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.bounds import BLOCK, alignment_key, alignment_sizes, bounded_neighbors, code_matrix, folded_rows, row_digest, whole_keys
+from seqloom.operators.bounds import BLOCK, TILE_ROWS, alignment_key, alignment_sizes, bounded_neighbors, code_matrix, folded_rows, row_codes, row_digest, whole_keys, whole_tables
+from seqloom.operators.pair_counts import pair_matches, pair_totals
 from seqloom.plans.lineage import cut, stored
 from seqloom.plans.shipping import ship_package
 
 #: A pair kernel: (rows, columns) codes of two blocks and the gap's code, to matches of all pairs.
 Kernel = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
-
-
-def pair_matches(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
-    """Equal columns, gaps never counting, of all pairs of rows of two code matrices.
-
-    One side's gaps become a code that no row has. Columns add up in bytes, as many as a byte can
-    count, and these sums in 32 bits.
-    """
-    free = np.iinfo(a.dtype).max
-    left, right = np.ascontiguousarray(np.where(a == gap, free, a).T), np.ascontiguousarray(b.T)
-    out = np.zeros((len(a), len(b)), dtype=np.int32)
-    same = np.empty(out.shape, dtype=bool)
-    for start in range(0, len(left), 255):
-        some = np.zeros(out.shape, dtype=np.uint8)
-        for x, y in zip(left[start : start + 255], right[start : start + 255], strict=True):
-            np.equal(x[:, None], y[None, :], out=same)
-            some += same.view(np.uint8)
-        out += some
-    return out
+#: Letters and gaps that one side of a task holds, where rows are too wide for as many as a tile has.
+TILE_CELLS = 1 << 24
 
 
 def match_expression(a: F.Column, b: F.Column, gap: str = "-") -> F.Column:
@@ -43,27 +28,62 @@ def match_expression(a: F.Column, b: F.Column, gap: str = "-") -> F.Column:
 
 
 def row_statistics(
-    rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str = "msa", row: str = "row_id", aligned: str = "aligned", block: int = BLOCK, kernel: Kernel = pair_matches,
+    rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str = "msa", row: str = "row_id", aligned: str = "aligned", block: int = BLOCK, kernel: Kernel | None = None,
+    tile: int = TILE_ROWS,
 ) -> DataFrame:
     """For each row of each alignment, over all its pairs (itself included):
     (msa, row, neighbors, matches, best_other).
 
     ``neighbors``: rows j with ``1 - matches(i, j) / nongap(i) <= theta``; asymmetric, since i sets the
-    scale. ``matches``: sum of ``kernel`` (equal columns) over all j; ``best_other``: its most with
+    scale. ``matches``: sum of equal columns, or of ``kernel``, over all j; ``best_other``: its most with
     another row, null for a single one. Rows belong to (msa, row): row ids may be of any type and may
     repeat, in other alignments or in one. A null alignment is one like others. A row of gaps alone raises,
     and so do rows of one alignment that differ in width.
 
-    Sums over all pairs need all of them: equal rows are folded with their number first, the distinct
-    rows of an alignment are dealt into blocks, and each pair of blocks is one task of two bounded
-    matrices, so the output is linear and the quadratic comparison spreads over all tasks. Where only
-    neighbours are asked for, ``neighbor_counts`` compares far fewer.
+    ``matches`` are summed by how often each letter occurs in a column. ``best_other`` needs all pairs: equal
+    rows are folded with their number first, the distinct rows of an alignment are dealt into tiles of ``tile`` rows
+    (fewer where these are wide), and each pair of tiles is one task of two bounded matrices, in which a pair is
+    counted once for both its rows, so the output is linear and the quadratic comparison spreads over all tasks. A
+    kernel's own sums take blocks of ``block`` rows likewise. Where only neighbours are asked for,
+    ``neighbor_counts`` compares far fewer.
     """
+    if kernel is None:
+        known = _tile_statistics(rows, theta, gap, msa, aligned, tile)
+        return _digested(rows, msa, aligned).select(msa, row, "__digest").join(known, "__digest").select(msa, row, "neighbors", "matches", F.when(F.col("best") >= 0, F.col("best")).alias("best_other"))
     named, folded = folded_rows(rows, msa, aligned)
     known = folded.join(_pair_statistics(folded, theta, gap, block, kernel), "head").select("__msa", "__aligned", "neighbors", "matches", F.when(F.col("best") >= 0, F.col("best")).alias("best_other"))
     return named.select(msa, row, "__msa", "__aligned").join(known, ["__msa", "__aligned"]).select(msa, row, "neighbors", "matches", "best_other")
 
 
+def _tile_statistics(rows: DataFrame, theta: float, gap: str, msa: str, aligned: str, tile: int) -> DataFrame:
+    """(__digest, neighbors, matches, best) of the distinct rows of all alignments; best is -1 without another row."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    named = rows.select(alignment_key(rows, msa).alias("of"), F.col(aligned).alias("__aligned")).withColumn("digest", row_digest(F.col("of"), F.col("__aligned")))
+    most = F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(TILE_CELLS) / F.greatest(F.col("width"), F.lit(1)))))
+    each = named.groupBy("of", "digest").agg(F.max(F.length("__aligned")).alias("width")).groupBy("of").agg(F.count("*").alias("n"), F.max("width").alias("width"))
+    large = cut(each.select("of", F.ceil(F.col("n") / most).cast("int").alias("tiles")).filter("tiles > 1"))  # a row for each tile of rows at most
+    once = named.groupBy("of", "digest", "__aligned").agg(F.count("*").alias("copies"))
+    placed = once.join(F.broadcast(large), "of", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = placed.withColumn("own", F.pmod(F.xxhash64("digest"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    key = F.concat_ws("/", "of", F.lpad(low.cast("string"), 6, "0"), F.lpad(high.cast("string"), 6, "0"))
+    tasks = dealt.select(key.alias("key"), (F.col("own") > F.col("other")).alias("second"), (low == high).alias("alone"), "digest", "copies", "__aligned")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_tables(batches, "key"):
+            codes, mark = row_codes(part["__aligned"], gap)
+            if (codes == mark).all(axis=1).any():
+                raise ValueError("an alignment row has gaps only")
+            second = None if part["alone"][0].as_py() else part["second"].to_numpy()
+            found = pair_totals(codes, part["copies"].to_numpy(), second, mark, theta)
+            yield pa.RecordBatch.from_arrays([part["digest"].combine_chunks(), *map(pa.array, found)], ["__digest", "neighbors", "matches", "best"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    done = tasks.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "__digest binary, neighbors long, matches long, best long")
+    return done.groupBy("__digest").agg(F.sum("neighbors").alias("neighbors"), F.sum("matches").alias("matches"), F.max("best").alias("best"))
+
+
 def _pair_statistics(folded: DataFrame, theta: float, gap: str, block: int, kernel: Kernel) -> DataFrame:
     """(head, neighbors, matches, best) of the distinct rows, over all pairs of an alignment."""
     ship_package(folded.sparkSession)

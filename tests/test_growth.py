@@ -1,11 +1,14 @@
 """What grows with the input stays out of joins, checkpoints and workers' memory."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_homology import by_pairs, clustered
+from test_operators import slow_counts
 
 from seqloom.functions import alphabets as A
-from seqloom.operators import bounds, scoring
+from seqloom.operators import bounds, pair_counts, scoring
+from seqloom.operators import homology as H
 from seqloom.operators import training as T
 from seqloom.plans import catalog, file_queries
 from seqloom.sources import structures
@@ -80,3 +83,50 @@ def test_several_alphabets_at_once_equal_each(spark):
         again = df.select(A.recode(F.col("s"), alphabet).alias("a"), A.decode(A.encode(F.col("s"), alphabet), alphabet).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in again)
     assert "ArrowEvalPython" in plan_of(catalog.QUERIES["encode_tokens"](spark, SMALL))
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 30, 7])
+def test_statistics_of_tiles_equal_all_pairs(spark, tile):
+    table = clustered(5, 14, 40) + [("n", 1000 + k, a) for k, (_, _, a) in enumerate(clustered(1, 20, 33, seed=2))] + [(None, 7, "AB"), (None, 8, "AB"), ("o", 9, "-é")]
+    df = spark.createDataFrame(table, "msa string, row_id long, aligned string")
+    found = [tuple(r) for r in H.row_statistics(df, 0.2, tile=tile).select("msa", "row_id", "neighbors", "matches", "best_other").collect()]
+    assert sorted(found, key=repr) == slow_counts(table, 0.2)
+
+
+def test_rows_of_an_alignment_move_once_for_each_tile(spark, monkeypatch):
+    """1,500 rows are one tile, so no row meets others in more than one task."""
+    given = []
+    monkeypatch.setattr(H, "whole_keys", lambda *a: given.append(a))
+    rows = [("m", k, f"{k:011b}".replace("0", "A").replace("1", "C")) for k in range(1500)]
+    df = spark.createDataFrame(rows, "msa string, row_id long, aligned string")
+    tasks = H.row_statistics(df)
+    assert "MapInArrow" in plan_of(tasks) and "MapInPandas" not in plan_of(tasks) and not given
+    bits = np.array([[c == "A" for c in a] for _, _, a in rows])
+    ones = bits.sum(axis=0)
+    wanted = {k: int(sum(ones[c] if b else 1500 - ones[c] for c, b in enumerate(row))) for k, row in enumerate(bits)}
+    assert {r["row_id"]: r["matches"] for r in tasks.collect()} == wanted and tasks.filter("best_other <> 10 OR neighbors < 2").count() == 0
+
+
+@pytest.mark.parametrize("width, letters, theta", [(60, 4, 0.2), (300, 3, 0.5), (7, 2, 0.0), (7, 2, 1.0)])
+@pytest.mark.parametrize("side, strip", [(64, 8), (128, 64), (1 << 14, 1 << 14)])
+def test_counts_by_bits_equal_all_pairs(width, letters, theta, side, strip, monkeypatch):
+    for name, value in (("LEAF", 16), ("PAY", 1), ("SIDE", side), ("STRIP", strip)):
+        monkeypatch.setattr(pair_counts, name, value)
+    deal = np.random.RandomState(width)
+    codes = deal.randint(0, letters + 1, (300, width)).astype(np.uint8)
+    codes[50:100] = codes[:50]
+    codes[50:100, deal.randint(width)] = 2
+    codes[deal.rand(300) < 0.3, width // 2 :] = 0
+    codes[:, 0] = 1
+    codes = np.unique(codes, axis=0)
+    deal.shuffle(codes)
+    copies, length = deal.randint(1, 3, len(codes)).astype(np.int64), (codes != 0).sum(axis=1)
+    same = ((codes[:, None] == codes[None]) & (codes != 0)[:, None]).sum(axis=2)
+    for second in (None, deal.rand(len(codes)) < 0.4):
+        meet = np.full(same.shape, True) if second is None else second[:, None] != second[None]
+        most = np.where(meet, same, -1)
+        if second is None:
+            np.fill_diagonal(most, np.where(copies > 1, length, -1))
+        neighbors, matches, best = pair_counts.pair_totals(codes, copies, second, 0, theta)
+        assert (neighbors == ((1 - same / length[:, None] <= theta) & meet) @ copies).all()
+        assert (matches == (same * meet) @ copies).all() and (best == most.max(axis=1)).all()
