@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.plans.lineage import cut
+from seqloom.operators.covering import keyed_neighbors
+from seqloom.plans.lineage import cut, stored
 from seqloom.plans.shipping import ship_package
 
 #: Rows of a block at most on average, how many times as many one of the chosen rows draws about, and chosen
@@ -40,7 +41,9 @@ STEP, TILE, FEW = 24, 256, 1 / 12
 #: Summaries of blocks that one side of a task of bounds holds.
 SUMMARIES = 512
 #: Rows of an alignment that one side of a task holds, and tiles of an alignment that all meet each other at most.
-TILE_ROWS, MOST_TILES = 1 << 16, 8
+TILE_ROWS, MOST_TILES = 1 << 17, 16
+#: Rows from which on a task compares those that agree in keys.
+KEYED_ROWS = 512
 #: Rows from which on a ball of similar rows is a block of its own inside a task, and letters of a column
 #: on average up to which a block's letters are held against single rows of another one.
 LEAST_BALL, TIGHT = 32, 8
@@ -367,7 +370,7 @@ def row_codes(texts: pa.ChunkedArray, gap: str) -> tuple[np.ndarray, int]:
     ends = np.frombuffer(column.buffers()[1], dtype="<i8")[column.offset : column.offset + len(column) + 1]
     flat = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
     if len(gap) == 1 and ord(gap) < 128 and not (flat & 128).any():
-        if len(set(np.diff(ends).tolist())) > 1:
+        if (np.diff(ends) != ends[1] - ends[0]).any():
             raise ValueError("rows of an alignment differ in width")
         return flat.reshape(len(column), -1), ord(gap)
     rows = column.to_pylist()
@@ -397,9 +400,35 @@ def _similar_blocks(codes: np.ndarray, gap: int, block: int) -> list[np.ndarray]
     return [piece for part in np.split(order, ends) for piece in np.array_split(part, -(-len(part) // block))]
 
 
-def near_counts(codes: np.ndarray, copies: np.ndarray, side: np.ndarray | None, gap: int, theta: float, block: int) -> np.ndarray:
+def near_counts(codes: np.ndarray, copies: np.ndarray, side: np.ndarray | None, gap: int, theta: float, block: int, keyed: int = KEYED_ROWS) -> np.ndarray:
     """Copies of rows that are neighbours of each row: of all rows, or with ``side`` (0 or 1) of the other side's.
 
+    From ``keyed`` rows on only rows that agree in a key are compared, see ``covering``, where this is less work than
+    all pairs; rows that keys don't serve are compared with all others.
+    """
+    lengths = (codes != gap).sum(axis=1)
+    found = keyed_neighbors(codes, copies, side, gap, least_matches(lengths, theta)) if len(codes) >= keyed else None
+    if found is None:
+        return _near_all(codes, copies, side, gap, theta, block)
+    out, crowd, rest = found
+    out += copies if side is None else 0
+    for rows in (np.flatnonzero(crowd), np.flatnonzero(rest)):
+        if len(rows):
+            again = copies[rows] if side is None else 0
+            out[rows] += _near_all(codes[rows], copies[rows], None if side is None else side[rows], gap, theta, block) - again
+    for a, b in ((rest, ~rest),) if side is None else ((rest & (side == 0), ~rest & (side == 1)), (rest & (side == 1), ~rest & (side == 0))):
+        a, b = np.flatnonzero(a), np.flatnonzero(b)
+        for low in range(0, len(b) if len(a) else 0, SLICE):
+            some = b[low : low + SLICE]
+            to_a, to_b, _ = near_weights(codes[a], codes[some], copies[a], copies[some], gap, theta)
+            out[a] += to_a
+            out[some] += to_b
+    return out
+
+
+def _near_all(codes: np.ndarray, copies: np.ndarray, side: np.ndarray | None, gap: int, theta: float, block: int) -> np.ndarray:
+    """The same by blocks.
+
     Rows are dealt into blocks of similar ones; block pairs that can't reach the least number of equal columns
     are left out, and of others with few letters in a column the rows that can't.
     """
@@ -465,12 +494,19 @@ def whole_tables(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.concat_tables(parts)
 
 
+def alignment_heads(rows: DataFrame, msa: str, aligned: str, row: str) -> DataFrame:
+    """(of, n, __head, __aligned, digest) of each alignment, stored: its rows, and the row of least (row, aligned)."""
+    named = rows.select(alignment_key(rows, msa).alias("of"), F.struct(F.col(row).alias("row"), F.col(aligned).alias("aligned")).alias("__own"))
+    found = named.groupBy("of").agg(F.count("*").alias("n"), F.min("__own").alias("f"))
+    return stored(found.select("of", "n", F.col("f.row").alias("__head"), F.col("f.aligned").alias("__aligned"), row_digest(F.col("of"), F.col("f.aligned")).alias("digest")))
+
+
 def bounded_neighbors(
-    rows: DataFrame, theta: float, gap: str, msa: str, aligned: str, row: str | None = None, block: int = BLOCK, tile: int = TILE_ROWS, most: int = MOST_TILES,
+    rows: DataFrame, theta: float, gap: str, msa: str, aligned: str, row: str | None = None, block: int = BLOCK, tile: int = TILE_ROWS, most: int = MOST_TILES, heads: DataFrame | None = None,
 ) -> DataFrame:
     """(of, digest, copies, neighbors) of all distinct rows of alignments; ``neighbors`` counts copies, the row itself
     included, ``of`` and ``digest`` are ``alignment_key`` and ``row_digest``. With ``row`` also ``similarity``: equal columns,
-    gaps counting, with the row of least (row, aligned), over the width.
+    gaps counting, with the row of least (row, aligned), over the width; ``heads`` are the ``alignment_heads`` where they are known.
 
     An alignment of up to ``tile`` rows is a task, in which copies are folded and bounds decide what is compared.
     A larger one is dealt into tiles by digest, of which each two meet in a task, so a text moves as often as its
@@ -478,9 +514,11 @@ def bounded_neighbors(
     """
     spark = rows.sparkSession
     ship_package(spark)
-    named = rows.select(alignment_key(rows, msa).alias("of"), F.col(aligned).alias("__aligned"), *([F.col(row).alias("__row")] if row else [])).withColumn("digest", row_digest(F.col("of"), F.col("__aligned")))
-    large = cut(named.groupBy("of").agg(F.count("*").alias("n")).filter(F.col("n") > tile))  # a row for each ``tile`` rows at most
-    firsts = named.groupBy("of").agg(F.min(F.struct("__row", "__aligned", "digest")).alias("f")).select("of", "f.__aligned", "f.digest") if row else None
+    named = rows.select(alignment_key(rows, msa).alias("of"), F.col(aligned).alias("__aligned")).withColumn("digest", row_digest(F.col("of"), F.col("__aligned")))
+    heads = alignment_heads(rows, msa, aligned, row) if row and heads is None else heads
+    sizes = named.groupBy("of").agg(F.count("*").alias("n")) if heads is None else heads.select("of", "n")
+    large = cut(sizes.filter(F.col("n") > tile))  # a row for each ``tile`` rows at most
+    firsts = heads.select("of", "__aligned", "digest") if row else None
     several, huge = (not large.filter(c).isEmpty() for c in (F.col("n") <= most * tile, F.col("n") > most * tile))
     known_as = ["key", "of", "side", "alone", "digest", "copies", "__aligned"]
 
@@ -499,17 +537,19 @@ def bounded_neighbors(
     def compare(part: pa.Table) -> pa.RecordBatch:
         codes, mark = row_codes(part["__aligned"], gap)
         side, copies = part["side"].to_numpy(), part["copies"].to_numpy()
-        digests = np.frombuffer(b"".join(part["digest"].to_pylist()), dtype="V16")
-        _, first, at = np.unique(digests[side < 2], return_index=True, return_inverse=True)
-        kept = np.flatnonzero(side < 2)[first]
+        here = np.flatnonzero(side < 2)  # in the order of their digests
+        fixed = part["digest"].combine_chunks().cast(pa.binary(16))
+        digests = np.frombuffer(fixed.buffers()[1], dtype="<u8").reshape(-1, 2)[fixed.offset : fixed.offset + len(fixed)][here]
+        first = np.concatenate(([0], np.flatnonzero((digests[1:] != digests[:-1]).any(axis=1)) + 1))
+        kept = here[first]
         if (codes[kept] == mark).all(axis=1).any():
             raise ValueError("an alignment row has gaps only")
-        times = np.bincount(at, weights=copies[side < 2]).astype(np.int64)
+        times = np.add.reduceat(copies[here], first)
         found = near_counts(codes[kept], times, None if part["alone"][0].as_py() else side[kept], mark, theta, block)
         head = codes[side == 2]
         same = (codes[kept] == head[0]).sum(axis=1) / max(codes.shape[1], 1) if len(head) else None
         return pa.RecordBatch.from_arrays(
-            [pa.array([part["of"][0].as_py()] * len(kept), pa.string()), pa.array([d.tobytes() for d in digests[kept]], pa.binary()), pa.array(times), pa.array(found), pa.array(same, pa.float64()) if same is not None else pa.nulls(len(kept), pa.float64())],
+            [pa.repeat(part["of"][0], len(kept)), part["digest"].combine_chunks().take(pa.array(kept)), pa.array(times), pa.array(found), pa.array(same, pa.float64()) if same is not None else pa.nulls(len(kept), pa.float64())],
             ["of", "digest", "copies", "neighbors", "similarity"],
         )
 
@@ -537,8 +577,7 @@ def bounded_neighbors(
         if row:
             from seqloom.operators.sampling import equal_columns
 
-            heads = firsts.select("of", F.col("__aligned").alias("__first"))
-            alike = folded.select(F.col("__msa.of").alias("of"), "__aligned").join(heads, "of")
+            alike = folded.select(F.col("__msa.of").alias("of"), "__aligned").join(firsts.select("of", F.col("__aligned").alias("__first")), "of")
             alike = alike.select(row_digest(F.col("of"), F.col("__aligned")).alias("digest"), (equal_columns(F.col("__aligned"), F.col("__first")) / F.length("__first")).alias("similarity"))
             more = more.drop("similarity").join(alike, "digest")
         found = found.unionByName(more)

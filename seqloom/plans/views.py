@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from seqloom.functions.geometry import point
@@ -22,8 +27,8 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-#: Width of the stand-in alignments.
-WIDTH = 240
+#: Width of the stand-in alignments, and bytes of text that are cut into windows at a time (one text at least).
+WIDTH, SOME_BYTES = 240, 1 << 22
 
 
 def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +37,35 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     The k-th windows of a source's documents are one alignment, so whole texts are read and each
     document is a row, under its own id, of as many alignments as it has windows.
     """
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
-    docs = spread_out(table(spark, sf_dir, "documents").select("source", "doc_id", "text")).select("source", "doc_id", letters.alias("t")).filter("t <> ''")
-    # all windows at once: a text repeated for each of its windows, and cut from its start each time, costs its square
-    each = docs.select("source", "doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(f".{{1,{WIDTH}}}"), F.lit(0))).alias("k", "window"))
-    return each.select(F.concat_ws("/", "source", F.col("k").cast("string")).alias("msa"), F.col("doc_id").alias("row_id"), F.rpad("window", WIDTH, "-").alias("aligned"))
-
+    docs = spread_out(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
+    kind = StructType([docs.schema["source"], StructField("k", IntegerType()), docs.schema["doc_id"], StructField("aligned", StringType())])
+    upper = np.zeros(256, np.uint8)
+    for c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        upper[c] = upper[c + 32] = c
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch["text"].cast(pa.large_string()).fill_null("")
+            ends = np.frombuffer(text.buffers()[1], dtype="<i8")[text.offset : text.offset + len(text) + 1]
+            data, low = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8), 0
+            while low < len(text):
+                high = max(int(np.searchsorted(ends, ends[low] + SOME_BYTES, side="right")) - 1, low + 1)
+                all_letters = upper[data[ends[low] : ends[high]]]
+                kept = all_letters != 0  # no byte of a character beyond ASCII is a letter
+                upto = np.concatenate(([0], np.cumsum(kept)))[ends[low : high + 1] - ends[low]]
+                letters, count = all_letters[kept], -(-np.diff(upto) // WIDTH)
+                first = np.concatenate(([0], np.cumsum(count)))
+                out = np.full(first[-1] * WIDTH, ord("-"), np.uint8)
+                for at, a, b in zip((first[:-1] * WIDTH).tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                    out[at : at + b - a] = letters[a:b]
+                of = pa.array(low + np.repeat(np.arange(high - low), count))
+                aligned = pa.StringArray.from_buffers(int(first[-1]), pa.py_buffer(np.arange(first[-1] + 1, dtype=np.int32) * np.int32(WIDTH)), pa.py_buffer(out))
+                k = pa.array((np.arange(first[-1]) - np.repeat(first[:-1], count)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch["source"].take(of), k, batch["doc_id"].take(of), aligned], ["source", "k", "doc_id", "aligned"])
+                low = high
+
+    each = docs.mapInArrow(windows, kind)
+    return each.select(F.concat_ws("/", "source", F.col("k").cast("string")).alias("msa"), F.col("doc_id").alias("row_id"), "aligned")
 
 
 ALN_SQL = f"""txt AS (SELECT source, doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM documents),
