@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.bounds import BLOCK, TILE_ROWS, alignment_key, alignment_sizes, bounded_neighbors, code_matrix, folded_rows, row_codes, row_digest, whole_keys, whole_tables
+from seqloom.operators.bounds import BLOCK, TILE_ROWS, alignment_heads, alignment_key, alignment_sizes, bounded_neighbors, code_matrix, folded_rows, row_codes, row_digest, whole_keys, whole_tables
 from seqloom.operators.pair_counts import pair_matches, pair_totals
 from seqloom.plans.lineage import cut, stored
 from seqloom.plans.shipping import ship_package
@@ -158,13 +158,12 @@ def weighted_rows(rows: DataFrame, theta: float = 0.2, gap: str = "-", msa: str
 
 def _weighted(rows: DataFrame, theta: float, gap: str, msa: str, aligned: str, block: int = BLOCK, row: str | None = None) -> DataFrame:
     """``rows`` with neighbors, n_eff, weight and ``__digest``; with ``row`` also similarity and ``__is_first``."""
-    counted = stored(bounded_neighbors(rows, theta, gap, msa, aligned, row, block))
+    heads = alignment_heads(rows, msa, aligned, row) if row else None
+    counted = stored(bounded_neighbors(rows, theta, gap, msa, aligned, row, block, heads=heads))
     total = counted.groupBy("of").agg(F.sum(F.col("copies") / F.col("neighbors")).alias("n_eff"))
     more = []
     if row:
-        first = F.min(F.struct(F.col(row).alias("row"), F.col(aligned).alias("aligned"), "__digest"))
-        heads = _digested(rows, msa, aligned).withColumn("of", alignment_key(rows, msa)).groupBy("of").agg(first.alias("f"))
-        total = total.join(heads.select("of", F.col("f.row").alias("__head"), (F.col("f.__digest")).alias("__head_digest")), "of")
+        total = total.join(heads.select("of", "__head", F.col("digest").alias("__head_digest")), "of")
         more = ["similarity", "__head", F.coalesce(F.col("digest") == F.col("__head_digest"), F.lit(False)).alias("__is_first")]
     known = counted.join(total, "of").select(F.col("digest").alias("__digest"), "neighbors", "n_eff", (F.lit(1.0) / F.col("neighbors") / F.col("n_eff")).alias("weight"), *more)
     found = _digested(rows, msa, aligned).join(known, "__digest")

@@ -110,8 +110,9 @@ def sample_msa(
     table = rows.select(msa, row, aligned)
     tie = [F.col(row), F.col(aligned)]
     if method == "weighted":
-        # stored, since places in the order are sampled first; the text of a row is read only where it is asked for
-        table = stored(_weights_and_similarity(table, theta, msa, row, aligned, kernel).withColumn("__tie", F.xxhash64(aligned)))
+        # stored with its key, since places in the order are sampled first; the text of a row is read only where it is asked for
+        table = _weights_and_similarity(table, theta, msa, row, aligned, kernel)
+        table = stored(table.withColumns({"__tie": F.xxhash64(aligned), "__key": weighted_key(seed, F.col(row), F.col("weight"))}))
         tie = [F.col(row), F.col("__tie")]
     else:
         table = similarity_to_first(table, msa, row, aligned, "__is_first")
@@ -119,7 +120,7 @@ def sample_msa(
     kept = table.filter(near | F.col("__is_first")) if force_include_first else table.filter(near)
     if method == "top":
         return numbered(kept, [msa], [F.col(row), F.col(aligned)]).select(msa, row, aligned, "ord")
-    key = weighted_key(seed, F.col(row), F.col("weight")) if method == "weighted" else random_key(seed, F.col(row))
+    key = F.col("__key") if method == "weighted" else random_key(seed, F.col(row))
     first = F.when(F.col("__is_first"), F.lit(-1.0)).otherwise(key) if force_include_first else key  # keys are positive
     return numbered(kept, [msa], [first, *tie]).select(msa, row, aligned, "ord")
 

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a range on average, ranges at most, and places that the driver sees for each.
 RANGE_ROWS, MOST_RANGES, SEEN = 20_000, 4096, 16
+#: Cut points that one step looks at.
+BRANCH = 16
 
 
 def _place(order: list[Column]) -> Column:
@@ -39,14 +41,29 @@ def range_cuts(places: DataFrame, range_rows: int = RANGE_ROWS) -> list[Column]:
 
 
 def range_of(place: Column, cuts: list[Column]) -> Column:
-    """Number of cut points at or below a place, found in two steps of about the square root each."""
+    """Number of cut points at or below a place, found in steps of ``BRANCH`` cut points each.
+
+    Places and steps are bound to variables, since an order's hashes would be computed again for each cut point else.
+    """
     if not cuts:
         return F.lit(0)
-    width = max(1, int(len(cuts) ** 0.5))
-    parts = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    part = F.size(F.filter(F.array(*[p[0] for p in parts]), lambda h: h <= place)) - 1
-    inside = F.size(F.filter(F.get(F.array(*[F.array(*p) for p in parts]), part), lambda h: h <= place))
-    return F.when(part < 0, F.lit(0)).otherwise(part * width + inside).cast("int")
+    width = 1
+    while width * BRANCH < len(cuts):
+        width *= BRANCH
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    upto = lambda heads, p: F.size(F.filter(heads, lambda h: h <= p))
+
+    def narrowed(p: Column, at: Column, width: int) -> Column:
+        """Cut points at or below p, of which the one before ``at``, a multiple of ``width`` and one more, is the last known."""
+        if width == 1:
+            return at
+        parts = F.array(*[F.array(*cuts[i : i + width : width // BRANCH]) for i in range(0, len(cuts), width)])
+        own = F.floor((at - 1) / width).cast("int")
+        found = once(own, lambda k: k * width + (upto(F.get(parts, k), p) - 1) * (width // BRANCH) + 1)
+        return once(F.when(at > 0, found).otherwise(0), lambda n: narrowed(p, n, width // BRANCH))
+
+    first = lambda p: once((upto(F.array(*cuts[::width]), p) - 1) * width + 1, lambda n: narrowed(p, F.greatest(n, F.lit(0)), width))
+    return once(place, first).cast("int")
 
 
 def group_key(by: list[str]) -> Column:

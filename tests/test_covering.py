@@ -1,13 +1,16 @@
-"""Neighbours by keys against all pairs."""
+"""Neighbours by keys against all pairs, and what is no longer done for each pair and cut point."""
 
 import itertools
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import bounds as B
 from seqloom.operators import covering as C
+from seqloom.operators import sampling as P
+from seqloom.operators import spread as R
 from seqloom.plans.views import aln
 
 GAP = ord("-")
@@ -65,6 +68,20 @@ def test_unlike_rows_are_not_compared(monkeypatch):
     assert found[:2].tolist() == [2, 2] and found[2:].max() == 1
 
 
+def test_a_place_is_hashed_once_for_all_cut_points(spark):
+    cuts = [F.struct(F.lit(k / 40).alias("o0")) for k in range(1, 40)]
+    of = R.range_of(F.struct(P.random_key(1, F.col("id")).alias("o0")), cuts)
+    plan = spark.range(9).select(of.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bmd5\(", plan)) == 1
+
+
+def test_places_are_found_among_many_cut_points(spark):
+    for n in (1, 16, 17, 257, 1000):
+        cuts = sorted(np.random.RandomState(n).choice(3000, n, replace=False).tolist())
+        found = spark.range(3000).select("id", R.range_of(F.struct(F.col("id").alias("o0")), [F.struct(F.lit(c).cast("long").alias("o0")) for c in cuts]).alias("r"))
+        assert all(r["r"] == np.searchsorted(cuts, r["id"], side="right") for r in found.collect())
+
+
 def test_windows_of_texts(spark, tmp_path):
     texts = [None, "", "123 !", "é ß a-b", "x" * 240, "Ab1" * 300, "ÀZ" * 500, "q" * 241]
     docs = spark.createDataFrame([("s" if k % 3 else None, k, t) for k, t in enumerate(texts)], "source string, doc_id long, text string")
