@@ -206,43 +206,56 @@ def sample_context(
         weighted.select(F.monotonically_increasing_id().alias("__id"), msa, row, "similarity", "weight", F.col("__is_first").alias("__query"), F.xxhash64(aligned).alias("__tie"), unalign(F.col(aligned)).alias("sequence"))
         .withColumn("__length", F.length("sequence"))
     )
-    base = stored(_within_budget(base, grid, seed, msa, row))
+    asked = _points(grid, seed)
+    base = stored(_within_budget(base, asked, msa, row))
+    each = base.select("__id", msa, row, "__tie", "__length", F.explode("__at").alias("at")).select("*", "at.*").drop("at")
     points = grid.select(F.col("ord").alias("grid_ord"), "max_tokens", "max_similarity", "inverse_folding", (F.lit(seed) + F.col("seed_offset")).alias("__seed"))
-    table = base.drop("sequence").crossJoin(F.broadcast(points))  # the grid is a few parameter rows
-    # the query leads where folding is inverted, and is dropped there right after
-    table = table.filter((F.col("similarity") <= F.col("max_similarity")) & ~(F.col("inverse_folding") & F.col("__query")))
-    table = table.withColumn("__key", weighted_key(F.col("__seed"), F.col(row), F.col("weight")))
+    of_point = rows.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(asked)], "__point int, max_tokens long, max_similarity double, inverse_folding boolean, __seed long")
+    numbers = points.join(F.broadcast(of_point), ["max_tokens", "max_similarity", "inverse_folding", "__seed"]).select("__point", "grid_ord", "max_tokens", "__seed")
+    table = each.join(F.broadcast(numbers), "__point")  # the grid is a few parameter rows
     kept = token_budget(table, [msa, "grid_ord"], [F.col("__key"), F.col(row), F.col("__tie")], F.col("__length"), F.col("max_tokens"))
     placed = final_shuffle(kept, [msa, "grid_ord"], row, F.col("__seed"), [F.col("__tie")]).select("__id", "grid_ord", "ord")
     return placed.join(base.select("__id", msa, row, "sequence"), "__id").select(msa, "grid_ord", row, "sequence", "ord")
 
 
-def _within_budget(base: DataFrame, grid: DataFrame, seed: int, msa: str, row: str) -> DataFrame:
-    """Rows that may be within the budget of a grid point, going by the rows of their own partition.
+def _points(grid: DataFrame, seed: int) -> list[tuple[int, float, bool, int]]:
+    """(max_tokens, max_similarity, inverse_folding, seed) of a grid of parameters, each once."""
+    plain = grid.select(F.col("max_tokens").cast("long"), F.col("max_similarity").cast("double"), "inverse_folding", (F.lit(seed) + F.col("seed_offset")).cast("long").alias("s"))
+    return sorted(tuple(r) for r in plain.distinct().collect())
+
+
+def _within_budget(base: DataFrame, points: list[tuple[int, float, bool, int]], msa: str, row: str) -> DataFrame:
+    """Rows that may be within the budget of a grid point, going by the rows of their own partition, with ``__at``: the
+    numbers of these points and the row's keys there.
 
     What goes before a row in its partition also goes before it in its group, so a row beyond the budget there is
-    beyond it at all. Most rows of large alignments drop out before they are stored, multiplied by the grid, and moved.
+    beyond it at all. Most rows of large alignments drop out before they are stored, and rows are moved for these points alone.
     """
-    plain = grid.select("max_tokens", "max_similarity", "inverse_folding", (F.lit(seed) + F.col("seed_offset")).alias("s")).distinct()
-    points = [tuple(r) for r in plain.collect()]  # parameters
     seeds = sorted({p[3] for p in points})
     keyed = base.withColumns({f"__k{i}": weighted_key(F.lit(s).cast("long"), F.col(row), F.col("weight")) for i, s in enumerate(seeds)}).withColumn("__of", alignment_key(base, msa))
-    out = base.schema
+    out = base.withColumn("__at", F.lit(None).cast("array<struct<__point:int,__key:double>>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_tables(batches, "__of"):
             similar, query, length = (part[c].to_numpy() for c in ("similarity", "__query", "__length"))
-            keep = np.zeros(part.num_rows, bool)
+            keys, at = [part[f"__k{i}"].to_numpy() for i in range(len(seeds))], []
             for tokens, most, inverse, s in points:
-                key = part[f"__k{seeds.index(s)}"].to_numpy()
+                key = keys[seeds.index(s)]
                 order = np.argsort(key, kind="stable")
                 taken = ((similar <= most) & ~(query & inverse))[order]
                 need = np.where(taken, length[order] + 2, 0)
                 # rows of one key may go in any order here, so they count as if each were the first of them
                 first = np.searchsorted(key[order], key[order], side="left")
                 before = np.concatenate(([0], np.cumsum(need)))[first]
-                keep[order[taken & (before <= tokens)]] = True
-            yield from part.filter(pa.array(keep)).select(out.names).to_batches()
+                at.append(order[taken & (before <= tokens)])
+            where = np.concatenate(at)
+            number = np.repeat(np.arange(len(points), dtype=np.int32), [len(a) for a in at])
+            key = np.concatenate([keys[seeds.index(p[3])][a] for p, a in zip(points, at, strict=True)])
+            by_row = np.argsort(where, kind="stable")
+            count = np.bincount(where, minlength=part.num_rows)
+            each = pa.StructArray.from_arrays([pa.array(number[by_row]), pa.array(key[by_row])], ["__point", "__key"])
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), each)
+            yield from part.append_column("__at", listed).filter(pa.array(count > 0)).select(out.names).to_batches()
 
     return keyed.sortWithinPartitions("__of").mapInArrow(run, out)
 

@@ -1,4 +1,4 @@
-"""Neighbours by keys against all pairs, and what is no longer done for each pair and cut point."""
+"""Neighbours by keys against all pairs, and what is no longer done for each pair, cut point, pass or grid point."""
 
 import itertools
 import re
@@ -82,6 +82,16 @@ def test_places_are_found_among_many_cut_points(spark):
         assert all(r["r"] == np.searchsorted(cuts, r["id"], side="right") for r in found.collect())
 
 
+def test_rows_go_on_to_the_grid_points_that_they_may_be_in(spark):
+    rows = spark.createDataFrame([("m", k, 0.5, 1.0, k == 0, 0, "A" * 40, 40) for k in range(50)], "msa string, row_id long, similarity double, weight double, __query boolean, __tie long, sequence string, __length int")
+    points = [(100, 1.0, False, 1), (100, 0.4, False, 1), (420, 1.0, True, 1), (420, 1.0, True, 2)]
+    found = P._within_budget(rows.coalesce(1), points, "msa", "row_id").select("row_id", F.explode("__at").alias("at")).select("row_id", "at.*").collect()
+    per = {k: sum(r["__point"] == k for r in found) for k in range(4)}
+    assert per == {0: 3, 1: 0, 2: 11, 3: 11}
+    assert not any(r["row_id"] == 0 for r in found if r["__point"] > 1)
+    assert all(r["__key"] > 0 for r in found)
+
+
 def test_windows_of_texts(spark, tmp_path):
     texts = [None, "", "123 !", "é ß a-b", "x" * 240, "Ab1" * 300, "ÀZ" * 500, "q" * 241]
     docs = spark.createDataFrame([("s" if k % 3 else None, k, t) for k, t in enumerate(texts)], "source string, doc_id long, text string")
